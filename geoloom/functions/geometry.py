@@ -369,33 +369,49 @@ def _locate_soft(segs: Column, x, y) -> Column:
 PREDICATES = ("intersects", "contains", "disjoint", "equals", "touches", "overlaps", "within", "crosses")
 
 
+PREPARED = ("kind", "pts", "segs", "area", "length", "bbox")
+
+
 def prepared(g: Column) -> Column:
     """What the pair predicates need of one geometry, computed once per row before a join."""
-    b = bbox(g)
     return F.struct(
         g["kind"].alias("kind"), vertices(g).alias("pts"),
         F.when(g["kind"] == "POLYGON", oriented_segments(g)).otherwise(segments(g)).alias("segs"),
-        area(g).alias("area"), length(g).alias("length"), b.alias("bbox"))
+        area(g).alias("area"), length(g).alias("length"), bbox(g).alias("bbox"))
 
 
 def _any_vertex(p: Column, other: Column, where) -> Column:
     return F.exists(p["pts"], lambda v: where(locate(other["segs"], v[0], v[1])))
 
 
-def pair_intersects(a: Column, b: Column) -> Column:
-    point_point = F.exists(a["pts"], lambda p: F.exists(b["pts"], lambda q: (p[0] == q[0]) & (p[1] == q[1])))
+def _points_meet(a: dict, b: dict) -> Column:
+    return F.exists(a["pts"], lambda p: F.exists(b["pts"], lambda q: (p[0] == q[0]) & (p[1] == q[1])))
+
 
-    def point_other(p, o):
-        return F.when(o["kind"] == "POLYGON", _any_vertex(p, o, lambda at: at >= 0)).otherwise(
-            F.exists(p["pts"], lambda v: F.exists(o["segs"], lambda s: on_segment(s, v[0], v[1]))))
+def _point_meets(p: dict, o: dict, kind: str) -> Column:
+    if kind == "POLYGON":
+        return _any_vertex(p, o, lambda at: at >= 0)
+    return F.exists(p["pts"], lambda v: F.exists(o["segs"], lambda s: on_segment(s, v[0], v[1])))
 
-    edges = F.exists(a["segs"], lambda s: F.exists(b["segs"], lambda t: segments_meet(s, t)))
-    one_in_other = (
-        ((b["kind"] == "POLYGON") & _any_vertex(a, b, lambda at: at >= 0))
-        | ((a["kind"] == "POLYGON") & _any_vertex(b, a, lambda at: at >= 0)))
-    return F.when((a["kind"] == "POINT") & (b["kind"] == "POINT"), point_point).when(
-        a["kind"] == "POINT", point_other(a, b)).when(b["kind"] == "POINT", point_other(b, a)).otherwise(
-        edges | one_in_other)
+
+def _meets(a: dict, b: dict, ka: str, kb: str) -> Column:
+    """The two geometries, of the given kinds, share at least one point."""
+    if ka == kb == "POINT":
+        return _points_meet(a, b)
+    if ka == "POINT":
+        return _point_meets(a, b, kb)
+    if kb == "POINT":
+        return _point_meets(b, a, ka)
+    out = F.exists(a["segs"], lambda s: F.exists(b["segs"], lambda t: segments_meet(s, t)))
+    if kb == "POLYGON":
+        out = out | _any_vertex(a, b, lambda at: at >= 0)
+    if ka == "POLYGON":
+        out = out | _any_vertex(b, a, lambda at: at >= 0)
+    return out
+
+
+def pair_intersects(a: Column, b: Column) -> Column:
+    return pair_predicate("intersects", a, b)
 
 
 def _same(u: Column, v: Column) -> Column:
@@ -417,84 +433,107 @@ def _shared_length(a: Column, b: Column) -> Column:
         b["segs"], F.lit(0.0), lambda y, t: y + common(s, t)))
 
 
-def pair_predicate(name: str, a: Column, b: Column) -> Column:
-    """One of :data:`PREDICATES` between two :func:`prepared` sides.
+KINDS = ("POINT", "LINE", "POLYGON")
+
+
+def pair_predicate(name: str, a, b, a_kinds=KINDS, b_kinds=KINDS) -> Column:
+    """One of :data:`PREDICATES` between two :func:`prepared` sides (structs, or dicts of their fields).
 
     Boundary contact alone is ``touches``; ``contains``/``within`` need shared interior; ``overlaps`` needs equal
-    dimension and excludes containment and equality; ``crosses`` is for line/line and line/polygon pairs.
+    dimension and excludes containment and equality; ``crosses`` is for line/line and line/polygon pairs. Rules are
+    built for the listed kinds only.
     """
     if name not in PREDICATES:
         raise ValueError(f"unknown predicate {name!r}; use one of {PREDICATES}")
-    meets = pair_intersects(a, b)
-    if name == "intersects":
-        return meets
     if name == "disjoint":
-        return ~meets
+        return ~pair_predicate("intersects", a, b, a_kinds, b_kinds)
     if name == "within":
-        return pair_predicate("contains", b, a)
-
-    pp = (a["kind"] == "POLYGON") & (b["kind"] == "POLYGON")
-    ll = (a["kind"] == "LINE") & (b["kind"] == "LINE")
-    pl = (a["kind"] == "POLYGON") & (b["kind"] == "LINE")
-    lp = (a["kind"] == "LINE") & (b["kind"] == "POLYGON")
-    px = (a["kind"] == "POLYGON") & (b["kind"] == "POINT")
-    xp = (a["kind"] == "POINT") & (b["kind"] == "POLYGON")
-    lx = (a["kind"] == "LINE") & (b["kind"] == "POINT")
-    xl = (a["kind"] == "POINT") & (b["kind"] == "LINE")
-    shared = overlap_area_segments(a["segs"], b["segs"])
-    some = shared > 1e-9 * F.least(a["area"], b["area"])
-    a_all, b_all = _same(shared, a["area"]), _same(shared, b["area"])
-    common = _shared_length(a, b)
-
-    def line_in(l, p):
-        return F.transform(F.array(line_shares(l["segs"], p["segs"])), lambda s:
-                           (s["outside"] <= 1e-9) & (s["inside"] > 1e-9))[0]
-
-    def line_inside_some(l, p):
-        return line_shares(l["segs"], p["segs"])["inside"] > 1e-9
-
-    def ends(l):
-        return F.array(l["pts"][0], F.element_at(l["pts"], -1))
-
-    def point_on_end(l, p):
-        return F.exists(p["pts"], lambda v: F.exists(ends(l), lambda e: (e[0] == v[0]) & (e[1] == v[1])))
-
-    lines_meet_inside = F.exists(a["segs"], lambda s: F.exists(b["segs"], lambda t: segments_cross(s, t))) | F.exists(
-        F.filter(a["pts"], lambda v: ~F.array_contains(ends(a), v)),
-        lambda v: F.exists(b["segs"], lambda t: on_segment(t, v[0], v[1])) & ~F.array_contains(ends(b), v)) | F.exists(
-        F.filter(b["pts"], lambda v: ~F.array_contains(ends(b), v)),
-        lambda v: F.exists(a["segs"], lambda t: on_segment(t, v[0], v[1])) & ~F.array_contains(ends(a), v))
-
+        return pair_predicate("contains", b, a, b_kinds, a_kinds)
+    rule = None
+    for ka in a_kinds:
+        for kb in b_kinds:
+            test = (a["kind"] == ka) & (b["kind"] == kb)
+            value = _rule(name, a, b, ka, kb)
+            rule = F.when(test, value) if rule is None else rule.when(test, value)
+    return F.coalesce(rule, F.lit(False)) if rule is not None else F.lit(False)
+
+
+def _rule(name: str, a, b, ka: str, kb: str) -> Column:
+    dim = {"POINT": 0, "LINE": 1, "POLYGON": 2}
+    if name == "intersects":
+        return _meets(a, b, ka, kb)
+    if name == "touches":
+        return _meets(a, b, ka, kb) & _interiors_apart(a, b, ka, kb)
     if name == "contains":
-        rule = (F.when(pp, some & b_all)
-                .when(pl, line_in(b, a))
-                .when(px, F.forall(b["pts"], lambda v: locate(a["segs"], v[0], v[1]) >= 0)
-                      & _any_vertex(b, a, lambda at: at == 1))
-                .when(ll, _same(common, b["length"]))
-                .when(lx, meets & ~point_on_end(a, b))
-                .when((a["kind"] == "POINT") & (b["kind"] == "POINT"),
-                      F.forall(b["pts"], lambda q: F.array_contains(a["pts"], q))))
-    elif name == "equals":
-        rule = (F.when(pp, some & a_all & b_all)
-                .when(ll, _same(common, a["length"]) & _same(common, b["length"]))
-                .when((a["kind"] == "POINT") & (b["kind"] == "POINT"),
-                      F.forall(b["pts"], lambda q: F.array_contains(a["pts"], q))
-                      & F.forall(a["pts"], lambda q: F.array_contains(b["pts"], q))))
-    elif name == "touches":
-        rule = (F.when(pp, ~some)
-                .when(pl, ~line_inside_some(b, a)).when(lp, ~line_inside_some(a, b))
-                .when(px, ~_any_vertex(b, a, lambda at: at == 1)).when(xp, ~_any_vertex(a, b, lambda at: at == 1))
-                .when(lx, point_on_end(a, b)).when(xl, point_on_end(b, a))
-                .when(ll, (common <= 1e-9) & ~lines_meet_inside))
-    elif name == "overlaps":
-        rule = (F.when(pp, some & ~a_all & ~b_all)
-                .when(ll, (common > 1e-9) & ~_same(common, a["length"]) & ~_same(common, b["length"])))
-    else:  # crosses
-        def crossing(l, p):
-            return F.transform(F.array(line_shares(l["segs"], p["segs"])), lambda s:
-                               (s["outside"] > 1e-9) & (s["inside"] > 1e-9))[0]
-        rule = F.when(lp, crossing(a, b)).when(pl, crossing(b, a)).when(ll, (common <= 1e-9) & lines_meet_inside)
-    return meets & F.coalesce(rule, F.lit(False))
+        return _contains(a, b, ka, kb) if dim[ka] >= dim[kb] else F.lit(False)
+    if name == "crosses":
+        if {ka, kb} == {"LINE", "POLYGON"}:
+            l, p = (a, b) if ka == "LINE" else (b, a)
+            return _with_shares(l, p, lambda s: (s["outside"] > 1e-9) & (s["inside"] > 1e-9))
+        return _lines_cross(a, b) & (_shared_length(a, b) <= 1e-9) if ka == kb == "LINE" else F.lit(False)
+    if ka != kb:
+        return F.lit(False)
+    if ka == "POINT":
+        all_a = F.forall(a["pts"], lambda q: F.array_contains(b["pts"], q))
+        all_b = F.forall(b["pts"], lambda q: F.array_contains(a["pts"], q))
+        return all_a & all_b if name == "equals" else _points_meet(a, b) & ~all_a & ~all_b
+    shared = _shared_length(a, b) if ka == "LINE" else overlap_area_segments(a["segs"], b["segs"])
+    whole = "length" if ka == "LINE" else "area"
+    bound = F.transform(F.array(shared), lambda v: F.struct(
+        (v > 1e-9 * F.least(a[whole], b[whole])).alias("some"), _same(v, a[whole]).alias("a"), _same(v, b[whole]).alias("b")))[0]
+    test = (lambda r: r["some"] & r["a"] & r["b"]) if name == "equals" else (lambda r: r["some"] & ~r["a"] & ~r["b"])
+    return F.exists(F.array(bound), test)
+
+
+def _with_shares(l, p, test) -> Column:
+    return F.exists(F.array(line_shares(l["segs"], p["segs"])), test)
+
+
+def _ends(l) -> Column:
+    return F.array(l["pts"][0], F.element_at(l["pts"], -1))
+
+
+def _lines_cross(a, b) -> Column:
+    """Two lines meet at a point interior to both."""
+    inner = lambda l: F.filter(l["pts"], lambda v: ~F.array_contains(_ends(l), v))
+    passes = lambda l, o: F.exists(inner(l), lambda v: F.exists(
+        o["segs"], lambda t: on_segment(t, v[0], v[1])) & ~F.array_contains(_ends(o), v))
+    return F.exists(a["segs"], lambda s: F.exists(b["segs"], lambda t: segments_cross(s, t))) | passes(a, b) | passes(b, a)
+
+
+def _contains(a, b, ka: str, kb: str) -> Column:
+    if ka == kb == "POLYGON":
+        shared = overlap_area_segments(a["segs"], b["segs"])
+        return F.exists(F.array(shared), lambda v: (v > 1e-9 * F.least(a["area"], b["area"])) & _same(v, b["area"]))
+    if kb == "POINT" and ka == "POLYGON":
+        return F.forall(b["pts"], lambda v: locate(a["segs"], v[0], v[1]) >= 0) & _any_vertex(b, a, lambda at: at == 1)
+    if ka == "POLYGON":
+        return _with_shares(b, a, lambda s: (s["outside"] <= 1e-9) & (s["inside"] > 1e-9))
+    if ka == kb == "LINE":
+        return _same(_shared_length(a, b), b["length"])
+    if ka == "LINE":
+        return F.forall(b["pts"], lambda v: F.exists(a["segs"], lambda s: on_segment(s, v[0], v[1]))) & F.exists(
+            b["pts"], lambda v: ~F.array_contains(_ends(a), v))
+    return F.forall(b["pts"], lambda q: F.array_contains(a["pts"], q))
+
+
+def _interiors_apart(a, b, ka: str, kb: str) -> Column:
+    kinds = {ka, kb}
+    if ka == kb == "POLYGON":
+        return overlap_area_segments(a["segs"], b["segs"]) <= 1e-9 * F.least(a["area"], b["area"])
+    if kinds == {"LINE", "POLYGON"}:
+        l, p = (a, b) if ka == "LINE" else (b, a)
+        return _with_shares(l, p, lambda s: s["inside"] <= 1e-9)
+    if kinds == {"POINT", "POLYGON"}:
+        q, p = (a, b) if ka == "POINT" else (b, a)
+        return ~_any_vertex(q, p, lambda at: at == 1)
+    if kinds == {"POINT", "LINE"}:
+        q, l = (a, b) if ka == "POINT" else (b, a)
+        on_inner = lambda v: F.exists(l["segs"], lambda s: on_segment(s, v[0], v[1])) & ~F.array_contains(_ends(l), v)
+        return ~F.exists(q["pts"], on_inner)
+    if ka == kb == "LINE":
+        return (_shared_length(a, b) <= 1e-9) & ~_lines_cross(a, b)
+    return F.lit(False)
 
 
 # ---------------------------------------------------------------- validity

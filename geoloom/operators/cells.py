@@ -41,58 +41,70 @@ def _levels(df: DataFrame) -> Column:
     return df.agg(F.collect_set("_lv")).scalar()
 
 
+def side(df: DataFrame, prefix: str) -> DataFrame:
+    """Columns of one side of a pair under a prefix (``l_`` or ``r_``), flat so that unused ones are pruned early."""
+    return df.select(*[F.col(f"`{c}`").alias(prefix + c) for c in df.columns])
+
+
 def pair_by_cell(left: DataFrame, right: DataFrame, left_box: Column, right_box: Column, cell: float,
                  expand: float = 0.0, salt_by: list[str] | None = None,
                  rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Pairs ``(l, r)`` (both structs of the input columns) whose boxes meet, each pair once.
+    """Pairs of rows whose boxes meet, each pair once, with the input columns as ``l_*`` and ``r_*``.
 
     ``expand`` grows the left boxes (for distance joins). ``salt_by`` names left columns that spread hot cells.
     """
-    names = left.columns
-    salt_by = salt_by or [names[0]]
+    salt_by = salt_by or [left.columns[0]]
     b = F.struct((left_box["xmin"] - expand).alias("xmin"), (left_box["ymin"] - expand).alias("ymin"),
                  (left_box["xmax"] + expand).alias("xmax"), (left_box["ymax"] + expand).alias("ymax"))
-    lhs = left.select(F.struct(*names).alias("l"), b.alias("_lb")).where(F.col("_lb.xmin").isNotNull())
-    lhs = lhs.withColumn("_lv", level_of(F.col("_lb"), cell))
-    rhs = right.select(F.struct(*right.columns).alias("r"), right_box.alias("_rb")).where(F.col("_rb.xmin").isNotNull())
-    rhs = rhs.withColumn("_lv", level_of(F.col("_rb"), cell))
+    lhs, rhs = _boxed(left, b, "l_", "_lb", cell), _boxed(right, right_box, "r_", "_rb", cell)
 
     def filed(df, box, other_levels):
         own = F.col("_lv")
-        lv = F.concat(F.array(own), F.filter(other_levels, lambda k: k > own))
-        out = df.withColumn("_c", F.explode(covering_cells(F.col(box), lv, cell)))
+        coarser = F.array_intersect(other_levels, F.sequence(own + 1, F.lit(MAX_LEVEL + 1)))
+        at = df.withColumn("_at", F.explode(F.array_append(coarser, own)))
+        out = at.withColumn("_c", F.explode(covering_cells(
+            {k: F.col(f"{box}_{k}") for k in ("xmin", "ymin", "xmax", "ymax")}, F.array("_at"), cell)))
         return out.select(*[c for c in df.columns if c != "_lv"], own.alias(f"{box}_lv"),
                           F.col("_c.lv").alias("_lv"), F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
 
-    lf = filed(lhs, "_lb", _levels(rhs))
+    lf = filed(lhs, "_lb", _levels(rhs)).withColumn("_sk", F.xxhash64(*[f"l_{c}" for c in salt_by]))
     rf = filed(rhs, "_rb", _levels(lhs))
-    lf = lf.withColumn("_sk", F.xxhash64(*[F.col("l")[c] for c in salt_by]))
     joined = salted_join(lf, rf, ["_lv", "_cx", "_cy"], ["_sk"], rows_per_salt=rows_per_salt)
-    a, c = F.col("_lb"), F.col("_rb")
+    a, c = (lambda k: F.col(f"_lb_{k}")), (lambda k: F.col(f"_rb_{k}"))
     size = cell_size(F.col("_lv"), cell)
     return joined.where(
         (F.col("_lv") == F.greatest("_lb_lv", "_rb_lv"))
-        & (a["xmin"] <= c["xmax"]) & (c["xmin"] <= a["xmax"]) & (a["ymin"] <= c["ymax"]) & (c["ymin"] <= a["ymax"])
-        & (F.floor(F.greatest(a["xmin"], c["xmin"]) / size) == F.col("_cx"))
-        & (F.floor(F.greatest(a["ymin"], c["ymin"]) / size) == F.col("_cy"))).select("l", "r")
+        & (a("xmin") <= c("xmax")) & (c("xmin") <= a("xmax")) & (a("ymin") <= c("ymax")) & (c("ymin") <= a("ymax"))
+        & (F.floor(F.greatest(a("xmin"), c("xmin")) / size) == F.col("_cx"))
+        & (F.floor(F.greatest(a("ymin"), c("ymin")) / size) == F.col("_cy"))).select(*_pair_columns(left, right))
+
+
+def _pair_columns(left: DataFrame, right: DataFrame) -> list[str]:
+    return [f"`l_{c}`" for c in left.columns] + [f"`r_{c}`" for c in right.columns]
+
+
+def _boxed(df: DataFrame, box: Column, prefix: str, name: str, cell: float) -> DataFrame:
+    """One side with its box as plain columns and its grid level; rows without a box meet nothing."""
+    t = df.withColumn("_box", box)
+    t = t.select(*[F.col(f"`{c}`").alias(prefix + c) for c in df.columns],
+                 *[F.col("_box")[k].cast("double").alias(f"{name}_{k}") for k in ("xmin", "ymin", "xmax", "ymax")])
+    t = t.where(F.col(f"{name}_xmin").isNotNull())
+    return t.withColumn("_lv", level_of({k: F.col(f"{name}_{k}") for k in ("xmin", "ymin", "xmax", "ymax")}, cell))
 
 
 def pair_points(points: DataFrame, polygons: DataFrame, x: str, y: str, poly_box: Column, cell: float,
                 salt_by: list[str] | None = None, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Pairs ``(l, r)`` of a point row and a polygon row whose box holds the point: one cell row per point and level."""
-    names = points.columns
-    rhs = polygons.select(F.struct(*polygons.columns).alias("r"), poly_box.alias("_rb")).where(
-        F.col("_rb.xmin").isNotNull())
-    rhs = rhs.withColumn("_lv", level_of(F.col("_rb"), cell))
-    rf = rhs.withColumn("_c", F.explode(covering_cells(F.col("_rb"), F.array("_lv"), cell))).select(
-        "r", "_rb", "_lv", F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
+    """Pairs (``l_*``, ``r_*``) of a point and a polygon whose box holds it: one cell row per point and polygon level."""
+    rhs = _boxed(polygons, poly_box, "r_", "_rb", cell)
+    b = {k: F.col(f"_rb_{k}") for k in ("xmin", "ymin", "xmax", "ymax")}
+    rf = rhs.withColumn("_c", F.explode(covering_cells(b, F.array("_lv"), cell))).withColumn(
+        "_cx", F.col("_c.cx")).withColumn("_cy", F.col("_c.cy")).drop("_c")
     size = cell_size(F.col("_lv"), cell)
-    lf = points.select(F.struct(*names).alias("l"), F.col(x).cast("double").alias("_px"),
-                       F.col(y).cast("double").alias("_py")).where("_px is not null and _py is not null")
-    lf = lf.withColumn("_lv", F.explode(_levels(rhs))).select(
-        "l", "_px", "_py", "_lv", F.floor(F.col("_px") / size).alias("_cx"), F.floor(F.col("_py") / size).alias("_cy"),
-        F.xxhash64(*[F.col("l")[c] for c in (salt_by or [names[0]])]).alias("_sk"))
-    b = F.col("_rb")
+    lf = side(points, "l_").withColumn("_px", F.col(f"l_{x}").cast("double")).withColumn(
+        "_py", F.col(f"l_{y}").cast("double")).where("_px is not null and _py is not null")
+    lf = lf.withColumn("_lv", F.explode(_levels(rhs))).withColumn("_cx", F.floor(F.col("_px") / size)).withColumn(
+        "_cy", F.floor(F.col("_py") / size)).withColumn(
+        "_sk", F.xxhash64(*[f"l_{c}" for c in (salt_by or [points.columns[0]])]))
     return salted_join(lf, rf, ["_lv", "_cx", "_cy"], ["_sk"], rows_per_salt=rows_per_salt).where(
         (F.col("_px") >= b["xmin"]) & (F.col("_px") <= b["xmax"]) & (F.col("_py") >= b["ymin"]) & (
-            F.col("_py") <= b["ymax"])).select("l", "r")
+            F.col("_py") <= b["ymax"])).select(*_pair_columns(points, polygons))

@@ -8,35 +8,47 @@ from pyspark.sql import functions as F
 from geoloom.functions import geometry as G
 from geoloom.operators.cells import pair_by_cell, pair_points
 
-_PREP, _SEGS = "_prep", "_segs"
+_SEGS = "_segs"
 
 
-def _flat(pairs: DataFrame, left_cols: list[str], right_cols: list[str], suffix: str = "_right") -> list[Column]:
-    taken = {c.lower() for c in left_cols}
-    return [F.col("l")[c].alias(c) for c in left_cols] + [
-        F.col("r")[c].alias(c + suffix if c.lower() in taken else c) for c in right_cols]
+def _prepare(df: DataFrame, geom: str) -> DataFrame:
+    """The parts of each geometry that pair predicates need, as flat ``_kind, _pts, _segs, _area, _length`` columns."""
+    p = df.withColumn("_p", G.prepared(F.col(geom)))
+    return p.select(*df.columns, *[F.col("_p")[k].alias(f"_{k}") for k in G.PREPARED])
 
 
-def _prepare(df: DataFrame, geom: str) -> DataFrame:
-    return df.withColumn(_PREP, G.prepared(F.col(geom)))
+def _prepared_side(prefix: str) -> dict[str, Column]:
+    return {k: F.col(f"{prefix}_{k}") for k in G.PREPARED}
+
+
+def kinds_of(df: DataFrame, geom: str = "geom") -> list[str]:
+    """Geometry kinds of a layer: at most three words, read from one column."""
+    return sorted(r[0] for r in df.where(F.col(geom).isNotNull()).select(F.col(geom)["kind"]).distinct().collect())
 
 
 def predicate_pairs(left: DataFrame, right: DataFrame, predicate: str = "intersects", cell: float = 1000.0,
-                    geom: str = "geom", right_geom: str | None = None) -> DataFrame:
-    """Pairs ``(l, r)`` for which ``predicate`` holds between the left and right geometry."""
+                    geom: str = "geom", right_geom: str | None = None, kinds: tuple | None = None) -> DataFrame:
+    """Pairs (``l_*``, ``r_*``) for which ``predicate`` holds between the left and right geometry.
+
+    The test is built for the kinds that occur (``kinds = (left kinds, right kinds)``, looked up when not given), so
+    points in polygons never carry the expressions for crossing lines.
+    """
     if predicate == "disjoint":
         raise ValueError("disjoint pairs are nearly all pairs; use extract_by_location(..., 'disjoint')")
+    lk, rk = kinds or (kinds_of(left, geom), kinds_of(right, right_geom or geom))
     lp, rp = _prepare(left, geom), _prepare(right, right_geom or geom)
-    pairs = pair_by_cell(lp, rp, F.col(_PREP)["bbox"], F.col(_PREP)["bbox"], cell)
-    return pairs.where(G.pair_predicate(predicate, F.col("l")[_PREP], F.col("r")[_PREP]))
+    pairs = pair_by_cell(lp, rp, F.col("_bbox"), F.col("_bbox"), cell)
+    hit = pairs.where(G.pair_predicate(predicate, _prepared_side("l_"), _prepared_side("r_"), lk, rk))
+    return hit.drop(*[f"{s}_{k}" for s in ("l_", "r_") for k in G.PREPARED])
 
 
 def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects", cell: float = 1000.0,
-                 geom: str = "geom", how: str = "inner", left_key: str | None = None) -> DataFrame:
+                 geom: str = "geom", how: str = "inner", left_key: str | None = None, kinds: tuple | None = None) -> DataFrame:
     """Attributes of ``right`` joined to ``left`` by location; ``how='left'`` keeps unmatched rows (needs ``left_key``)."""
-    right_cols = [c for c in right.columns if c != geom]
-    pairs = predicate_pairs(left, right, predicate, cell, geom)
-    out = pairs.select(*_flat(pairs, left.columns, right_cols))
+    taken = {c.lower() for c in left.columns}
+    pairs = predicate_pairs(left, right, predicate, cell, geom, kinds=kinds)
+    out = pairs.select(*[F.col(f"l_{c}").alias(c) for c in left.columns], *[
+        F.col(f"r_{c}").alias(c + "_right" if c.lower() in taken else c) for c in right.columns if c != geom])
     if how == "inner":
         return out
     if how != "left" or left_key is None:
@@ -50,44 +62,44 @@ def extract_by_location(layer: DataFrame, ref: DataFrame, predicate: str, key: s
     """Rows of ``layer`` in the given relation to any ``ref`` feature; ``disjoint`` keeps rows that meet none."""
     test = "intersects" if predicate == "disjoint" else predicate
     hits = predicate_pairs(layer.select(key, geom), ref.select(geom), test, cell, geom).select(
-        F.col("l")[key].alias(key)).distinct()
+        F.col(f"l_{key}").alias(key)).distinct()
     return layer.join(hits, key, "left_anti" if predicate == "disjoint" else "left_semi")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", geom: str = "geom",
                        cell: float = 1000.0, boundary: bool = True) -> DataFrame:
-    """Pairs ``(l, r)`` of points and the polygons that hold them (``boundary`` says whether edges count)."""
+    """Pairs (``l_*``, ``r_*``) of points and the polygons that hold them (``boundary`` says whether edges count)."""
     polys = polygons.withColumn(_SEGS, G.segments(F.col(geom)))
     pairs = pair_points(points, polys, x, y, G.bbox(F.col(geom)), cell)
-    at = G.locate(F.col("r")[_SEGS], F.col("l")[x], F.col("l")[y])
-    return pairs.where(at >= (0 if boundary else 1))
+    at = G.locate(F.col(f"r_{_SEGS}"), F.col(f"l_{x}"), F.col(f"l_{y}"))
+    return pairs.where(at >= (0 if boundary else 1)).drop(f"r_{_SEGS}")
 
 
 def count_points_in_polygon(polygons: DataFrame, points: DataFrame, key: str, field: str = "numpoints",
                             x: str = "x", y: str = "y", geom: str = "geom", cell: float = 1000.0) -> DataFrame:
     """``polygons`` with the number of points inside each; polygons without points keep a 0."""
     hits = points_in_polygons(points.select(x, y), polygons.select(key, geom), x, y, geom, cell, boundary=False)
-    counts = hits.groupBy(F.col("r")[key].alias(key)).agg(F.count("*").alias(field))
+    counts = hits.groupBy(F.col(f"r_{key}").alias(key)).agg(F.count("*").alias(field))
     return polygons.join(counts, key, "left").withColumn(field, F.coalesce(field, F.lit(0)))
 
 
 def within_distance(left: DataFrame, right: DataFrame, distance: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Pairs ``(l, r, dist)`` of point rows at most ``distance`` apart."""
+    """Pairs (``l_*``, ``r_*``, ``dist``) of point rows at most ``distance`` apart."""
     box = lambda: F.struct(*[F.col(c).cast("double").alias(n) for c, n in (
         (x, "xmin"), (y, "ymin"), (x, "xmax"), (y, "ymax"))])
     pairs = pair_by_cell(left, right, box(), box(), cell=2.0 * distance, expand=float(distance), salt_by=[x, y])
-    dist = F.hypot(F.col("l")[x] - F.col("r")[x], F.col("l")[y] - F.col("r")[y])
+    dist = F.hypot(F.col(f"l_{x}") - F.col(f"r_{x}"), F.col(f"l_{y}") - F.col(f"r_{y}"))
     return pairs.withColumn("dist", dist).where(F.col("dist") <= distance)
 
 
 def within_distance_of(points: DataFrame, layer: DataFrame, distance: float, x: str = "x", y: str = "y",
                        geom: str = "geom", cell: float | None = None) -> DataFrame:
-    """Pairs ``(l, r, dist)`` of points and geometries (any kind) at most ``distance`` apart."""
+    """Pairs (``l_*``, ``r_*``, ``dist``) of points and geometries (any kind) at most ``distance`` apart."""
     box = F.struct(*[F.col(c).cast("double").alias(n) for c, n in (
         (x, "xmin"), (y, "ymin"), (x, "xmax"), (y, "ymax"))])
     pairs = pair_by_cell(points, layer, box, G.bbox(F.col(geom)), cell or 2.0 * distance, expand=float(distance),
                          salt_by=[x, y])
-    return pairs.withColumn("dist", G.distance_to_point(F.col("r")[geom], F.col("l")[x], F.col("l")[y])).where(
+    return pairs.withColumn("dist", G.distance_to_point(F.col(f"r_{geom}"), F.col(f"l_{x}"), F.col(f"l_{y}"))).where(
         F.col("dist") <= distance)
 
 
@@ -98,19 +110,17 @@ def nearest(left: DataFrame, right: DataFrame, max_distance: float, left_key: st
     One pass per left key with map-side combining (``min`` of a struct), no sort of all candidates.
     """
     pairs = within_distance(left.select(left_key, x, y), right.select(right_key, x, y), max_distance, x, y)
-    best = pairs.groupBy(F.col("l")[left_key].alias(left_key)).agg(
-        F.min(F.struct(F.col("dist"), F.col("r")[right_key].alias("k"))).alias("b"))
+    best = pairs.groupBy(F.col(f"l_{left_key}").alias(left_key)).agg(
+        F.min(F.struct(F.col("dist"), F.col(f"r_{right_key}").alias("k"))).alias("b"))
     return best.select(left_key, F.col("b.k").alias(right_key), F.col("b.dist").alias("dist"))
 
 
 def self_overlaps(layer: DataFrame, key: str, geom: str = "geom", cell: float = 1000.0) -> DataFrame:
     """Unordered pairs of one layer that partially overlap (contact, containment and equality do not count)."""
-    slim = _prepare(layer.select(key, geom).where(F.col(geom).isNotNull() & G.is_valid(F.col(geom))), geom).drop(geom)
-    other = slim.select(*[F.col(c) for c in slim.columns])
-    pairs = pair_by_cell(slim, other, F.col(_PREP)["bbox"], F.col(_PREP)["bbox"], cell)
-    a, b = F.col("l"), F.col("r")
-    return pairs.where((a[key] < b[key]) & G.pair_predicate("overlaps", a[_PREP], b[_PREP])).select(
-        a[key].alias("a"), b[key].alias("b"))
+    slim = layer.select(key, geom).where(F.col(geom).isNotNull() & G.is_valid(F.col(geom)))
+    pairs = predicate_pairs(slim, slim, "overlaps", cell, geom, kinds=(kinds_of(layer, geom),) * 2)
+    return pairs.where(F.col(f"l_{key}") < F.col(f"r_{key}")).select(
+        F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"))
 
 
 def overlap_areas(left: DataFrame, right: DataFrame, left_key: str, right_key: str, geom: str = "geom",
@@ -120,8 +130,8 @@ def overlap_areas(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     rp = right.select(right_key, G.oriented_segments(F.col(geom)).alias(_SEGS), G.bbox(F.col(geom)).alias("_b"))
     pairs = pair_by_cell(lp, rp, F.col("_b"), F.col("_b"), cell)
     return pairs.select(
-        F.col("l")[left_key].alias(left_key), F.col("r")[right_key].alias(right_key),
-        G.overlap_area_segments(F.col("l")[_SEGS], F.col("r")[_SEGS]).alias("area")).where(F.col("area") > 1e-9)
+        F.col(f"l_{left_key}").alias(left_key), F.col(f"r_{right_key}").alias(right_key),
+        G.overlap_area_segments(F.col(f"l_{_SEGS}"), F.col(f"r_{_SEGS}")).alias("area")).where(F.col("area") > 1e-9)
 
 
 def detect_area(points: DataFrame, outlines: DataFrame, key: str, code: str, order: str, x: str = "x", y: str = "y",
@@ -129,11 +139,12 @@ def detect_area(points: DataFrame, outlines: DataFrame, key: str, code: str, ord
     """First outline (by ``order``) that strictly contains each point; NULL where none does."""
     hits = points_in_polygons(points.select(key, x, y), outlines.select(code, order, geom), x, y, geom, cell,
                               boundary=False)
-    first = hits.groupBy(F.col("l")[key].alias(key)).agg(F.min_by(F.col("r")[code], F.col("r")[order]).alias(code))
+    first = hits.groupBy(F.col(f"l_{key}").alias(key)).agg(F.min_by(F.col(f"r_{code}"), F.col(f"r_{order}")).alias(code))
     return points.join(first, key, "left")
 
 
-def bbox_filter(df: DataFrame, window: tuple, geom: str | None = None, x: str = "x", y: str = "y") -> DataFrame:
+def bbox_filter(df: DataFrame, window: tuple, geom: str | None = None, x: str = "x", y: str = "y",
+                kinds: tuple = G.KINDS) -> DataFrame:
     """Rows in a window: points by ``x``/``y``; layers by their stored box columns, then by exact geometry."""
     x0, y0, x1, y1 = (float(v) for v in window)
     if geom is None:
@@ -141,4 +152,6 @@ def bbox_filter(df: DataFrame, window: tuple, geom: str | None = None, x: str =
     if all(c in df.columns for c in ("xmin", "ymin", "xmax", "ymax")):
         df = df.where((F.col("xmax") >= x0) & (F.col("xmin") <= x1) & (F.col("ymax") >= y0) & (F.col("ymin") <= y1))
     win = G.prepared(G.box(x0, y0, x1, y1))
-    return df.where(G.pair_intersects(G.prepared(F.col(geom)), win))
+    p = _prepare(df, geom)
+    mine = {k: F.col(f"_{k}") for k in G.PREPARED}
+    return p.where(G.pair_predicate("intersects", mine, win, kinds, ("POLYGON",))).select(*df.columns)

@@ -9,8 +9,8 @@ from geoloom.operators import transit as T
 from geoloom.plans.registry import query
 from geoloom.plans.views import feed, view
 
-# a service day well inside every calendar, a Wednesday
-DAY = "1996-06-05"
+# a Thursday inside nearly every service range, with services added and removed
+DAY = "1997-03-13"
 
 ACTIVE = f"""active_services AS (
   SELECT service_id FROM (

@@ -46,20 +46,21 @@ VIEWS: dict[str, str] = {
                CAST(5400000 + 40 * CAST(floor(p_partkey / 500.0) AS BIGINT) AS BIGINT) AS y0
         FROM part""",
     "trips": """
-        SELECT CAST(o_custkey % 40 AS VARCHAR(20)) AS route_id, o_orderstatus AS service_id, o_orderkey AS trip_id
+        SELECT CAST(o_custkey % 40 AS VARCHAR(20)) AS route_id, o_custkey AS service_id, o_orderkey AS trip_id
         FROM orders""",
     "stop_times": """
         SELECT l_orderkey AS trip_id, l_suppkey AS stop_id, l_linenumber AS stop_sequence,
                (l_partkey * 37 + l_linenumber * 420) % 93600 AS dep
         FROM lineitem""",
+    # one service per customer, running from the first to the last order day
     "calendar": """
-        SELECT o_orderstatus AS service_id, CAST(min(o_orderdate) AS DATE) AS start_date,
+        SELECT o_custkey AS service_id, CAST(min(o_orderdate) AS DATE) AS start_date,
                CAST(max(o_orderdate) AS DATE) AS end_date,
-               CASE WHEN o_orderstatus IN ('F', 'O') THEN 1 ELSE 0 END AS weekday_flag,
-               CASE WHEN o_orderstatus IN ('P', 'O') THEN 1 ELSE 0 END AS weekend_flag
-        FROM orders GROUP BY o_orderstatus""",
+               CASE WHEN o_custkey % 3 <> 2 THEN 1 ELSE 0 END AS weekday_flag,
+               CASE WHEN o_custkey % 3 <> 0 THEN 1 ELSE 0 END AS weekend_flag
+        FROM orders GROUP BY o_custkey""",
     "calendar_dates": """
-        SELECT DISTINCT o_orderstatus AS service_id, CAST(o_orderdate AS DATE) AS day,
+        SELECT DISTINCT o_custkey AS service_id, CAST(o_orderdate AS DATE) AS day,
                CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 2 END AS exception_type
         FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""",
     # every vector is an 8 x 8 tile; 25 tiles to a row of the mosaic
