@@ -222,24 +222,36 @@ def on_segment(s: Column, x, y) -> Column:
             & (y >= F.least(s["y1"], s["y2"])) & (y <= F.greatest(s["y1"], s["y2"])))
 
 
+def _let(value: Column, test) -> Column:
+    """``test(value)`` with ``value`` evaluated once: higher-order functions do not share common subexpressions."""
+    return F.exists(F.array(value), test)
+
+
+def _sides(s: Column, t: Column) -> Column:
+    """Which side of each segment the other's ends lie on."""
+    return F.struct(
+        _orient(t["x1"], t["y1"], t["x2"], t["y2"], s["x1"], s["y1"]).alias("a"),
+        _orient(t["x1"], t["y1"], t["x2"], t["y2"], s["x2"], s["y2"]).alias("b"),
+        _orient(s["x1"], s["y1"], s["x2"], s["y2"], t["x1"], t["y1"]).alias("c"),
+        _orient(s["x1"], s["y1"], s["x2"], s["y2"], t["x2"], t["y2"]).alias("d"))
+
+
+def _boxes_meet(s: Column, t: Column) -> Column:
+    lo, hi = F.least, F.greatest
+    return ((lo(s["x1"], s["x2"]) <= hi(t["x1"], t["x2"])) & (lo(t["x1"], t["x2"]) <= hi(s["x1"], s["x2"]))
+            & (lo(s["y1"], s["y2"]) <= hi(t["y1"], t["y2"])) & (lo(t["y1"], t["y2"]) <= hi(s["y1"], s["y2"])))
+
+
 def segments_meet(s: Column, t: Column) -> Column:
-    """The closed segments share at least one point."""
-    d1 = F.signum(_orient(t["x1"], t["y1"], t["x2"], t["y2"], s["x1"], s["y1"]))
-    d2 = F.signum(_orient(t["x1"], t["y1"], t["x2"], t["y2"], s["x2"], s["y2"]))
-    d3 = F.signum(_orient(s["x1"], s["y1"], s["x2"], s["y2"], t["x1"], t["y1"]))
-    d4 = F.signum(_orient(s["x1"], s["y1"], s["x2"], s["y2"], t["x2"], t["y2"]))
-    return (((d1 * d2 < 0) & (d3 * d4 < 0))
-            | on_segment(t, s["x1"], s["y1"]) | on_segment(t, s["x2"], s["y2"])
-            | on_segment(s, t["x1"], t["y1"]) | on_segment(s, t["x2"], t["y2"]))
+    """The closed segments share at least one point: boxes meet and neither lies strictly to one side of the other."""
+    return _boxes_meet(s, t) & _let(_sides(s, t), lambda d: (
+        F.signum(d["a"]) * F.signum(d["b"]) <= 0) & (F.signum(d["c"]) * F.signum(d["d"]) <= 0))
 
 
 def segments_cross(s: Column, t: Column) -> Column:
     """The open segments cross at one interior point of both."""
-    d1 = F.signum(_orient(t["x1"], t["y1"], t["x2"], t["y2"], s["x1"], s["y1"]))
-    d2 = F.signum(_orient(t["x1"], t["y1"], t["x2"], t["y2"], s["x2"], s["y2"]))
-    d3 = F.signum(_orient(s["x1"], s["y1"], s["x2"], s["y2"], t["x1"], t["y1"]))
-    d4 = F.signum(_orient(s["x1"], s["y1"], s["x2"], s["y2"], t["x2"], t["y2"]))
-    return (d1 * d2 < 0) & (d3 * d4 < 0)
+    return _boxes_meet(s, t) & _let(_sides(s, t), lambda d: (
+        F.signum(d["a"]) * F.signum(d["b"]) < 0) & (F.signum(d["c"]) * F.signum(d["d"]) < 0))
 
 
 def locate(segs: Column, x, y) -> Column:
@@ -299,23 +311,28 @@ def overlap_area_segments(a: Column, b: Column) -> Column:
                  F.array_min(F.transform(b, lambda s: F.least(s["y1"], s["y2"]))))
 
     def at(t, x):
-        return t["ya"] + (t["yb"] - t["ya"]) * (x - t["xa"]) / F.nullif(t["xb"] - t["xa"], F.lit(0.0))
-
-    def shared(p, q):
-        lo, hi = F.greatest(p["xa"], q["xa"]), F.least(p["xb"], q["xb"])
-        pl, ph, ql, qh = at(p, lo), at(p, hi), at(q, lo), at(q, hi)
-        dl, dh = pl - ql, ph - qh
-        plain = (hi - lo) * (F.least(pl, ql) + F.least(ph, qh)) / 2.0
-        # where the edges cross, subtract the triangle between the crossing and the straight estimate
-        t = F.try_divide(dl, dl - dh)
-        mid = pl + (ph - pl) * t
-        split = (hi - lo) * (t * (F.least(pl, ql) + mid) + (1.0 - t) * (mid + F.least(ph, qh))) / 2.0
-        return F.when(lo < hi, p["sign"] * q["sign"] * F.when(dl * dh < 0, split).otherwise(plain)).otherwise(0.0)
+        return t["ya"] + (t["yb"] - t["ya"]) * (x - t["xa"]) / (t["xb"] - t["xa"])
+
+    def under_both(p, q):
+        """Area below both edges where their spans meet: heights at both ends of the common span, then the smaller."""
+        span = F.struct(F.greatest(p["xa"], q["xa"]).alias("lo"), F.least(p["xb"], q["xb"]).alias("hi"))
+        ends = F.transform(F.filter(F.array(span), lambda s: s["lo"] < s["hi"]), lambda s: F.struct(
+            (s["hi"] - s["lo"]).alias("w"), at(p, s["lo"]).alias("pl"), at(p, s["hi"]).alias("ph"),
+            at(q, s["lo"]).alias("ql"), at(q, s["hi"]).alias("qh")))
+        # edges that cross inside the span meet a share t of the way along
+        tt = lambda e: (e["pl"] - e["ql"]) / (e["pl"] - e["ql"] - e["ph"] + e["qh"])
+        area_of = lambda e: F.when(
+            (e["pl"] - e["ql"]) * (e["ph"] - e["qh"]) < 0,
+            F.aggregate(F.transform(F.array(tt(e)), lambda t: F.struct(
+                t.alias("t"), (e["pl"] + (e["ph"] - e["pl"]) * t).alias("m"))), F.lit(0.0), lambda z, k: z + e["w"] * (
+                k["t"] * (F.least(e["pl"], e["ql"]) + k["m"]) + (1.0 - k["t"]) * (k["m"] + F.least(e["ph"], e["qh"]))) / 2.0)
+        ).otherwise(e["w"] * (F.least(e["pl"], e["ql"]) + F.least(e["ph"], e["qh"])) / 2.0)
+        return F.aggregate(ends, F.lit(0.0), lambda z, e: z + p["sign"] * q["sign"] * area_of(e))
 
     tb = F.transform(F.filter(b, lambda s: s["x1"] != s["x2"]), lambda s: _trapezoid(s, y0))
     ta = F.transform(F.filter(a, lambda s: s["x1"] != s["x2"]), lambda s: _trapezoid(s, y0))
     return F.aggregate(ta, F.lit(0.0), lambda acc, p: acc + F.aggregate(
-        tb, F.lit(0.0), lambda in_, q: in_ + shared(p, q)))
+        tb, F.lit(0.0), lambda part, q: part + under_both(p, q)))
 
 
 def overlap_area(a: Column, b: Column) -> Column:
@@ -482,11 +499,11 @@ def _rule(name: str, a, b, ka: str, kb: str) -> Column:
     bound = F.transform(F.array(shared), lambda v: F.struct(
         (v > 1e-9 * F.least(a[whole], b[whole])).alias("some"), _same(v, a[whole]).alias("a"), _same(v, b[whole]).alias("b")))[0]
     test = (lambda r: r["some"] & r["a"] & r["b"]) if name == "equals" else (lambda r: r["some"] & ~r["a"] & ~r["b"])
-    return F.exists(F.array(bound), test)
+    return _let(bound, test)
 
 
 def _with_shares(l, p, test) -> Column:
-    return F.exists(F.array(line_shares(l["segs"], p["segs"])), test)
+    return _let(line_shares(l["segs"], p["segs"]), test)
 
 
 def _ends(l) -> Column:
@@ -504,7 +521,7 @@ def _lines_cross(a, b) -> Column:
 def _contains(a, b, ka: str, kb: str) -> Column:
     if ka == kb == "POLYGON":
         shared = overlap_area_segments(a["segs"], b["segs"])
-        return F.exists(F.array(shared), lambda v: (v > 1e-9 * F.least(a["area"], b["area"])) & _same(v, b["area"]))
+        return _let(shared, lambda v: (v > 1e-9 * F.least(a["area"], b["area"])) & _same(v, b["area"]))
     if kb == "POINT" and ka == "POLYGON":
         return F.forall(b["pts"], lambda v: locate(a["segs"], v[0], v[1]) >= 0) & _any_vertex(b, a, lambda at: at == 1)
     if ka == "POLYGON":
@@ -542,18 +559,20 @@ def _self_hits(segs: Column, closed: bool) -> Column:
     """Some two segments of one path meet other than at the vertex that neighbours share."""
     n = F.size(segs)
 
-    def bad(s, i, t, j):
-        neighbour = (j == i + 1) | (F.lit(closed) & (i == 0) & (j == n - 1))
-        # neighbours may share one vertex only: they are bad when they fold back onto each other
-        shared_x = F.when(j == i + 1, s["x2"]).otherwise(s["x1"])
-        shared_y = F.when(j == i + 1, s["y2"]).otherwise(s["y1"])
-        far = lambda o: ((o["x1"] != shared_x) | (o["y1"] != shared_y))
-        fold = F.when(far(t), on_segment(s, t["x1"], t["y1"])).otherwise(on_segment(s, t["x2"], t["y2"])) | F.when(
-            far(s), on_segment(t, s["x1"], s["y1"])).otherwise(on_segment(t, s["x2"], s["y2"]))
-        return (j > i) & F.when(neighbour, fold).otherwise(segments_meet(s, t))
+    def bad(a, b):
+        s, t, i, j = a["s"], b["s"], a["i"], b["i"]
+        # neighbours share one vertex; they are bad only when one folds back onto the other
+        next_to = F.when(j == i + 1, F.struct(s["x1"].alias("ux"), s["y1"].alias("uy"), s["x2"].alias("vx"), s["y2"].alias("vy"),
+                                              t["x2"].alias("wx"), t["y2"].alias("wy"))).when(
+            F.lit(closed) & (i == 0) & (j == n - 1), F.struct(
+                s["x2"].alias("ux"), s["y2"].alias("uy"), s["x1"].alias("vx"), s["y1"].alias("vy"),
+                t["x1"].alias("wx"), t["y1"].alias("wy")))
+        folds = lambda k: ((_orient(k["ux"], k["uy"], k["vx"], k["vy"], k["wx"], k["wy"]) == 0) & (
+            (k["ux"] - k["vx"]) * (k["wx"] - k["vx"]) + (k["uy"] - k["vy"]) * (k["wy"] - k["vy"]) > 0))
+        return (j > i) & _boxes_meet(s, t) & _let(next_to, lambda k: F.when(k.isNull(), segments_meet(s, t)).otherwise(folds(k)))
 
     tagged = F.transform(segs, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    return F.exists(tagged, lambda a: F.exists(tagged, lambda b: bad(a["s"], a["i"], b["s"], b["i"])))
+    return F.exists(tagged, lambda a: F.exists(tagged, lambda b: bad(a, b)))
 
 
 def _ring_segments(ring: Column) -> Column:
@@ -567,11 +586,12 @@ def is_valid(g: Column) -> Column:
     tagged = F.transform(rings(g), lambda r, i: F.struct(
         _pairs(r).alias("segs"), r.alias("ring"), i.alias("i"), is_shell(g, i).alias("shell"),
         F.get(g["ring_part"], i).alias("part")))
-    cross = F.exists(tagged, lambda a: F.exists(tagged, lambda b: (a["i"] < b["i"]) & F.exists(
+    many = F.size(rings(g)) > 1
+    cross = many & F.exists(tagged, lambda a: F.exists(tagged, lambda b: (a["i"] < b["i"]) & F.exists(
         a["segs"], lambda s: F.exists(b["segs"], lambda t: segments_cross(s, t)))))
-    stray_hole = F.exists(tagged, lambda h: ~h["shell"] & F.exists(tagged, lambda s: s["shell"] & (
+    stray_hole = many & F.exists(tagged, lambda h: ~h["shell"] & F.exists(tagged, lambda s: s["shell"] & (
         s["part"] == h["part"]) & F.exists(h["ring"], lambda v: locate(s["segs"], v[0], v[1]) == -1)))
-    nested = F.exists(tagged, lambda a: a["shell"] & F.exists(tagged, lambda b: b["shell"] & (a["i"] != b["i"]) & F.forall(
+    nested = many & F.exists(tagged, lambda a: a["shell"] & F.exists(tagged, lambda b: b["shell"] & (a["i"] != b["i"]) & F.forall(
         a["ring"], lambda v: locate(b["segs"], v[0], v[1]) == 1)))
     poly = ring_ok & ~cross & ~stray_hole & (~nested)
     return F.when(g["kind"] == "POLYGON", is_empty(g) | poly).when(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.operators.cells import pair_by_cell, pair_points
+from geoloom.session import cut_lineage
 
 _SEGS = "_segs"
 
@@ -115,12 +116,29 @@ def nearest(left: DataFrame, right: DataFrame, max_distance: float, left_key: st
     return best.select(left_key, F.col("b.k").alias(right_key), F.col("b.dist").alias("dist"))
 
 
+def relate(left: DataFrame, right: DataFrame, predicates: tuple, cell: float = 1000.0, geom: str = "geom",
+           kinds: tuple | None = None) -> DataFrame:
+    """All the listed relations that hold between meeting features, one row ``(predicate, l_*, r_*)`` each, in one join."""
+    lk, rk = kinds or (kinds_of(left, geom), kinds_of(right, geom))
+    pairs = pair_by_cell(_prepare(left, geom), _prepare(right, geom), F.col("_bbox"), F.col("_bbox"), cell)
+    a, b = _prepared_side("l_"), _prepared_side("r_")
+    names = F.array(*[F.when(G.pair_predicate(p, a, b, lk, rk), F.lit(p)) for p in predicates])
+    hit = pairs.withColumn("predicate", F.explode(F.array_compact(names)))
+    return hit.drop(*[f"{s}_{k}" for s in ("l_", "r_") for k in G.PREPARED])
+
+
 def self_overlaps(layer: DataFrame, key: str, geom: str = "geom", cell: float = 1000.0) -> DataFrame:
-    """Unordered pairs of one layer that partially overlap (contact, containment and equality do not count)."""
+    """Unordered pairs of one layer that partially overlap (contact, containment and equality do not count).
+
+    The checked and prepared layer is written once: both sides of the join, their grid levels and the count of hot
+    cells read it back instead of working the geometry out again.
+    """
+    kinds = kinds_of(layer, geom)
     slim = layer.select(key, geom).where(F.col(geom).isNotNull() & G.is_valid(F.col(geom)))
-    pairs = predicate_pairs(slim, slim, "overlaps", cell, geom, kinds=(kinds_of(layer, geom),) * 2)
-    return pairs.where(F.col(f"l_{key}") < F.col(f"r_{key}")).select(
-        F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"))
+    slim = cut_lineage(_prepare(slim, geom).drop(geom))
+    pairs = pair_by_cell(slim, slim, F.col("_bbox"), F.col("_bbox"), cell).where(F.col(f"l_{key}") < F.col(f"r_{key}"))
+    hit = pairs.where(G.pair_predicate("overlaps", _prepared_side("l_"), _prepared_side("r_"), kinds, kinds))
+    return hit.select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"))
 
 
 def overlap_areas(left: DataFrame, right: DataFrame, left_key: str, right_key: str, geom: str = "geom",

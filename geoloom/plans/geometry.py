@@ -208,7 +208,7 @@ def apply_where(spark, sf):
   AND NOT (variant = 2 AND x0 + 1000 < 502500 AND x0 + 3000 > 507500 AND y0 + 1000 < 5402500 AND y0 + 3000 > 5407500)""")
 def bbox_filter(spark, sf):
     s = J.bbox_filter(view(spark, sf, "sites"), (502000, 5403000, 509000, 5411000))
-    z = J.bbox_filter(G.with_bbox(zone_layer(spark, sf)), (502500, 5402500, 507500, 5407500), geom="geom")
+    z = J.bbox_filter(G.with_bbox(zone_layer(spark, sf)), (502500, 5402500, 507500, 5407500), geom="geom", kinds=("POLYGON",))
     return s.select(F.lit("site").alias("layer"), F.col("site_id").alias("id")).unionByName(
         z.select(F.lit("zone").alias("layer"), F.col("zone_id").cast("long").alias("id")))
 
@@ -311,12 +311,9 @@ def _boxes(spark, sf):
   UNION ALL SELECT 'overlaps', zone_id, bldg_id FROM p WHERE w > 0 AND h > 0 AND NOT inside""")
 def box_predicates(spark, sf):
     a, b = _boxes(spark, sf)
-    out = None
-    for name in ("intersects", "contains", "touches", "overlaps", "within", "equals", "crosses"):
-        hit = J.predicate_pairs(a, b, name, cell=1200).select(
-            F.lit(name).alias("predicate"), F.col("l_zone_id").alias("zone_id"), F.col("r_bldg_id").alias("bldg_id"))
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    names = ("intersects", "contains", "touches", "overlaps", "within", "equals", "crosses")
+    hit = J.relate(a, b, names, cell=1200, kinds=(("POLYGON",), ("POLYGON",)))
+    return hit.select("predicate", F.col("l_zone_id").alias("zone_id"), F.col("r_bldg_id").alias("bldg_id"))
 
 
 @query("overlap_area", _BOX + "SELECT zone_id, bldg_id, CAST(w * h AS DOUBLE) AS area FROM p WHERE w > 0 AND h > 0")

@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call-site capture for every column expression costs more than planning the query
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
