@@ -147,7 +147,7 @@ def geometry_types(spark, sf):
 
 
 @query("class_breaks", """WITH q AS (SELECT quantile_cont(p_retailprice, [0.2, 0.4, 0.6, 0.8, 1.0]) AS b, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part),
-c AS (SELECT p_partkey, len(list_filter(b, x -> x < p_retailprice)) AS quantile, least(4, CASE WHEN p_retailprice <= lo + (hi - lo) * 1 / 5 THEN 0 WHEN p_retailprice <= lo + (hi - lo) * 2 / 5 THEN 1
+c AS (SELECT p_partkey, len(list_filter(b, lambda x: x < p_retailprice)) AS quantile, least(4, CASE WHEN p_retailprice <= lo + (hi - lo) * 1 / 5 THEN 0 WHEN p_retailprice <= lo + (hi - lo) * 2 / 5 THEN 1
   WHEN p_retailprice <= lo + (hi - lo) * 3 / 5 THEN 2 WHEN p_retailprice <= lo + (hi - lo) * 4 / 5 THEN 3 ELSE 4 END) AS equal_interval FROM part, q)
 SELECT quantile, equal_interval, count(*) AS n FROM c GROUP BY ALL""")
 def class_breaks(spark, sf):
@@ -380,11 +380,11 @@ def recent_datasets(spark, sf):
 
 
 @query("formats", f"""SELECT ds_id, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024.0) ELSE printf('%.1f MB', size_bytes / 1048576.0) END AS size,
- datediff('day', last_used, DATE '{TODAY}') AS age, CASE WHEN size_bytes % 400 < 90 THEN printf('%.0fs', CAST(size_bytes % 400 AS DOUBLE)) ELSE printf('%.1fmin', (size_bytes % 400) / 60.0) END AS took FROM inventory""")
+ datediff('day', last_used, DATE '{TODAY}') AS age, CASE WHEN size_bytes % 4000 / 7.3 < 90 THEN printf('%.0fs', size_bytes % 4000 / 7.3) ELSE printf('%.1fmin', size_bytes % 4000 / 7.3 / 60.0) END AS took FROM inventory""")
 def formats(spark, sf):
     i = view(spark, sf, "inventory")
     return i.select("ds_id", X.human_size(F.col("size_bytes")).alias("size"), F.datediff(F.lit(TODAY), "last_used").cast("long").alias("age"),
-                    X.fmt_duration(F.col("size_bytes") % 400).alias("took"))
+                    X.fmt_duration(F.col("size_bytes") % 4000 / 7.3).alias("took"))
 
 
 # ---------------------------------------------------------------- catalogue
@@ -411,13 +411,13 @@ def rank_candidates(spark, sf):
 
 
 _EXT = "lower(regexp_extract(regexp_extract(regexp_replace(regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '[^/]*$'), '.(\\.[^.]*)$', 1))"
-_RES = """SELECT page_id, url || CASE page_id % 6 WHEN 0 THEN '&SERVICE=WFS&REQUEST=GetFeature&TYPENAME=a%3Ab' || page_id WHEN 1 THEN '&service=wms' WHEN 2 THEN '' ELSE '' END AS u0,
+_RES = """SELECT page_id, url || CASE page_id % 6 WHEN 0 THEN CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'SERVICE=WFS&REQUEST=GetFeature&TYPENAME=a%3Ab' || page_id WHEN 1 THEN '&service=wms' WHEN 2 THEN '' ELSE '' END AS u0,
  CASE page_id % 6 WHEN 3 THEN '.geojson' WHEN 4 THEN '.csv' ELSE '' END AS ext, CASE page_id % 3 WHEN 0 THEN 'CSV' WHEN 1 THEN 'Shapefile (zip)' ELSE 'pdf' END AS fmt FROM pages"""
 
 
 def _resources(spark, sf):
     i = F.col("page_id")
-    tail = F.when(i % 6 == 0, F.concat(F.lit("&SERVICE=WFS&REQUEST=GetFeature&TYPENAME=a%3Ab"), i.cast("string"))).when(
+    tail = F.when(i % 6 == 0, F.concat(F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("SERVICE=WFS&REQUEST=GetFeature&TYPENAME=a%3Ab"), i.cast("string"))).when(
         i % 6 == 1, "&service=wms").otherwise("")
     u = F.concat(F.col("url"), tail)
     u = F.when(i % 6 == 3, F.concat(F.regexp_replace(u, r"\?.*$", ""), F.lit(".geojson"))).when(
@@ -438,8 +438,8 @@ def classify_resources(spark, sf):
     return x.select("page_id", X.classify_resource(F.col("u"), F.col("fmt")).alias("service"), X.vector_suffix(F.col("u"), F.col("fmt")).alias("suffix"))
 
 
-@query("wfs_split", f"""WITH {_RESU}, q AS (SELECT page_id, regexp_replace(u, '[?#].*$', '') AS b, list_filter(string_split(regexp_extract(u, '\\?([^#]*)', 1), '&'), x -> x <> '') AS ps, u FROM e WHERE contains(u, 'SERVICE=WFS')),
-k AS (SELECT *, list_filter(ps, x -> lower(split_part(x, '=', 1)) NOT IN ('service', 'request', 'typename')) AS keep FROM q)
+@query("wfs_split", f"""WITH {_RESU}, q AS (SELECT page_id, regexp_replace(u, '[?#].*$', '') AS b, list_filter(string_split(regexp_extract(u, '\\?([^#]*)', 1), '&'), lambda x: x <> '') AS ps, u FROM e WHERE contains(u, 'SERVICE=WFS')),
+k AS (SELECT *, list_filter(ps, lambda x: lower(split_part(x, '=', 1)) NOT IN ('service', 'request', 'typename')) AS keep FROM q)
 SELECT page_id, CASE WHEN len(keep) > 0 THEN b || '?' || array_to_string(keep, '&') ELSE b END AS base, 'a:b' || page_id AS typename FROM k""")
 def wfs_split(spark, sf):
     x = _resources(spark, sf).where(F.col("u").contains("SERVICE=WFS")).withColumn("w", X.wfs_split(F.col("u")))
@@ -467,7 +467,7 @@ def mentioned(spark, sf):
 
 
 @query("area_identity", """WITH t AS (SELECT p_partkey, 'ws/' || replace(p_name, ' ', '_') || '_boundary.gpkg' AS path, p_type AS name, p_name FROM part),
-k AS (SELECT *, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), x -> length(x) >= 4) AS a, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), x -> length(x) >= 4) AS b FROM t)
+k AS (SELECT *, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: length(x) >= 4) AS a, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: length(x) >= 4) AS b FROM t)
 SELECT p_partkey, len(a) > 0 AND len(b) > 0 AND NOT list_has_any(a, b) AS conflict FROM k""")
 def area_identity(spark, sf):
     p = view(spark, sf, "part")
@@ -475,9 +475,9 @@ def area_identity(spark, sf):
     return p.select("p_partkey", X.area_identity_conflict(path, F.col("p_type")).alias("conflict"))
 
 
-@query("acquisition_years", """WITH n AS (SELECT o_custkey, 'dop_32_' || o_orderkey || '_1_nw_' || (CASE WHEN o_orderkey % 5 = 0 THEN 1800 ELSE 2000 END + o_orderkey % 23) || '.jp2' AS name FROM orders)
-SELECT o_custkey, array_to_string(list_sort(list_distinct(list(CAST(regexp_extract(name, '_((?:19|20)\\d{2})[._]', 1) AS INT)) FILTER (WHERE regexp_matches(name, '_((?:19|20)\\d{2})[._]')))), ',') AS years
-FROM n GROUP BY o_custkey""")
+@query("acquisition_years", """WITH n AS (SELECT o_custkey, 'dop_32_' || o_orderkey || '_1_nw_' || (CASE WHEN o_orderkey % 5 = 0 THEN 1800 ELSE 2000 END + o_orderkey % 23) || '.jp2' AS name FROM orders),
+y AS (SELECT o_custkey, y FROM n LEFT JOIN LATERAL (SELECT unnest(regexp_extract_all(name, '_((?:19|20)\\d{2})[._]', 1)) AS y) ON true)
+SELECT o_custkey, string_agg(DISTINCT y, ',' ORDER BY y) AS years FROM y GROUP BY o_custkey""")
 def acquisition_years(spark, sf):
     k = F.col("o_orderkey")
     s = lambda c: c.cast("string")
@@ -546,14 +546,14 @@ def latest_per_test(spark, sf):
     return TL.latest_per_test(view(spark, sf, "history"), ["ts", "event_id"]).select("test_id", "event_id", "model", "duration_s")
 
 
-@query("message_gaps", """SELECT conv_id, turn, at - (SELECT p.at FROM messages p WHERE p.conv_id = m.conv_id AND p.turn < m.turn AND p.at IS NOT NULL ORDER BY p.turn DESC LIMIT 1) AS gap FROM messages m""")
+@query("message_gaps", """SELECT conv_id, turn, sent - last_value(sent IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM messages""")
 def message_gaps(spark, sf):
-    return TL.message_gaps(view(spark, sf, "messages"), "conv_id", "turn", "at").select("conv_id", "turn", "gap")
+    return TL.message_gaps(view(spark, sf, "messages"), "conv_id", "turn", "sent").select("conv_id", "turn", "gap")
 
 
 @query("context_changes", """WITH m AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM conversations WHERE text <> ''),
-s AS (SELECT conv_id, turn, list_filter(string_split(text, '. '), x -> trim(x) <> '') AS now, list_filter(string_split(was, '. '), x -> trim(x) <> '') AS old, text, was FROM m)
-SELECT conv_id, turn, len(now) AS sections, CASE WHEN was IS NOT NULL THEN len(list_filter(list_distinct(now), x -> NOT list_contains(old, x))) END AS changed, was IS NOT NULL AS resent
+s AS (SELECT conv_id, turn, list_filter(string_split(text, '. '), lambda x: trim(x) <> '') AS now, list_filter(string_split(was, '. '), lambda x: trim(x) <> '') AS old, text, was FROM m)
+SELECT conv_id, turn, len(now) AS sections, CASE WHEN was IS NOT NULL THEN len(list_filter(list_distinct(now), lambda x: NOT list_contains(old, x))) END AS changed, was IS NOT NULL AS resent
 FROM s WHERE was IS NULL OR text <> was""")
 def context_changes(spark, sf):
     c = TL.context_changes(view(spark, sf, "conversations"), "conv_id", "turn", "text", r"\. ")
@@ -565,8 +565,8 @@ def shard(spark, sf):
     return TL.shard(view(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 7).select("o_orderkey", F.col("shard").cast("long").alias("shard"))
 
 
-@query("stalest", """WITH u AS (SELECT o_custkey AS k, max(CAST(o_orderdate AS TIMESTAMP)) AS at FROM orders GROUP BY 1 UNION ALL SELECT user_id, max(ts) FROM events GROUP BY 1), l AS (SELECT k, max(at) AS at FROM u GROUP BY k)
-SELECT c_custkey AS test_id, strftime(at, '%Y-%m-%d %H:%M:%S') AS last_used FROM customer LEFT JOIN l ON l.k = c_custkey ORDER BY at NULLS FIRST, c_custkey LIMIT 50""")
+@query("stalest", """WITH u AS (SELECT o_custkey AS k, max(CAST(o_orderdate AS TIMESTAMP)) AS t FROM orders GROUP BY 1 UNION ALL SELECT user_id, max(ts) FROM events GROUP BY 1), l AS (SELECT k, max(t) AS t FROM u GROUP BY k)
+SELECT c_custkey AS test_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS last_used FROM customer LEFT JOIN l ON l.k = c_custkey ORDER BY t NULLS FIRST, c_custkey LIMIT 50""")
 def stalest(spark, sf):
     bank = view(spark, sf, "customer").select(F.col("c_custkey").alias("test_id"), F.col("c_custkey").alias("position"))
     o = view(spark, sf, "orders").select(F.col("o_custkey").alias("test_id"), F.col("o_orderdate").cast("timestamp").alias("at"))
@@ -577,10 +577,10 @@ def stalest(spark, sf):
 _TOOLS = ("list_value(" + ", ".join(f"CASE WHEN event_id % {m} = 0 THEN '{t}' END" for t, m in (("geocode", 2), ("osm", 3), ("clip", 5))) + ", event_type)")
 
 
-@query("tool_coverage", f"""WITH t AS (SELECT event_id, list_filter({_TOOLS}, x -> x IS NOT NULL) AS called FROM events),
-m AS (SELECT event_id, called, list_filter(['geocode', 'osm | clip', 'click'], e -> NOT list_has_any(called, list_transform(string_split(e, '|'), a -> trim(a)))) AS missing FROM t)
+@query("tool_coverage", f"""WITH t AS (SELECT event_id, list_filter({_TOOLS}, lambda x: x IS NOT NULL) AS called FROM events),
+m AS (SELECT event_id, called, list_filter(['geocode', 'osm | clip', 'click'], lambda e: NOT list_has_any(called, list_transform(string_split(e, '|'), lambda a: trim(a)))) AS missing FROM t)
 SELECT event_id, round((3 - len(missing)) / 3.0::DOUBLE, 6) AS coverage, array_to_string(missing, ';') AS missing, len(called) AS calls, round(len(called) / 3.0, 1)::DOUBLE AS per_step,
- len(list_filter(called, x -> x NOT IN ('geocode', 'osm', 'clip', 'click'))) AS offplan FROM m""")
+ len(list_filter(called, lambda x: x NOT IN ('geocode', 'osm', 'clip', 'click'))) AS offplan FROM m""")
 def tool_coverage(spark, sf):
     k = F.col("event_id")
     called = F.array_compact(F.array(F.when(k % 2 == 0, "geocode"), F.when(k % 3 == 0, "osm"), F.when(k % 5 == 0, "clip"), F.col("event_type")))
@@ -611,7 +611,7 @@ def protocol_parse(spark, sf):
     return c.select("conv_id", "turn", F.array_join(X.protocol_tools(F.col("p")), ",").alias("tools"), F.array_join(X.protocol_errors(F.col("p")), ";").alias("errors"))
 
 
-@query("set_differences", """SELECT conv_id, turn, len(list_filter(list_distinct(a), x -> NOT list_contains(b, x))) AS only_a, len(list_filter(list_distinct(a), x -> list_contains(b, x))) AS both FROM (SELECT conv_id, turn, string_split(text, ' ') AS a,
+@query("set_differences", """SELECT conv_id, turn, len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS only_a, len(list_filter(list_distinct(a), lambda x: list_contains(b, x))) AS both FROM (SELECT conv_id, turn, string_split(text, ' ') AS a,
  string_split((SELECT text FROM benchmark WHERE item_id = 0), ' ') AS b FROM conversations)""")
 def set_differences(spark, sf):
     b = view(spark, sf, "benchmark").where("item_id = 0").select(F.split("text", " ")).scalar()

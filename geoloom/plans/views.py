@@ -41,7 +41,7 @@ VIEWS: dict[str, str] = {
         FROM customer""",
     # boxes of side p_size on a 40 m street lattice: neighbours overlap where the side passes 40
     "footprints": """
-        SELECT p_partkey AS bldg_id, p_size AS side, p_retailprice / 100 AS height, p_brand AS street, p_type AS use,
+        SELECT p_partkey AS bldg_id, p_size AS side, p_retailprice / 100 + p_size % 17 + 0.001 AS height, p_brand AS street, p_type AS use,
                CAST(500000 + 40 * (p_partkey % 500) AS BIGINT) AS x0,
                CAST(5400000 + 40 * CAST(floor(p_partkey / 500.0) AS BIGINT) AS BIGINT) AS y0
         FROM part""",
@@ -83,12 +83,12 @@ VIEWS: dict[str, str] = {
         FROM events""",
     "messages": """
         SELECT conv_id, turn, role, text,
-               CASE WHEN length(text) % 5 = 0 THEN NULL ELSE conv_id * 1000 + turn * 60 + length(text) % 60 END AS at
+               CASE WHEN length(text) % 5 = 0 THEN NULL ELSE conv_id * 1000 + turn * 60 + length(text) % 60 END AS sent
         FROM conversations""",
     "points": """
         SELECT 500000 + (l_orderkey * 37 + l_partkey) % 1000 AS x,
                5400000 + CAST(floor(l_orderkey / 100.0) AS BIGINT) + l_suppkey % 7 AS y,
-               round(l_extendedprice / 1000, 3) AS z, l_linenumber AS classification, l_orderkey AS key,
+               floor(l_extendedprice) / 1000.0 AS z, l_linenumber AS classification, l_orderkey AS key,
                l_partkey AS part_key, l_suppkey AS supp_key
         FROM lineitem""",
     "inventory": """
