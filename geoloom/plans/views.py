@@ -41,7 +41,7 @@ VIEWS: dict[str, str] = {
         FROM customer""",
     # boxes of side p_size on a 40 m street lattice: neighbours overlap where the side passes 40
     "footprints": """
-        SELECT p_partkey AS bldg_id, p_size AS side, p_retailprice / 100 + p_size % 17 + 0.001 AS height, p_brand AS street, p_type AS use,
+        SELECT p_partkey AS bldg_id, p_size AS side, p_retailprice / 100 + p_size % 17 + 0.00003 AS height, p_brand AS street, p_type AS use,
                CAST(500000 + 40 * (p_partkey % 500) AS BIGINT) AS x0,
                CAST(5400000 + 40 * CAST(floor(p_partkey / 500.0) AS BIGINT) AS BIGINT) AS y0
         FROM part""",
