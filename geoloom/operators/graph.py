@@ -6,6 +6,9 @@ only thing the driver sees is a count.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +34,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = salted_join(both.where("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = salted_join(both.where("v > u"), least, ["u"], ["v"], total=last[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # every row now points from a node to a smaller one
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(down, low, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        small = salted_join(down, low, ["u"], ["v"], total=last[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v")))
         e = cut_lineage(small.where("u <> v").distinct())
         now = mark(e)
@@ -105,15 +108,98 @@ def _cycles(edges: DataFrame, group: list[str], left_first: bool, max_rounds: in
     raise RuntimeError("rings did not settle; raise max_rounds")
 
 
-def stitch_rings(edges: DataFrame, group: list[str], max_rounds: int = 64) -> DataFrame:
+WALK_EDGES = 50_000
+
+
+def stitch_rings(edges: DataFrame, group: list[str], max_rounds: int = 64, walk_edges: int = WALK_EDGES) -> DataFrame:
     """Directed boundary edges ``(group, x1, y1, x2, y2)`` to closed rings ``(group, ring, seq, x, y)``.
 
     The interior lies to the left of each edge, so shells run counter-clockwise and holes clockwise. Where rings share
     a corner the walk turns left for shells and right for holes, which keeps rings from touching themselves.
     Rings are found by pointer doubling: after n rounds every edge knows the least edge among the 2^n that follow, and
     then its distance to that edge, so a ring of a million corners takes twenty rounds and no task holds it whole.
+    Groups of up to ``WALK_EDGES`` edges - nearly all polygons - are walked edge by edge, one group to a task; the
+    doubling is for the outlines of whole coastlines. Both give the same rings.
     """
-    e = edges.select(*group, "x1", "y1", "x2", "y2").distinct()
+    e = cut_lineage(edges.select(*group, "x1", "y1", "x2", "y2").distinct())
+    sizes = cut_lineage(e.groupBy(*group).agg(F.count("*").alias("_n")))
+    small, large = sizes.where(F.col("_n") <= walk_edges), sizes.where(F.col("_n") > walk_edges)
+    out = None
+    if not small.isEmpty():
+        out = _walk_rings(e.join(small.select(*group), group, "left_semi"), group)
+    if not large.isEmpty():
+        far = _double_rings(cut_lineage(e.join(large.select(*group), group, "left_semi")), group, max_rounds)
+        out = far if out is None else out.unionByName(far)
+    return out if out is not None else _walk_rings(e, group)
+
+
+def _walk_rings(edges: DataFrame, group: list[str]) -> DataFrame:
+    types = dict(edges.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in group) + ", r1 double, r2 double, r3 double, r4 double, seq int, x double, y double"
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        out_of: dict = {}
+        for x1, y1, x2, y2 in pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False):
+            out_of.setdefault((x1, y1), []).append((x2, y2))
+        rows: list = []
+        for start in sorted(out_of):
+            while out_of[start]:
+                ring, here = [start], out_of[start].pop()
+                while here != start or out_of[start] and _keeps_left(ring, here, out_of[start]):
+                    ring.append(here)
+                    ways = out_of.get(here)
+                    if not ways:
+                        raise ValueError(f"boundary is open at {here}")
+                    here = ways.pop(_leftmost(ring[-2], here, ways))
+                rows += _simple_loops(ring)
+        keys = [pdf[c].iloc[0] for c in group]
+        flat = [(*keys, *r, k, *p) for r, pts in rows for k, p in enumerate(pts)]
+        return pd.DataFrame(flat, columns=[*group, "r1", "r2", "r3", "r4", "seq", "x", "y"])
+
+    got = edges.groupBy(*group).applyInPandas(lambda pdf: walk(pdf), schema)
+    ring = F.struct(*[F.col(a).alias(b) for a, b in zip(("r1", "r2", "r3", "r4"), ("x1", "y1", "x2", "y2"))])
+    return got.select(*group, ring.alias("ring"), "seq", "x", "y")
+
+
+def _leftmost(came: tuple, here: tuple, ways: list) -> int:
+    """Index of the way out that turns farthest left."""
+    if len(ways) == 1:
+        return 0
+    back = math.atan2(came[1] - here[1], came[0] - here[0])
+    return max(range(len(ways)), key=lambda i: (math.atan2(ways[i][1] - here[1], ways[i][0] - here[0]) - back) % (2 * math.pi))
+
+
+def _keeps_left(ring: list, start: tuple, ways: list) -> bool:
+    """Back at the start: does an unused way out turn farther left than the ring's own first edge?"""
+    return _leftmost(ring[-1], start, [*ways, ring[1]]) != len(ways)
+
+
+def _simple_loops(ring: list) -> list:
+    """``(least edge, corners)`` of a ring; a hole that touches itself falls into its simple loops."""
+    turn = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))
+    loops, path, seen = [], [], {}
+    if turn >= 0 or len(set(ring)) == len(ring):
+        loops.append(ring)
+    else:
+        for p in [*ring, ring[0]]:
+            if p in seen:
+                cut = seen[p]
+                loops.append(path[cut:])
+                for q in path[cut + 1:]:
+                    del seen[q]
+                path = path[:cut + 1]
+            else:
+                seen[p] = len(path)
+                path.append(p)
+    out = []
+    for loop in loops:
+        k = min(range(len(loop)), key=lambda i: (*loop[i], *loop[(i + 1) % len(loop)]))
+        loop = loop[k:] + loop[:k]
+        out.append(((*loop[0], *loop[1]), loop))
+    return out
+
+
+def _double_rings(e: DataFrame, group: list[str], max_rounds: int) -> DataFrame:
     cyc = _cycles(e, group, True, max_rounds)
     area = cyc.groupBy(*group, "least").agg(F.sum(
         (F.col("id.x1") - F.col("least.x1")) * (F.col("id.y2") - F.col("least.y1"))

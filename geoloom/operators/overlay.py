@@ -20,7 +20,8 @@ from geoloom.operators.skew import salted_join
 from geoloom.operators.spatial import points_in_polygons
 from geoloom.session import cut_lineage
 
-GRID, EPS = 1e-3, 1e-4
+# side points must lie farther from a piece than snapping can have moved it
+GRID, EPS = 1e-4, 5e-4
 
 
 def _edges(layer: DataFrame, geom: str, grid: float) -> DataFrame:
@@ -46,21 +47,27 @@ def split_edges(edges: DataFrame, cell: float, grid: float = GRID) -> DataFrame:
     e = cut_lineage(edges)
     pairs = pair_by_cell(e, e.select("*"), _edge_box(), _edge_box(), cell, salt_by=["x1", "y1", "x2", "y2"])
     whole = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    pairs = pairs.select(whole("l_").alias("l"), whole("r_").alias("r")).where("l <> r")
-    s, o = F.col("l"), F.col("r")
-    cuts = pairs.select("l", F.explode(G._cut_params(s, F.array(o))).alias("t")).where("t > 0 and t < 1")
-    ts = cuts.groupBy("l").agg(F.array_sort(F.collect_set("t")).alias("ts"))
-    every = e.select(F.struct("x1", "y1", "x2", "y2").alias("l")).join(ts, "l", "left")
-    t = F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(1.0)))
+    pairs = pairs.select(whole("l_").alias("s"), whole("r_").alias("o")).where("s <> o").where(
+        G.segments_meet(F.col("s"), F.col("o")))
     r = lambda v: F.bround(v / grid) * grid
-
-    def at(k):
-        return F.when(k == 0, F.struct(F.col("l.x1").alias("x"), F.col("l.y1").alias("y"))).when(
-            k == 1, F.struct(F.col("l.x2").alias("x"), F.col("l.y2").alias("y"))).otherwise(F.struct(
-                r(F.col("l.x1") + k * (F.col("l.x2") - F.col("l.x1"))).alias("x"),
-                r(F.col("l.y1") + k * (F.col("l.y2") - F.col("l.y1"))).alias("y")))
-
-    v = every.withColumn("v", F.transform(t, at))
+    # the meeting point is worked out from the lesser edge for both edges of a pair, so both are cut at the same place
+    m = pairs.withColumn("a", F.least("s", "o")).withColumn("b", F.greatest("s", "o"))
+    dx, dy = F.col("a.x2") - F.col("a.x1"), F.col("a.y2") - F.col("a.y1")
+    ex, ey = F.col("b.x2") - F.col("b.x1"), F.col("b.y2") - F.col("b.y1")
+    den = dx * ey - dy * ex
+    t = ((F.col("b.x1") - F.col("a.x1")) * ey - (F.col("b.y1") - F.col("a.y1")) * ex) / F.nullif(den, F.lit(0.0))
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    meet = F.when(den != 0, F.array(pt(r(F.col("a.x1") + t * dx), r(F.col("a.y1") + t * dy)))).otherwise(
+        F.array(pt(F.col("o.x1"), F.col("o.y1")), pt(F.col("o.x2"), F.col("o.y2"))))
+    sx, sy = F.col("s.x2") - F.col("s.x1"), F.col("s.y2") - F.col("s.y1")
+    along = ((F.col("p.x") - F.col("s.x1")) * sx + (F.col("p.y") - F.col("s.y1")) * sy) / (sx * sx + sy * sy)
+    cuts = m.select("s", F.explode(meet).alias("p")).withColumn("t", along).where(
+        (F.col("t") > 0) & (F.col("t") < 1) & (F.col("p") != pt(F.col("s.x1"), F.col("s.y1"))) & (
+            F.col("p") != pt(F.col("s.x2"), F.col("s.y2"))))
+    inner = cuts.groupBy(F.col("s").alias("l")).agg(F.array_sort(F.collect_set(F.struct("t", "p"))).alias("ts"))
+    every = e.select(F.struct("x1", "y1", "x2", "y2").alias("l")).join(inner, "l", "left")
+    mid = F.coalesce(F.transform("ts", lambda k: k["p"]), F.array().cast("array<struct<x:double,y:double>>"))
+    v = every.withColumn("v", F.concat(F.array(pt(F.col("l.x1"), F.col("l.y1"))), mid, F.array(pt(F.col("l.x2"), F.col("l.y2")))))
     p = v.select(F.explode(F.zip_with(F.slice("v", 1, F.size("v") - 1), F.slice("v", 2, F.size("v")),
                                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
     swap = (F.col("p.a.x") > F.col("p.b.x")) | ((F.col("p.a.x") == F.col("p.b.x")) & (F.col("p.a.y") > F.col("p.b.y")))

@@ -12,13 +12,16 @@ MAX_HOT = 10_000
 
 
 def salted_join(probe: DataFrame, build: DataFrame, keys: list[str], salt_by: list[str], how: str = "inner",
-                rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+                rows_per_salt: int = ROWS_PER_SALT, total: int | None = None) -> DataFrame:
     """Equi-join in which hot keys of ``probe`` are spread over several tasks.
 
     Hot keys come from one map-side-combined count; their ``build`` rows are repeated once per salt. ``how`` may be
     ``inner``, ``left``, ``left_semi`` or ``left_anti`` (the probe side is never repeated, so all of them stay exact).
-    ``salt_by`` names probe columns whose hash picks the salt, which keeps retried tasks deterministic.
+    ``salt_by`` names probe columns whose hash picks the salt, which keeps retried tasks deterministic. Where the caller
+    knows the probe's row count, ``total`` saves the count of hot keys: below ``rows_per_salt`` rows no key can be hot.
     """
+    if total is not None and total <= rows_per_salt:
+        return probe.join(build, keys, how)
     hot = F.broadcast(
         probe.groupBy(*keys).count().where(F.col("count") > rows_per_salt)
         .orderBy(F.desc("count")).limit(MAX_HOT)

@@ -275,7 +275,7 @@ def read_asc_grid(spark: SparkSession, path: str) -> DataFrame:
 
     Each file is one tile and one task; the header rides along with its rows.
     """
-    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.trim("value"), r"\r?\n").alias("l"))
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "").alias("l"))
     is_head = lambda s: F.trim(s).rlike(r"^[A-Za-z]")
     head = F.map_from_entries(F.transform(F.filter("l", is_head), lambda s: F.struct(
         F.lower(F.substring_index(F.trim(s), " ", 1)), F.regexp_extract(s, r"\s([-+0-9.eE]+)\s*$", 1).cast("double"))))
