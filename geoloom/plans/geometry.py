@@ -152,7 +152,7 @@ def buffer_circle(spark, sf):
     return b.select("site_id", G.num_vertices(G0).alias("vertices"), F.round(G.area(G0), 3).alias("area"))
 
 
-@query("newell_normal", """SELECT bldg_id, CAST(0 AS DOUBLE) AS nx, round(-side * height, 4) AS ny, CAST(side * side AS DOUBLE) AS nz,
+@query("newell_normal", """SELECT bldg_id, CAST(0 AS DOUBLE) AS nx, round(-side * height, 6) AS ny, CAST(side * side AS DOUBLE) AS nz,
   round(degrees(atan2(height, side)), 6) AS slope, CAST(180 AS DOUBLE) AS azimuth FROM footprints""")
 def newell_normal(spark, sf):
     f = view(spark, sf, "footprints")
@@ -162,7 +162,7 @@ def newell_normal(spark, sf):
     # a roof face rising northwards: it looks south
     ring = F.array(v(x, y, x), v(x + s, y, x), v(x + s, y + s, h), v(x, y + s, h), v(x, y, x))
     t = f.withColumn("r", ring).withColumn("n", G.newell_normal(F.col("r"))).withColumn("o", G.face_orientation(F.col("r")))
-    return t.select("bldg_id", (F.col("n.nx") / 2 + 0.0).alias("nx"), F.round(F.col("n.ny") / 2, 4).alias("ny"),
+    return t.select("bldg_id", (F.col("n.nx") / 2 + 0.0).alias("nx"), F.round(F.col("n.ny") / 2, 6).alias("ny"),
                     (F.col("n.nz") / 2).alias("nz"), F.round("o.slope", 6).alias("slope"), F.round("o.azimuth", 6).alias("azimuth"))
 
 
@@ -250,9 +250,9 @@ def stringify_tags(spark, sf):
     return S.stringify_columns(p, ["size", "price", "levels", "big"])
 
 
-@query("field_calc", "SELECT bldg_id, round(side * side * height, 4) AS volume FROM footprints")
+@query("field_calc", "SELECT bldg_id, round(side * side * height, 6) AS volume FROM footprints")
 def field_calc(spark, sf):
-    f = S.field_calc(view(spark, sf, "footprints"), "volume", "round(side * side * height, 4)")
+    f = S.field_calc(view(spark, sf, "footprints"), "volume", "round(side * side * height, 6)")
     return f.select("bldg_id", "volume")
 
 
