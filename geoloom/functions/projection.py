@@ -207,7 +207,13 @@ def _lv95(forward: bool, x: Column, y: Column) -> Column:
         lat = F.aggregate(F.sequence(F.lit(1), F.lit(8)), p["b"], lambda t, _i: it(t))
         return _xy(LV95_LON0 + F.degrees(p["l"] / al), F.degrees(lat))
 
-    return _with(_with(_with(q, untwist), geodetic), lambda g: _shift(g["x"], g["y"], (a, f), (WGS84_A, WGS84_F), CH1903_SHIFT))
+    def to_wgs84(g):
+        # the shift drops the ellipsoid height, so it does not undo itself: one correction makes it the forward way's inverse
+        there = _shift(g["x"], g["y"], (a, f), (WGS84_A, WGS84_F), CH1903_SHIFT)
+        again = lambda w: _shift(w["x"], w["y"], (WGS84_A, WGS84_F), (a, f), tuple(-v for v in CH1903_SHIFT))
+        return _with(there, lambda w: _with(again(w), lambda b: _xy(w["x"] + g["x"] - b["x"], w["y"] + g["y"] - b["y"])))
+
+    return _with(_with(_with(q, untwist), geodetic), to_wgs84)
 
 
 def _one_way(x: Column, y: Column, srid: int, forward: bool) -> Column:
@@ -269,12 +275,14 @@ def reproject_bbox(box: Column, src: int, dst: int, edge_points: int = 21) -> Co
 
 
 def bbox_area_km2(west: Column, south: Column, east: Column, north: Column) -> Column:
-    """Area in km2 of a longitude/latitude box on the WGS84 ellipsoid, between its parallels.
+    """Area in km2 of the polygon through a box's four corners, its sides shortest lines on the WGS84 ellipsoid.
 
-    Exact for the box itself; a geodesic polygon through the same corners differs by a few parts per million for boxes
-    of city size, since its long sides leave the parallels.
+    Worked out on the sphere of equal area: the strip between the equator and a great circle through two points of
+    one latitude. For boxes narrower than 180 degrees; a one-degree cell at the equator is tested.
     """
     e = math.sqrt(WGS84_F * (2 - WGS84_F))
     b2 = (WGS84_A * (1 - WGS84_F)) ** 2
-    q = lambda lat: (lambda s: s / (1 - e * e * s * s) + F.atanh(e * s) / e)(F.sin(F.radians(lat)))
-    return F.abs(F.radians(east - west) * b2 / 2.0 * (q(north) - q(south))) / 1e6
+    pole = 1 / (1 - e * e) + math.atanh(e) / e
+    q = lambda lat: (lambda s: s / (1 - e * e * s * s) + F.atanh(e * s) / e)(F.sin(F.radians(lat))) / pole
+    half = F.tan(F.radians(east - west) / 2.0)
+    return F.abs(F.atan(half * q(north)) - F.atan(half * q(south))) * (b2 * pole) / 1e6

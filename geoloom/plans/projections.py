@@ -25,8 +25,10 @@ def web_mercator(spark, sf):
 
 
 @query("bbox_area", f"""WITH p AS ({_LL}), e AS (SELECT sqrt(2 / 298.257223563 - 1 / (298.257223563 * 298.257223563)) AS e, pow(6378137 * (1 - 1 / 298.257223563), 2) AS b2),
-s AS (SELECT id, e, b2, sin(radians(lat)) AS s1, sin(radians(lat + 0.5)) AS s2 FROM p, e)
-SELECT id, round(abs(radians(0.75) * b2 / 2 * (s2 / (1 - e * e * s2 * s2) + ln((1 + e * s2) / (1 - e * s2)) / (2 * e) - s1 / (1 - e * e * s1 * s1) - ln((1 + e * s1) / (1 - e * s1)) / (2 * e))) / 1e6, 4) AS km2 FROM s""")
+s AS (SELECT id, e, b2, sin(radians(lat)) AS s1, sin(radians(lat + 0.5)) AS s2 FROM p, e),
+q AS (SELECT id, b2, 1 / (1 - e * e) + ln((1 + e) / (1 - e)) / (2 * e) AS pole, s1 / (1 - e * e * s1 * s1) + ln((1 + e * s1) / (1 - e * s1)) / (2 * e) AS q1,
+ s2 / (1 - e * e * s2 * s2) + ln((1 + e * s2) / (1 - e * s2)) / (2 * e) AS q2 FROM s)
+SELECT id, round(abs(atan(tan(radians(0.375)) * q2 / pole) - atan(tan(radians(0.375)) * q1 / pole)) * b2 * pole / 1e6, 4) AS km2 FROM q""")
 def bbox_area(spark, sf):
     p = _lonlat(spark, sf)
     return p.select("id", F.round(P.bbox_area_km2(F.col("lon"), F.col("lat"), F.col("lon") + 0.75, F.col("lat") + 0.5), 4).alias("km2"))

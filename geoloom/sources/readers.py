@@ -95,7 +95,6 @@ def read_citygml_surfaces(spark: SparkSession, path: str) -> DataFrame:
     building's own text.
     """
     rows = _buildings(spark, path)
-    faces = F.lit(None)
     out = None
     for kind in ("GroundSurface", "WallSurface", "RoofSurface"):
         surf = F.regexp_extract_all("xml", F.lit(rf"(?s)<(?:\w+:)?{kind}\b.*?</(?:\w+:)?{kind}>"), F.lit(0))
