@@ -91,8 +91,7 @@ def _ring3d(text: Column) -> Column:
 def read_citygml_surfaces(spark: SparkSession, path: str) -> DataFrame:
     """Semantic faces of buildings (and building parts): ``(building_id, surface_type, rings)``; holes follow the outline.
 
-    The XML source splits on buildings, so files of any size are read in parallel; the faces are picked out of each
-    building's own text.
+    A file is the unit of reading, so keep models tiled; buildings and faces are then exploded and spread like any rows.
     """
     rows = _buildings(spark, path)
     out = None
