@@ -15,7 +15,6 @@ from geoloom.plans.registry import query
 from geoloom.plans.views import (SRID, ZONE_INSIDE, ZONE_MEETS, footprint_layer, home_layer, site_layer, street_layer,
                                  view, zone_layer)
 
-G0 = F.col("geom")
 ZONE_AREA = "CASE z.variant WHEN 0 THEN 16000000.0 ELSE 12000000.0 END"
 
 
@@ -34,24 +33,24 @@ def layer_bounds(spark, sf):
 
 @query("area", f"SELECT zone_id, {ZONE_AREA} + 0.0::DOUBLE AS area FROM zones z")
 def area(spark, sf):
-    return zone_layer(spark, sf).select("zone_id", G.area(G0).alias("area"))
+    return zone_layer(spark, sf).select("zone_id", G.area(F.col("geom")).alias("area"))
 
 
 @query("perimeter", "SELECT zone_id, CAST(CASE variant WHEN 2 THEN 24000 ELSE 16000 END AS DOUBLE) AS perimeter FROM zones")
 def perimeter(spark, sf):
-    return zone_layer(spark, sf).select("zone_id", G.length(G0).alias("perimeter"))
+    return zone_layer(spark, sf).select("zone_id", G.length(F.col("geom")).alias("perimeter"))
 
 
 @query("centroid", """SELECT zone_id, round(x0 + CASE variant WHEN 1 THEN 10000.0 / 6 ELSE 2000 END, 4) AS cx,
   round(y0 + CASE variant WHEN 1 THEN 10000.0 / 6 ELSE 2000 END, 4) AS cy FROM zones""")
 def centroid(spark, sf):
-    c = zone_layer(spark, sf).withColumn("c", G.centroid(G0))
+    c = zone_layer(spark, sf).withColumn("c", G.centroid(F.col("geom")))
     return c.select("zone_id", F.round("c.x", 4).alias("cx"), F.round("c.y", 4).alias("cy"))
 
 
 @query("holes", "SELECT zone_id, CASE variant WHEN 2 THEN 1 ELSE 0 END AS holes FROM zones")
 def holes(spark, sf):
-    return zone_layer(spark, sf).select("zone_id", G.count_holes(G0).alias("holes"))
+    return zone_layer(spark, sf).select("zone_id", G.count_holes(F.col("geom")).alias("holes"))
 
 
 @query("null_and_empty", """SELECT count(*) FILTER (WHERE p_size % 7 = 0) AS nulls, count(*) FILTER (WHERE p_size % 7 = 1) AS empties,
@@ -59,10 +58,10 @@ def holes(spark, sf):
 def null_and_empty(spark, sf):
     f = footprint_layer(spark, sf)
     none = F.array().cast("array<array<array<double>>>")
-    g = F.when(F.col("side") % 7 == 1, G.make_geom("POLYGON", none, SRID)).when(F.col("side") % 7 > 1, G0)
+    g = F.when(F.col("side") % 7 == 1, G.make_geom("POLYGON", none, SRID)).when(F.col("side") % 7 > 1, F.col("geom"))
     t = f.select(g.alias("geom"))
-    return t.agg(F.count_if(G0.isNull()).alias("nulls"), F.count_if(G.is_empty(G0)).alias("empties"),
-                 F.count_if(G0.isNotNull() & ~G.is_empty(G0)).alias("filled"))
+    return t.agg(F.count_if(F.col("geom").isNull()).alias("nulls"), F.count_if(G.is_empty(F.col("geom"))).alias("empties"),
+                 F.count_if(F.col("geom").isNotNull() & ~G.is_empty(F.col("geom"))).alias("filled"))
 
 
 @query("explode_parts", """SELECT unit, CAST(count(*) AS BIGINT) AS parts, CAST(sum(x) AS DOUBLE) AS sx FROM sites GROUP BY unit""")
@@ -70,7 +69,7 @@ def explode_parts(spark, sf):
     multi = site_layer(spark, sf).groupBy("unit").agg(F.collect_list(G.vertex("x", "y")).alias("v"))
     g = G.make_geom("POINT", F.transform("v", lambda p: F.array(p)), SRID, F.transform("v", lambda p, i: i))
     single = M.explode_parts(multi.select("unit", g.alias("geom")))
-    return single.groupBy("unit").agg(F.count("*").alias("parts"), F.sum(G0["rings"][0][0][0]).alias("sx"))
+    return single.groupBy("unit").agg(F.count("*").alias("parts"), F.sum(F.col("geom")["rings"][0][0][0]).alias("sx"))
 
 
 @query("split_by_kind", """SELECT 'POINT' AS kind, count(*) AS n FROM supplier UNION ALL SELECT 'LINE', count(*) FROM streets
@@ -149,7 +148,7 @@ def degree_tiles(spark, sf):
 @query("buffer_circle", """SELECT site_id, CAST(21 AS INT) AS vertices, round(10 * 300.0 * 300.0 * sin(pi() / 10), 3) AS area FROM sites""")
 def buffer_circle(spark, sf):
     b = S.require_metric(site_layer(spark, sf)).withColumn("geom", G.buffer_point("x", "y", 300.0, SRID))
-    return b.select("site_id", G.num_vertices(G0).alias("vertices"), F.round(G.area(G0), 3).alias("area"))
+    return b.select("site_id", G.num_vertices(F.col("geom")).alias("vertices"), F.round(G.area(F.col("geom")), 3).alias("area"))
 
 
 @query("newell_normal", """SELECT bldg_id, CAST(0 AS DOUBLE) AS nx, round(-side * height, 6) AS ny, CAST(side * side AS DOUBLE) AS nz,
@@ -329,7 +328,7 @@ def coverage_share(spark, sf):
     a, b = _boxes(spark, sf)
     built = J.overlap_areas(a, b, "zone_id", "bldg_id", cell=1200).groupBy("zone_id").agg(F.sum("area").alias("built"))
     out = a.join(built, "zone_id", "left")
-    return out.select("zone_id", F.round(overlap_share(F.coalesce("built", F.lit(0.0)), G.area(G0)), 9).alias("share"))
+    return out.select("zone_id", F.round(overlap_share(F.coalesce("built", F.lit(0.0)), G.area(F.col("geom"))), 9).alias("share"))
 
 
 @query("self_overlaps", """WITH f AS (SELECT bldg_id, x0, y0, x0 + side AS x1, y0 + side AS y1 FROM footprints)
@@ -382,7 +381,7 @@ def clip_points(spark, sf):
 SELECT bldg_id, CAST((c - a) * (d - b) AS DOUBLE) AS area FROM f WHERE c > a AND d > b""")
 def clip_to_box(spark, sf):
     c = O.clip_to_box(footprint_layer(spark, sf), (500500, 5400020, 509010, 5400105))
-    return c.select("bldg_id", F.round(G.area(G0), 6).alias("area"))
+    return c.select("bldg_id", F.round(G.area(F.col("geom")), 6).alias("area"))
 
 
 # ---------------------------------------------------------------- overlay family
