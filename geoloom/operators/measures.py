@@ -299,18 +299,18 @@ def class_breaks(df: DataFrame, column: str, scheme: str = "Quantiles", k: int =
     raise ValueError("scheme must be Quantiles, EqualInterval or NaturalBreaks")
 
 
-MAX_BINS = 4096
+BINS = 4096
 
 
-def natural_breaks(values: DataFrame, k: int) -> DataFrame:
-    """Least-squares class breaks. Values are reduced to at most MAX_BINS weighted bins by Spark; up to that many
-    distinct values the result is exact, beyond it bins of equal width stand for their values' mean."""
+def natural_breaks(values: DataFrame, k: int, n_bins: int = BINS) -> DataFrame:
+    """Least-squares class breaks over ``n_bins`` bins of equal width, each of which stands for the mean of its values.
+
+    The same at every size: values closer than a bin's width may share a class, values farther apart are told apart.
+    """
     counted = values.groupBy("v").agg(F.count("*").alias("w"))
-    stats = counted.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("d"))).scalar()
-    fits = stats["d"] <= MAX_BINS
-    bin_no = F.when(~fits, F.least(F.floor(
-        (F.col("v") - stats["lo"]) / F.nullif(stats["hi"] - stats["lo"], F.lit(0.0)) * MAX_BINS), F.lit(MAX_BINS - 1)).cast("double")).otherwise(F.col("v"))
-    bins = counted.groupBy(bin_no.alias("bin")).agg(
+    stats = counted.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
+    bin_no = F.least(F.floor((F.col("v") - stats["lo"]) / F.nullif(stats["hi"] - stats["lo"], F.lit(0.0)) * n_bins), F.lit(n_bins - 1))
+    bins = counted.groupBy(F.coalesce(bin_no, F.lit(0)).alias("bin")).agg(
         F.sum("w").alias("w"), (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"), F.max("v").alias("hi"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -341,7 +341,7 @@ def natural_breaks(values: DataFrame, k: int) -> DataFrame:
             ends.append(j)
         return pd.DataFrame({"k": [kk], "breaks": [[float(hi[e]) for e in reversed(ends)]]})
 
-    # at most MAX_BINS rows reach the single group
+    # at most n_bins rows reach the single group
     return bins.groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: solve(pdf), "k int, breaks array<double>")
 
 

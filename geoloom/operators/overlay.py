@@ -5,7 +5,8 @@ Edges are split where they meet (a cell join of edges), pieces lying on each oth
 piece are looked up with a point-in-polygon join, and a piece bounds an output region exactly when the region holds one
 side only. Everything is joins and grouped aggregates; the plane is never gathered anywhere.
 
-Coordinates are snapped to ``grid`` before splitting. Regions narrower than ``2 * eps`` are below its resolution.
+Coordinates are snapped to a grid of 0.1 mm before splitting, and points beside a piece lie 0.5 mm from it; in layers in
+degrees both are given in degrees. Regions narrower than 1 mm are below this resolution.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.operators.cells import pair_by_cell
+from geoloom.operators.filters import GEOGRAPHIC_SRIDS
 from geoloom.operators.graph import ring_areas, rings_to_table, stitch_rings
 from geoloom.operators.skew import salted_join
 from geoloom.operators.spatial import points_in_polygons
@@ -22,6 +24,22 @@ from geoloom.session import cut_lineage
 
 # side points must lie farther from a piece than snapping can have moved it
 GRID, EPS = 1e-4, 5e-4
+CELL = 1000.0
+DEGREE = 1e5                 # metres, near enough for choosing steps
+
+
+def steps(*layers: DataFrame, geom: str = "geom", cell: float | None = None) -> tuple[int | None, float, float, float]:
+    """``(srid, cell, grid, eps)`` for layers that lie in one reference system; several are refused."""
+    found = None
+    for layer in layers:
+        one = layer.where(F.col(geom).isNotNull()).select(F.col(geom)["srid"].alias("srid"))
+        found = one if found is None else found.unionByName(one)
+    srids = [r["srid"] for r in found.distinct().limit(3).collect()]
+    if len(srids) > 1:
+        raise ValueError(f"layers in one reference system needed, found {sorted(srids, key=str)}")
+    srid = srids[0] if srids else None
+    unit = DEGREE if srid in GEOGRAPHIC_SRIDS else 1.0
+    return srid, cell or CELL / unit, GRID / unit, EPS / unit
 
 
 def _edges(layer: DataFrame, geom: str, grid: float) -> DataFrame:
@@ -105,10 +123,14 @@ def _bounding(members: DataFrame, group: list[str]) -> DataFrame:
 
 
 def overlay_edges(left: DataFrame, right: DataFrame, how: str, left_key: str, right_key: str, geom: str = "geom",
-                  cell: float = 1000.0, grid: float = GRID, eps: float = EPS) -> DataFrame:
-    """Directed boundary edges of the overlay regions, grouped by ``(left_key, right_key)``; a missing side is NULL."""
+                  cell: float | None = None) -> DataFrame:
+    """Directed boundary edges of the overlay regions, grouped by ``(left_key, right_key)``; a missing side is NULL.
+
+    Layers in different reference systems and overlays without any region are errors.
+    """
     if how not in ("intersection", "union", "difference", "symmetric_difference", "identity"):
         raise ValueError(f"unknown overlay {how!r}")
+    _, cell, grid, eps = steps(left, right, geom=geom, cell=cell)
     lt, rt = left.select(left_key, geom), right.select(right_key, geom)
     pieces = cut_lineage(split_edges(_edges(lt, geom, grid).unionByName(_edges(rt, geom, grid)).distinct(), cell, grid))
     sides = _sides(pieces, eps)
@@ -125,7 +147,10 @@ def overlay_edges(left: DataFrame, right: DataFrame, how: str, left_key: str, ri
     for k, src in ((left_key, lt), (right_key, rt)):
         if k not in m.columns:
             m = m.withColumn(k, F.lit(None).cast(dict(src.dtypes)[k]))
-    return _bounding(m, [left_key, right_key])
+    edges = cut_lineage(_bounding(m, [left_key, right_key]))
+    if edges.isEmpty():
+        raise ValueError(f"the {how} of these layers has no region")
+    return edges
 
 
 def _assemble(edges: DataFrame, group: list[str], srid=None) -> DataFrame:
@@ -154,12 +179,12 @@ def _assemble(edges: DataFrame, group: list[str], srid=None) -> DataFrame:
 
 
 def overlay(left: DataFrame, right: DataFrame, how: str, left_key: str, right_key: str, geom: str = "geom",
-            cell: float = 1000.0) -> DataFrame:
+            cell: float | None = None) -> DataFrame:
     """Overlay of two polygon layers with the attributes of both; ``how`` is one of ``intersection``, ``union``,
     ``difference``, ``symmetric_difference`` and ``identity``."""
     e = overlay_edges(left, right, how, left_key, right_key, geom, cell)
     srid = left.where(F.col(geom).isNotNull()).agg(F.max(F.col(geom)["srid"])).scalar()
-    shapes = _assemble(cut_lineage(e), [left_key, right_key]).withColumn(
+    shapes = _assemble(e, [left_key, right_key]).withColumn(
         geom, F.col("geom").withField("srid", srid))
     la = left.drop(geom)
     ra = right.drop(geom)
@@ -169,18 +194,19 @@ def overlay(left: DataFrame, right: DataFrame, how: str, left_key: str, right_ke
 
 
 def overlay_areas(left: DataFrame, right: DataFrame, how: str, left_key: str, right_key: str, geom: str = "geom",
-                  cell: float = 1000.0) -> DataFrame:
+                  cell: float | None = None) -> DataFrame:
     """Area of each overlay region, without assembling shapes."""
     return ring_areas(overlay_edges(left, right, how, left_key, right_key, geom, cell), [left_key, right_key])
 
 
-def dissolve_edges(layer: DataFrame, by: str | None = None, geom: str = "geom", cell: float = 1000.0,
-                   clean: bool = False, grid: float = GRID, eps: float = EPS) -> tuple[DataFrame, list[str]]:
+def dissolve_edges(layer: DataFrame, by: str | None = None, geom: str = "geom", cell: float | None = None,
+                   clean: bool = False) -> tuple[DataFrame, list[str]]:
     """Directed boundary edges of the merged geometry per group.
 
     ``clean=True`` is for coverages whose neighbours share their edges exactly: an edge seen twice in a group is inner
     and cancels in one aggregate. Otherwise the full arrangement is used.
     """
+    _, cell, grid, eps = steps(layer, geom=geom, cell=cell)
     group = by or "_all"
     src = layer if by else layer.withColumn("_all", F.lit(1))
     src = src.where(F.col(geom)["kind"] == "POLYGON")
@@ -197,7 +223,7 @@ def dissolve_edges(layer: DataFrame, by: str | None = None, geom: str = "geom",
     return _bounding(members, [group]), [group]
 
 
-def dissolve(layer: DataFrame, by: str | None = None, geom: str = "geom", cell: float = 1000.0, clean: bool = False) -> DataFrame:
+def dissolve(layer: DataFrame, by: str | None = None, geom: str = "geom", cell: float | None = None, clean: bool = False) -> DataFrame:
     """One (multi)polygon per value of ``by`` (or one for the layer)."""
     e, group = dissolve_edges(layer, by, geom, cell, clean)
     srid = layer.where(F.col(geom).isNotNull()).agg(F.max(F.col(geom)["srid"])).scalar()
@@ -205,7 +231,7 @@ def dissolve(layer: DataFrame, by: str | None = None, geom: str = "geom", cell:
     return out if by else out.drop("_all")
 
 
-def coverage_holes(layer: DataFrame, geom: str = "geom", cell: float = 1000.0, clean: bool = False) -> DataFrame:
+def coverage_holes(layer: DataFrame, geom: str = "geom", cell: float | None = None, clean: bool = False) -> DataFrame:
     """Interior rings of the merged layer, one row per hole: ``(vertices, area)``."""
     e, group = dissolve_edges(layer, None, geom, cell, clean)
     r = rings_to_table(stitch_rings(cut_lineage(e), group), group)
@@ -219,12 +245,13 @@ def clip_points(points: DataFrame, mask: DataFrame, key: str, x: str = "x", y: s
     return points.join(hits, key, "left_semi")
 
 
-def clip_polygons(layer: DataFrame, mask: DataFrame, key: str, geom: str = "geom", cell: float = 1000.0) -> DataFrame:
+def clip_polygons(layer: DataFrame, mask: DataFrame, key: str, geom: str = "geom", cell: float | None = None) -> DataFrame:
     """Polygons cut to the union of the mask polygons, holes honoured; what lies outside is dropped."""
+    _, cell, grid, eps = steps(layer, mask, geom=geom, cell=cell)
     lt = layer.select(key, geom)
     mk = mask.select(F.lit(1).alias("_m"), geom)
-    pieces = cut_lineage(split_edges(_edges(lt, geom, GRID).unionByName(_edges(mk, geom, GRID)).distinct(), cell))
-    sides = _sides(pieces, EPS)
+    pieces = cut_lineage(split_edges(_edges(lt, geom, grid).unionByName(_edges(mk, geom, grid)).distinct(), cell, grid))
+    sides = _sides(pieces, eps)
     a, m = _covers(sides, lt, key, geom, cell), _covers(sides, mk, "_m", geom, cell)
     e = _bounding(a.join(m.drop("_m").distinct(), [*_PIECE, "side"], "left_semi"), [key])
     srid = layer.where(F.col(geom).isNotNull()).agg(F.max(F.col(geom)["srid"])).scalar()
@@ -232,11 +259,12 @@ def clip_polygons(layer: DataFrame, mask: DataFrame, key: str, geom: str = "geom
     return layer.drop(geom).join(shapes, key)
 
 
-def clip_lines(lines: DataFrame, mask: DataFrame, key: str, geom: str = "geom", cell: float = 1000.0) -> DataFrame:
+def clip_lines(lines: DataFrame, mask: DataFrame, key: str, geom: str = "geom", cell: float | None = None) -> DataFrame:
     """Line pieces inside (or on) the mask: one row per piece, ``(key, path, seq, x1, y1, x2, y2)``.
 
     Segments are cut at the mask edges that meet them (cell join), and each piece is kept if its midpoint is covered.
     """
+    _, cell, _, _ = steps(lines, mask, geom=geom, cell=cell)
     seg = lines.where(F.col(geom)["kind"] == "LINE").select(key, F.posexplode(G.segments(F.col(geom))).alias("seq", "s")).select(
         key, "seq", "s.*")
     box = F.struct(F.least("x1", "x2").alias("xmin"), F.least("y1", "y2").alias("ymin"),

@@ -110,6 +110,7 @@ def zonal_stats(zones: DataFrame, cells: DataFrame, key: str, stats: tuple = ("c
     """Statistics of the cells in each zone (cell centres, population variance); zones without cells keep NULLs.
 
     Cells are first reduced to one row per (zone, value), so rank-based measures read value counts, not raw cells.
+    Variances are merged from deviations around running means, so large values don't cancel.
     """
     unknown = [s for s in stats if s not in ZONAL]
     if unknown:
@@ -119,15 +120,14 @@ def zonal_stats(zones: DataFrame, cells: DataFrame, key: str, stats: tuple = ("c
     counted = v.groupBy(key, "value").agg(F.count("*").alias("k"))
     val, k = F.col("value"), F.col("k")
     n, s = F.sum(k), F.sum(val * k)
-    mean = s / n
-    variance = F.sum(val * val * k) / n - mean * mean
     made = {
-        "count": n, "sum": s, "mean": mean, "min": F.min(val), "max": F.max(val), "range": F.max(val) - F.min(val),
+        "count": n, "sum": s, "mean": s / n, "min": F.min(val), "max": F.max(val), "range": F.max(val) - F.min(val),
         "median": F.percentile(val, 0.5, k), "variety": F.count("*"),
-        "variance": F.greatest(variance, F.lit(0.0)), "stdev": F.sqrt(F.greatest(variance, F.lit(0.0))),
         "majority": F.max(F.struct(k.alias("k"), (-val).alias("v"))), "minority": F.min(F.struct(k.alias("k"), val.alias("v"))),
     }
-    out = counted.groupBy(key).agg(*[made[x].alias(f"{prefix}{x}") for x in stats])
+    spread = [F.var_pop("value").alias(f"{prefix}variance")] * ("variance" in stats) + [F.stddev_pop("value").alias(f"{prefix}stdev")] * ("stdev" in stats)
+    first = counted.groupBy(key).agg(*[made[x].alias(f"{prefix}{x}") for x in stats if x in made] or [n.alias("_n")])
+    out = first.join(v.groupBy(key).agg(*spread), key).select(key, *[f"{prefix}{x}" for x in stats]) if spread else first
     for x in ("majority", "minority"):
         if x in stats:
             got = F.col(f"{prefix}{x}.v")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.session import cut_lineage
+
 
 def flatten_cube(cubes: DataFrame, dims: list[str], cube: str = "cube") -> DataFrame:
     """Tidy rows of a parsed statistical cube (:data:`geoloom.types.JSONSTAT`): one column per dimension with its code,
@@ -100,20 +102,31 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"))
 
 
-def unique_names(df: DataFrame, name: str, order: list[str], slices: Column | None = None) -> DataFrame:
-    """Names made unique across tiles: the first keeps its name, later ones get ``_2``, ``_3`` …
+def unique_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Names made unique: the first row in ``order`` keeps its name, later ones get ``_2``, ``_3`` … after it.
 
-    A name shared by very many rows is numbered in slices (hashed, or ranges of the order given by ``slices``): rows are
-    ranked inside (name, slice) and shifted by the slices before, so no single task sorts the whole group.
+    A new name that some row already has is put off to a further round, in which the separator is one underscore longer.
+    Rows are dealt by ranges of (name, order), so a name that very many rows share spans several ranges: rows are ranked
+    inside each and shifted by the ranges before. Ranges follow the number of shuffle partitions, so they never grow.
     """
-    s = slices if slices is not None else F.pmod(F.xxhash64(*order), F.lit(64))
-    t = df.withColumn("_s", s).withColumn("_i", F.row_number().over(Window.partitionBy(name, "_s").orderBy(*order)))
+    t = cut_lineage(df.repartitionByRange(name, *order).withColumn("_s", F.spark_partition_id()))
+    t = t.withColumn("_i", F.row_number().over(Window.partitionBy(name, "_s").orderBy(*order)))
     sizes = t.groupBy(name, "_s").agg(F.count("*").alias("k"))
     before = F.coalesce(F.sum("k").over(Window.partitionBy(name).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = sizes.withColumn("_b", before).select(name, "_s", "_b")
-    n = F.col("_i") + F.col("_b")
-    return t.join(shift, [name, "_s"]).withColumn(name, F.when(n == 1, F.col(name)).otherwise(
-        F.concat(F.col(name), F.lit("_"), n.cast("string")))).drop("_s", "_i", "_b")
+    shift = sizes.withColumn("_b", before).select(F.col(name).alias("_n"), F.col("_s").alias("_t"), "_b")
+    t = t.join(shift, F.col(name).eqNullSafe(F.col("_n")) & (F.col("_s") == F.col("_t"))).withColumn("_i", F.col("_i") + F.col("_b"))
+    t = cut_lineage(t.select(*df.columns, "_i"))
+    done, left = t.where(F.col("_i") == 1), t.where(F.col("_i") > 1)
+    given = t.select(F.col(name).alias("_new")).distinct()
+    sign = "_"
+    while not left.isEmpty():
+        new = left.withColumn("_new", F.concat(F.coalesce(F.col(name), F.lit("")), F.lit(sign), F.col("_i").cast("string")))
+        free = cut_lineage(new.join(given, "_new", "left_anti"))
+        left = cut_lineage(new.join(given, "_new", "left_semi").drop("_new"))
+        done = done.unionByName(free.withColumn(name, F.col("_new")).select(*df.columns, "_i"))
+        given = given.unionByName(free.select("_new"))
+        sign += "_"
+    return done.select(*df.columns)
 
 
 def merge_layers(layers: list[DataFrame]) -> DataFrame:

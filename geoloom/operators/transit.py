@@ -17,7 +17,19 @@ WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday",
 
 
 def _date(c) -> Column:
-    return F.to_date(F.regexp_replace(F.col(c).cast("string"), "-", ""), "yyyyMMdd")
+    """The date of a feed's column; null where it is none, so that one bad row doesn't stop a feed."""
+    return F.try_to_date(F.regexp_replace(F.col(c).cast("string"), "-", ""), "yyyyMMdd")
+
+
+def rejected_dates(feed: dict[str, DataFrame]) -> DataFrame:
+    """``(file, column, rejected)``: how many dates of the service calendars can't be read."""
+    out = None
+    for name, columns in (("calendar", ("start_date", "end_date")), ("calendar_dates", ("date",))):
+        for c in columns if name in feed else ():
+            bad = feed[name].select(F.lit(name).alias("file"), F.lit(c).alias("column"), F.count_if(
+                F.col(c).isNotNull() & _date(c).isNull()).alias("rejected"))
+            out = bad if out is None else out.unionByName(bad)
+    return out
 
 
 def _as_date(date) -> Column:

@@ -621,6 +621,15 @@ def set_differences(spark, sf):
 
 @query("unique_names", """SELECT p_partkey, CASE WHEN rn = 1 THEN p_name ELSE p_name || '_' || rn END AS p_name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part)""")
 def unique_names(spark, sf):
-    # ordered slices make the numbering follow the key
     p = view(spark, sf, "part").select("p_partkey", "p_name")
-    return ST.unique_names(p, "p_name", ["p_partkey"], F.floor(F.col("p_partkey") / 100_000))
+    return ST.unique_names(p, "p_name", ["p_partkey"])
+
+
+@query("unique_names_taken", """SELECT count(*) AS n, count(*) AS names, CAST(count(DISTINCT 'n' || p_partkey % 40) + count(DISTINCT CASE WHEN p_partkey % 7 = 0 THEN p_partkey % 40 END) AS BIGINT) AS kept
+FROM part""")
+def unique_names_taken(spark, sf):
+    """Some rows already have the name that another row would get."""
+    old = F.concat(F.lit("n"), F.col("p_partkey") % 40, F.when(F.col("p_partkey") % 7 == 0, "_2").otherwise(""))
+    p = view(spark, sf, "part").select("p_partkey", old.alias("name"), old.alias("old"))
+    u = ST.unique_names(p, "name", ["p_partkey"])
+    return u.agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"), F.count_if(F.col("name") == F.col("old")).alias("kept"))

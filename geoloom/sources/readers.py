@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,28 +50,45 @@ def read_jsonstat(spark: SparkSession, path: str, dims: list[str]) -> DataFrame:
     return flatten_cube(cubes, dims)
 
 
+def _headed(spark: SparkSession, pattern: str, schema, base: str | None) -> DataFrame | None:
+    """CSV files that name their columns in any order, and with extras; None if there is no such file.
+
+    Files are grouped by their header line and each group is read with its own names, so a column never takes another's
+    place. Finding the headers scans the text once for lines that name the table's first column.
+    """
+    mark = schema.fields[0].name
+    try:
+        text = spark.read.option("basePath", base or pattern.rsplit("/", 1)[0]).text(pattern)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    cells = F.transform(F.split(F.regexp_replace("value", "^\ufeff", ""), ","), lambda c: F.trim(F.translate(c, '"\r', "")))
+    heads = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+                        cells.alias("names")).where(F.array_contains("names", mark))
+    groups: dict[tuple, list[str]] = {}
+    for r in heads.groupBy("file").agg(F.min_by("names", F.struct("block", "at")).alias("names")).orderBy("file").collect():   # one row a file
+        groups.setdefault(tuple(r["names"]), []).append(r["file"])
+    out = None
+    for names, files in groups.items():
+        r = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(", ".join(f"`{n}` string" for n in names))
+        raw = (r.option("basePath", base) if base else r).csv(files)
+        one = raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in names
+                           else F.lit(None).cast(f.dataType).alias(f.name) for f in schema], *(["feed"] if base else []))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def read_gtfs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of a timetable feed by name; optional tables that are absent are left out.
 
     ``folder`` holds one feed, or many feeds as ``feed=<name>`` subfolders (``feed`` then becomes a column).
     """
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     out = {}
     for name, schema in S.GTFS.items():
-        pattern = f"{folder}/{name}.txt"
-        many = f"{folder}/feed=*/{name}.txt"
-        for p, base in ((pattern, None), (many, folder)):
-            found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(p))
-            if found is not None and len(found):
-                r = spark.read.option("header", True).option("mode", "PERMISSIVE")
-                if base:
-                    r = r.option("basePath", base)
-                # files name their columns in any order and with extras: read as text, then pick and cast
-                raw = r.csv(p)
-                cols = [F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in raw.columns
-                        else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
-                out[name] = raw.select(*cols, *(["feed"] if base else []))
+        for pattern, base in ((f"{folder}/{name}.txt", None), (f"{folder}/feed=*/{name}.txt", folder)):
+            if (found := _headed(spark, pattern, schema, base)) is not None:
+                out[name] = found
                 break
     missing = [n for n in ("stops", "routes", "trips", "stop_times") if n not in out]
     if missing:

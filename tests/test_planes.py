@@ -303,3 +303,40 @@ def test_city_tables(spark):
     assert [r.vid for r in ids] == [0, 1, 2]
     q = C.dequantize(C.quantize(v)).where("abs(dx - x) > 0.0006").count()
     assert q == 0 and math.isclose(C.model_summary(s).first().maxz, 120.0)
+
+
+def test_overlay_refuses_what_has_no_answer(spark):
+    metric, degrees = layer(spark, box(0, 0, 4, 4), key="a"), layer(spark, box(1, 1, 2, 2), key="b", srid=4326)
+    for how in ("intersection", "union"):
+        with pytest.raises(ValueError, match="one reference system"):
+            O.overlay(metric, degrees, how, "a", "b")
+    with pytest.raises(ValueError, match="one reference system"):
+        O.clip_polygons(metric, degrees, "a")
+    with pytest.raises(ValueError, match="no region"):
+        O.overlay_areas(metric, layer(spark, box(9, 9, 10, 10), key="b"), "intersection", "a", "b")
+
+
+def test_small_shapes_in_degrees(spark):
+    """Buildings of about nine metres, next to each other and overlapping, in degrees."""
+    s = 8e-5
+    shapes = layer(spark, box(10, 50, 10 + s, 50 + s), box(10 + s / 2, 50, 10 + 1.5 * s, 50 + s), box(11, 50, 11 + s, 50 + s), srid=4326)
+    d = O.dissolve(shapes).select(G.area(F.col("geom")).alias("a")).first().a
+    assert math.isclose(d, 2.5 * s * s, rel_tol=1e-3)
+    cut = O.overlay_areas(shapes.withColumnRenamed("id", "a"), layer(spark, box(10, 50, 10 + s / 4, 50 + s), key="b", srid=4326), "intersection", "a", "b")
+    assert [(r.a, round(r.area / (s * s), 3)) for r in cut.collect()] == [(0, 0.25)]
+
+
+def test_clip_lines_and_polygons_to_slanted_mask(spark):
+    mask = layer(spark, "POLYGON ((0 0, 10 0, 0 10, 0 0))", key="m")
+    poly = layer(spark, box(1, 1, 9, 9), key="a")
+    assert math.isclose(O.clip_polygons(poly, mask, "a", cell=5.0).select(G.area(F.col("geom")).alias("s")).first().s, 32.0, rel_tol=1e-6)
+    line = layer(spark, "LINESTRING (1 1, 9 1, 9 9)", key="a")
+    got = O.clip_lines(line, mask, "a", cell=5.0).select(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("n")).agg(F.sum("n")).first()[0]
+    assert math.isclose(got, 8.0, rel_tol=1e-6)
+
+
+def test_zonal_variance_of_large_values(spark):
+    zones = layer(spark, box(0, 0, 10, 10), key="z")
+    cells = spark.createDataFrame([(1.5, 1.5, 1e8 + 0.05), (2.5, 2.5, 1e8 - 0.05)], "x double, y double, value double")
+    r = R.zonal_stats(zones, cells, "z", ("count", "variance", "stdev")).first()
+    assert r["_count"] == 2 and math.isclose(r["_variance"], 0.0025, rel_tol=1e-4) and math.isclose(r["_stdev"], 0.05, rel_tol=1e-4)

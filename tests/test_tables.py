@@ -240,3 +240,10 @@ def test_catalogues(spark):
     assert C.boundary_levels(spark).where("level = 'GEM'").first().key_column == "AGS"
     assert C.plausibility_bands(spark).count() == 8 and C.topographic_themes(spark).count() == 9
     assert C.regions(spark).count() == 3 and C.tile_sources(spark).where("state = 'BY'").count() == 2
+
+
+def test_unique_names_with_taken_suffixes(spark):
+    rows = [(1, "a"), (2, "a"), (3, "a_2"), (4, "a_2"), (5, "a"), (6, "a__2"), (7, None), (8, None)]
+    got = {r["i"]: r["name"] for r in ST.unique_names(spark.createDataFrame(rows, "i int, name string"), "name", ["i"]).collect()}
+    assert got[1] == "a" and got[3] == "a_2" and got[6] == "a__2" and got[4] == "a_2_2" and got[5] == "a_3"
+    assert len({v for v in got.values() if v}) == len([v for v in got.values() if v]) and len(got) == len(rows)
