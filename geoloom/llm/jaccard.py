@@ -3,7 +3,7 @@
 Shingles are ordered by hash, and this order is cut into blocks of positions. For sets of one size range there are so
 many blocks that two linked sets must agree on some block as a whole, however their differences are spread. The index has
 one list for each (size range, block, content of the block); wherever a set differs inside a block, that whole block of
-lists is skipped.
+lists is skipped. A set that shares fewer lists with others than any linked set must is out before its text is fetched.
 
 Answers come from highly similar sets. Equal sets share one node. In every list the least set is the pivot; the other sets
 are compared with it once and keep their difference to it. A set linked with its pivot takes over the pivot's
@@ -17,13 +17,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.llm.arrow import append, map_batches
 from geoloom.llm.shingles import mix, shingle_sets
+from geoloom.llm.workspace import Workspace
 from geoloom.operators.graph import connected_components
-from geoloom.session import cut_lineage
 
 WORDS, PERCENT = 5, 80
 SLACK = 2                    # empty blocks of a set that need no list
@@ -57,14 +57,14 @@ def most_differences(a: int, b: int, percent: int) -> int:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def list_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the lists that a set stands in.
+def list_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Keys of the lists that a set stands in, and how many of them at least it shares with any set linked with it.
 
     With ``k`` differences at most there are ``k + 1 + SLACK`` blocks, so linked sets agree on more than ``SLACK`` of them. Blocks
     empty in a set are left out unless there are more than ``SLACK``: then agreement on empty blocks alone could be what two sets
     share, and they are listed too.
     """
-    keys = []
+    keys, need = [], SLACK + 1
     for number, largest in _ranges(len(s), percent) if len(s) else ():
         k = most_differences(largest, largest, percent)      # of the range, never of the set: both sides must cut alike
         if k == 0:
@@ -76,8 +76,10 @@ def list_keys(s: np.ndarray, percent: int) -> np.ndarray:
         content = total[at + size] - total[at]
         tag = mix(np.arange(blocks, dtype=np.uint64) * np.uint64(0x100000001B3) + np.uint64(number + 1))
         key = mix(content ^ tag) + size.astype(np.uint64)
-        keys.append(key if (size == 0).sum() > SLACK else key[size > 0])
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        empty = int((size == 0).sum())
+        keys.append(key if empty > SLACK else key[size > 0])
+        need = min(need, SLACK + 1 - min(empty, SLACK))
+    return (np.concatenate(keys) if keys else np.empty(0, np.uint64)), need
 
 
 _edges: dict[int, np.ndarray] = {}
@@ -97,17 +99,23 @@ def _node(s: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Size, number, list keys and needed lists of each text's set; of equal sets in a batch only the first carries its keys."""
     def one(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        n, node, keys, ends = [], [], [], [0]
-        for s in shingle_sets(batch.column("text"), words):
+        n, node, needs, keys, ends, seen = [], [], [], [], [0], set()
+        for d, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), words)):
+            number = _node(s) if len(s) else None
+            own, need = list_keys(s, percent) if number not in seen and d is not None else (np.empty(0, np.uint64), 0)
+            if d is not None:
+                seen.add(number)
             n.append(len(s))
-            node.append(_node(s) if len(s) else None)
-            keys.append(list_keys(s, percent))
-            ends.append(ends[-1] + len(keys[-1]))
+            node.append(number)
+            needs.append(need)
+            keys.append(own)
+            ends.append(ends[-1] + len(own))
         flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-        return {"n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()),
+        return {"n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "need": pa.array(needs, pa.int32()),
                 "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}
-    return append(docs, one, "n long, node long, keys array<long>").drop("text")
+    return append(docs, one, "n long, node long, need int, keys array<long>").drop("text")
 
 
 def _wanted_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -115,8 +123,9 @@ def _wanted_sets(docs: DataFrame, words: int) -> DataFrame:
         sets = list(shingle_sets(batch.column("text"), words))
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "s"])
-    return map_batches(docs, one, "node long, s array<long>")
+        return pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                                          names=["node", "s"])
+    return map_batches(docs, one, "node long, s array<long>").dropDuplicates(["node"])
 
 
 def _difference(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,9 +185,6 @@ def connecting_links(left: list[dict], right: list[dict], percent: int) -> list[
     return [(left[i[f]]["node"], right[j[f]]["node"]) for f in first]
 
 
-MEMBER = "node: long, component: long, n: long, pn: long, lacks: array<long>, extra: array<long>"
-
-
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
                        block: int = BLOCK) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row: set size, and the least id reachable by links, itself included.
@@ -188,41 +194,42 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Shingles and sets are told apart by 64- and 63-bit hashes. Extra columns are ignored; an empty table gives no rows.
     """
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = cut_lineage(_sets(base, words, percent))
+    space = Workspace(docs.sparkSession, "jaccard")
+    full = space.cut(_sets(base, words, percent))
+    rows = space.cut(full.select("doc_id", "n", "node", "need"))
     known = rows.where("doc_id is not null and node is not null")
-    # one row a set; the least id stands for its copies, and its text for the set
-    nodes = cut_lineage(known.groupBy("node").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("node", "r.doc_id", "r.keys"))
-    listed = nodes.select("node", F.explode("keys").alias("key"))
-    lists = cut_lineage(listed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("size")).where(
-        "pivot <> last").select("key", "pivot", "size"))
-    members = cut_lineage(listed.join(lists, "key"))
-    pairs = members.where("node <> pivot").select("node", "pivot").distinct()
-    pairs = cut_lineage(pairs)
+    # lists of one set are most of all; the others' rows go on
+    each = full.where("doc_id is not null").select("node", F.explode("keys").alias("key"))
+    whole = Window.partitionBy("key")
+    several = space.cut(each.select("key", "node", F.min("node").over(whole).alias("a"), F.max("node").over(whole).alias("z")).where(
+        "a <> z").select("key", "node").distinct())
+    space.drop(full)
+    needs = known.groupBy("node").agg(F.max("need").alias("need"))
+    enough = several.groupBy("node").agg(F.count("*").alias("shared")).join(needs, "node").where("shared >= need").select("node")
+    kept = several.join(enough, "node")
+    lists = kept.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    members = space.cut(kept.join(lists, "key").select("key", "node", "pivot", "size"))
+    space.drop(several)
+    pairs = space.cut(members.where("node <> pivot").select("node", "pivot").distinct())
     involved = pairs.select("node").union(pairs.select("pivot")).distinct()
-    texts = base.join(cut_lineage(nodes.select("node", "doc_id").join(involved, "node")), "doc_id")
-    # rows of one id may hold several texts; the right one is the one whose set has the node's number
-    sets = cut_lineage(_checked(_wanted_sets(texts, words)))
-    stars = cut_lineage(_difference(pairs, sets, percent))
+    # a set is worked out again from the text of the least id that has it
+    first_ids = space.cut(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(involved, "node").select("doc_id").distinct())
+    sets = space.cut(_wanted_sets(base.join(first_ids, "doc_id").select("text"), words))
+    stars = space.cut(_difference(pairs, sets, percent))
+    space.drop(sets)
     links = stars.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    same = _same_id(known)
-    first = cut_lineage(connected_components(links.unionByName(same), "a", "b"))
-    more = cut_lineage(_rest(members, stars, first, percent, block))
-    every = first
+    every = space.cut(connected_components(links.unionByName(_same_id(known)), "a", "b"))
+    more = space.cut(_rest(members, stars, every, percent, block))
     if not more.isEmpty():
-        every = cut_lineage(connected_components(more.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")), "a", "b"))
-    group = nodes.select("node", "doc_id").join(every, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        ties = every.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+        every = connected_components(more.unionByName(ties), "a", "b")
+    group = known.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(every, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
     least = group.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = group.join(least, "component").select("node", "component_id")
     own = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of, "node", "left").withColumn(
         "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return own.select("doc_id", "n_shingles", "component_id")
-
-
-def _checked(sets: DataFrame) -> DataFrame:
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keep = [_node(s.values.to_numpy().view(np.uint64)) == n for s, n in zip(batch.column("s"), batch.column("node").to_pylist())]
-        return batch.filter(pa.array(keep))
-    return map_batches(sets, one, "node long, s array<long>").dropDuplicates(["node"])
+    return space.close(own.select("doc_id", "n_shingles", "component_id"))
 
 
 def _same_id(known: DataFrame) -> DataFrame:
@@ -244,8 +251,8 @@ def _rest(members: DataFrame, stars: DataFrame, components: DataFrame, percent:
     columns = ["key", "size", "node", "component", "n", "pn", "lacks", "extra"]
     dealt = full.select(columns).unionByName(self.select(columns)).withColumn(
         "part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int"))
+    # about ``block`` rows in each, as the hash deals them
     blocks = dealt.groupBy("key", "part").agg(F.collect_list(F.struct("node", "component", "n", "pn", "lacks", "extra")).alias("m"))
-    blocks = cut_lineage(blocks)
     left, right = blocks.withColumnRenamed("m", "l").withColumnRenamed("part", "lp"), blocks.withColumnRenamed("m", "r").withColumnRenamed("part", "rp")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
