@@ -354,13 +354,20 @@ def nearest_site(spark, sf):
     return n.withColumn("dist", F.round("dist", 6))
 
 
-@query("near_zone_edge", f"""SELECT p.site_id, z.zone_id, round(CASE WHEN {ZONE_MEETS} THEN 0 ELSE
-  sqrt(CAST(pow(greatest(z.x0 - p.x, p.x - z.x0 - 4000, 0), 2) + pow(greatest(z.y0 - p.y, p.y - z.y0 - 4000, 0), 2) AS DOUBLE)) END, 6) AS dist
-FROM sites p JOIN zones z ON z.variant = 0 AND greatest(z.x0 - p.x, p.x - z.x0 - 4000) <= 800 AND greatest(z.y0 - p.y, p.y - z.y0 - 4000) <= 800
- AND pow(greatest(z.x0 - p.x, p.x - z.x0 - 4000, 0), 2) + pow(greatest(z.y0 - p.y, p.y - z.y0 - 4000, 0), 2) <= 640000""")
+# distance to a zone: to its square, and where the point lies in the part a variant lacks, to that part's edges
+_BESIDE = "sqrt(CAST(pow(greatest(z.x0 - p.x, p.x - z.x0 - 4000, 0), 2) + pow(greatest(z.y0 - p.y, p.y - z.y0 - 4000, 0), 2) AS DOUBLE))"
+_QUARTER = ("sqrt(CAST(least(pow(p.x - z.x0 - 2000, 2) + pow(greatest(p.y - z.y0 - 4000, 0), 2), pow(p.y - z.y0 - 2000, 2) + pow(greatest(p.x - z.x0 - 4000, 0), 2)) AS DOUBLE))")
+_HOLE = "CAST(least(p.x - z.x0 - 1000, z.x0 + 3000 - p.x, p.y - z.y0 - 1000, z.y0 + 3000 - p.y) AS DOUBLE)"
+
+
+@query("near_zone_edge", f"""WITH d AS (SELECT p.site_id, z.zone_id, CASE WHEN {ZONE_MEETS} THEN 0
+  WHEN z.variant = 1 AND p.x > z.x0 + 2000 AND p.y > z.y0 + 2000 THEN {_QUARTER}
+  WHEN z.variant = 2 AND p.x > z.x0 + 1000 AND p.x < z.x0 + 3000 AND p.y > z.y0 + 1000 AND p.y < z.y0 + 3000 THEN {_HOLE} ELSE {_BESIDE} END AS dist
+FROM sites p JOIN zones z ON greatest(z.x0 - p.x, p.x - z.x0 - 4000) <= 800 AND greatest(z.y0 - p.y, p.y - z.y0 - 4000) <= 800)
+SELECT site_id, zone_id, round(dist, 6) AS dist FROM d WHERE dist <= 800""")
 def near_zone_edge(spark, sf):
-    z = zone_layer(spark, sf).where("variant = 0")
-    d = J.within_distance_of(view(spark, sf, "sites"), z, 800.0, cell=4000)
+    """Zones of every shape: squares, squares without a quarter, squares with a hole."""
+    d = J.within_distance_of(view(spark, sf, "sites"), zone_layer(spark, sf), 800.0, cell=4000)
     return d.select(F.col("l_site_id").alias("site_id"), F.col("r_zone_id").alias("zone_id"), F.round("dist", 6).alias("dist"))
 
 
@@ -371,9 +378,9 @@ def detect_area(spark, sf):
         "home_id", "name")
 
 
-@query("clip_points", f"SELECT DISTINCT p.home_id, p.segment FROM homes p JOIN zones z ON z.variant <> 0 AND {ZONE_MEETS}")
+@query("clip_points", f"SELECT DISTINCT p.home_id, p.segment FROM homes p JOIN zones z ON {ZONE_MEETS}")
 def clip_points(spark, sf):
-    return O.clip_points(view(spark, sf, "homes"), zone_layer(spark, sf).where("variant <> 0"), "home_id", cell=4000).select(
+    return O.clip_points(view(spark, sf, "homes"), zone_layer(spark, sf), "home_id", cell=4000).select(
         "home_id", "segment")
 
 
@@ -393,6 +400,65 @@ def overlay_areas(spark, sf):
     return d.select(F.lit("both").alias("part"), "zone_id", "bldg_id", F.round("area", 3).alias("area"))
 
 
+def _plots(spark, sf):
+    """Blocks of 1,200 m that don't meet, and squares of 30 m on a lattice of 50 m, which lie in a block, across its edge or outside."""
+    blocks = _boxes(spark, sf)[0]
+    x, y = F.lit(499_190) + 50 * (F.col("p_partkey") % 40), F.lit(5_399_285) + 50 * F.floor(F.col("p_partkey") / 40)
+    plots = view(spark, sf, "part").select(F.col("p_partkey").alias("plot_id"), G.box(x, y, x + 30, y + 30, SRID).alias("geom"))
+    return blocks, plots
+
+
+_PLOTS = """WITH z AS (SELECT zone_id, x0 - 600 AS x0, y0 - 600 AS y0 FROM zones),
+p AS (SELECT p_partkey AS plot_id, 499190 + 50 * (p_partkey % 40) AS x0, 5399285 + 50 * CAST(floor(p_partkey / 40.0) AS BIGINT) AS y0 FROM part),
+i AS (SELECT zone_id, plot_id, CAST((least(z.x0 + 1200, p.x0 + 30) - greatest(z.x0, p.x0)) * (least(z.y0 + 1200, p.y0 + 30) - greatest(z.y0, p.y0)) AS DOUBLE) AS area
+      FROM z JOIN p ON p.x0 < z.x0 + 1200 AND p.x0 + 30 > z.x0 AND p.y0 < z.y0 + 1200 AND p.y0 + 30 > z.y0),
+a AS (SELECT z.zone_id, CAST(NULL AS BIGINT) AS plot_id, 1440000 - coalesce(sum(i.area), 0) AS area FROM z LEFT JOIN i USING (zone_id) GROUP BY z.zone_id),
+b AS (SELECT CAST(NULL AS INTEGER) AS zone_id, p.plot_id, 900 - coalesce(sum(i.area), 0) AS area FROM p LEFT JOIN i ON i.plot_id = p.plot_id GROUP BY p.plot_id) """
+
+
+def _overlay(spark, sf, how):
+    blocks, plots = _plots(spark, sf)
+    return O.overlay_areas(blocks, plots, how, "zone_id", "plot_id", cell=400).select("zone_id", "plot_id", F.round("area", 3).alias("area"))
+
+
+@query("overlay_union", _PLOTS + "SELECT * FROM i UNION ALL SELECT * FROM a UNION ALL SELECT * FROM b WHERE area > 0")
+def overlay_union(spark, sf):
+    return _overlay(spark, sf, "union")
+
+
+@query("overlay_difference", _PLOTS + "SELECT * FROM a")
+def overlay_difference(spark, sf):
+    return _overlay(spark, sf, "difference")
+
+
+@query("overlay_symmetric_difference", _PLOTS + "SELECT * FROM a UNION ALL SELECT * FROM b WHERE area > 0")
+def overlay_symmetric_difference(spark, sf):
+    return _overlay(spark, sf, "symmetric_difference")
+
+
+@query("overlay_identity", _PLOTS + "SELECT * FROM i UNION ALL SELECT * FROM a")
+def overlay_identity(spark, sf):
+    return _overlay(spark, sf, "identity")
+
+
+@query("clip_polygons", _PLOTS + "SELECT plot_id, sum(area) AS area FROM i GROUP BY plot_id")
+def clip_polygons(spark, sf):
+    blocks, plots = _plots(spark, sf)
+    return O.clip_polygons(plots, blocks, "plot_id", cell=400).select("plot_id", F.round(G.area(F.col("geom")), 3).alias("area"))
+
+
+@query("dissolve_degrees", """SELECT p_partkey % 5 AS unit, round(count(*) * 1.0, 3) AS squares FROM part GROUP BY 1""")
+def dissolve_degrees(spark, sf):
+    """Buildings of about nine metres in degrees, none touching another of its unit: merged areas in squares."""
+    k, s = F.col("p_partkey"), 8e-5
+    x, y = F.lit(10.0) + (k % 500) * 2 * s, F.lit(50.0) + F.floor(k / 500) * 2 * s
+    p = view(spark, sf, "part").select((k % 5).alias("unit"), G.box(x, y, x + s, y + s, 4326).alias("geom"))
+    from geoloom.operators.graph import ring_areas
+    e, g = O.dissolve_edges(p, "unit", cell=0.004)
+    shift = e.select("unit", (F.col("x1") - 10).alias("x1"), (F.col("y1") - 50).alias("y1"), (F.col("x2") - 10).alias("x2"), (F.col("y2") - 50).alias("y2"))
+    return ring_areas(shift, g).select("unit", F.round(F.col("area") / (s * s), 3).alias("squares"))
+
+
 @query("dissolve_by_region", """SELECT n_regionkey AS region, CAST(sum(CASE n_nationkey % 3 WHEN 0 THEN 16000000 ELSE 12000000 END) AS DOUBLE) AS area
 FROM nation GROUP BY n_regionkey""")
 def dissolve_by_region(spark, sf):

@@ -348,14 +348,14 @@ def inventory_diff(spark, sf):
                             view(spark, sf, "customer").select((F.col("c_custkey") + 100).alias("k")), "k")
 
 
-@query("merge_touch", """WITH t AS (SELECT 'dir' || (c_custkey % 50) || '/file' || c_custkey || '.gpkg' AS path, DATE '1998-01-01' + CAST(c_custkey % 900 AS INTEGER) AS day FROM customer WHERE c_nationkey < 12),
+@query("merge_touch", """WITH t AS (SELECT 'dir' || (c_custkey % 50) || '/file' || c_custkey || '.gpkg' AS path, DATE '1998-01-01' + CAST(c_custkey % 900 AS INTEGER) AS day FROM customer),
 u AS (SELECT concat(path, '::', layer) AS k, DATE '1999-06-01' AS day FROM inventory WHERE source = 'local')
 SELECT i.ds_id, strftime(greatest(i.last_used, t.day, u.day), '%Y-%m-%d') AS last_used, CASE WHEN u.day IS NOT NULL THEN 'kept' WHEN t.day IS NOT NULL THEN 'seen' END AS note
 FROM inventory i LEFT JOIN t ON t.path = i.path LEFT JOIN u ON u.k = concat(i.path, '::', i.layer)""")
 def merge_touch(spark, sf):
     i = view(spark, sf, "inventory")
     c, s = F.col("c_custkey"), lambda x: x.cast("string")
-    t = view(spark, sf, "customer").where("c_nationkey < 12").select(
+    t = view(spark, sf, "customer").select(
         F.concat(F.lit("dir"), s(c % 50), F.lit("/file"), s(c), F.lit(".gpkg")).alias("target"),
         F.date_add(F.lit("1998-01-01").cast("date"), (c % 900).cast("int")).alias("day"), F.lit("seen").alias("note"), F.lit(None).cast("int").alias("ttl_days"))
     u = i.where("source = 'local'").select(F.concat_ws("::", "path", "layer").alias("target"), F.lit("1999-06-01").cast("date").alias("day"),
@@ -566,12 +566,12 @@ def shard(spark, sf):
 
 
 @query("stalest", """WITH u AS (SELECT o_custkey AS k, max(CAST(o_orderdate AS TIMESTAMP)) AS t FROM orders GROUP BY 1 UNION ALL SELECT user_id, max(ts) FROM events GROUP BY 1), l AS (SELECT k, max(t) AS t FROM u GROUP BY k)
-SELECT c_custkey AS test_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS last_used FROM customer LEFT JOIN l ON l.k = c_custkey ORDER BY t NULLS FIRST, c_custkey LIMIT 50""")
+SELECT c_custkey AS test_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS last_used FROM customer LEFT JOIN l ON l.k = c_custkey """)
 def stalest(spark, sf):
     bank = view(spark, sf, "customer").select(F.col("c_custkey").alias("test_id"), F.col("c_custkey").alias("position"))
     o = view(spark, sf, "orders").select(F.col("o_custkey").alias("test_id"), F.col("o_orderdate").cast("timestamp").alias("at"))
     e = view(spark, sf, "events").select(F.col("user_id").alias("test_id"), F.col("ts").cast("timestamp").alias("at"))
-    return TL.stalest(bank, [o, e]).limit(50).select("test_id", F.date_format("last_used", "yyyy-MM-dd HH:mm:ss").alias("last_used"))
+    return TL.stalest(bank, [o, e]).select("test_id", F.date_format("last_used", "yyyy-MM-dd HH:mm:ss").alias("last_used"))
 
 
 _TOOLS = ("list_value(" + ", ".join(f"CASE WHEN event_id % {m} = 0 THEN '{t}' END" for t, m in (("geocode", 2), ("osm", 3), ("clip", 5))) + ", event_type)")
@@ -611,12 +611,15 @@ def protocol_parse(spark, sf):
     return c.select("conv_id", "turn", F.array_join(X.protocol_tools(F.col("p")), ",").alias("tools"), F.array_join(X.protocol_errors(F.col("p")), ";").alias("errors"))
 
 
-@query("set_differences", """SELECT conv_id, turn, len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS only_a, len(list_filter(list_distinct(a), lambda x: list_contains(b, x))) AS both FROM (SELECT conv_id, turn, string_split(text, ' ') AS a,
- string_split((SELECT text FROM benchmark WHERE item_id = 0), ' ') AS b FROM conversations)""")
+@query("set_differences", """WITH c AS (SELECT conv_id, turn, string_split(text, ' ') AS a FROM conversations),
+b AS (SELECT conv_id, turn, list_distinct(string_split(text, ' ')) AS b FROM conversations)
+SELECT c.conv_id, c.turn, len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS only_a, len(list_filter(list_distinct(a), lambda x: list_contains(b, x))) AS both
+FROM c JOIN b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1""")
 def set_differences(spark, sf):
-    b = view(spark, sf, "benchmark").where("item_id = 0").select(F.split("text", " ")).scalar()
-    c = view(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("a"), b.alias("b"))
-    return c.select("conv_id", "turn", F.size(F.array_except("a", "b")).cast("long").alias("only_a"), F.size(F.array_intersect("a", "b")).cast("long").alias("both"))
+    """Words of each turn that the turn before has, and has not."""
+    c = view(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("a"))
+    b = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("a").alias("b"))
+    return c.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.size(F.array_except("a", "b")).cast("long").alias("only_a"), F.size(F.array_intersect("a", "b")).cast("long").alias("both"))
 
 
 @query("unique_names", """SELECT p_partkey, CASE WHEN rn = 1 THEN p_name ELSE p_name || '_' || rn END AS p_name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part)""")
