@@ -148,9 +148,8 @@ def is_geographic(srid: Column) -> Column:
 
 
 def crs_note(srid: Column) -> Column:
-    return F.when(srid.isNull(), "no CRS defined — measurements and overlays are unreliable").when(
-        is_geographic(srid), "geographic CRS (degrees) — reproject before measuring area/distance").otherwise(
-        "projected CRS — area/distance are in metric units")
+    """``unknown``, ``degrees`` or ``metres``."""
+    return F.when(srid.isNull(), "unknown").when(is_geographic(srid), "degrees").otherwise("metres")
 
 
 def check_crs(df: DataFrame, geom: str = "geom") -> DataFrame:

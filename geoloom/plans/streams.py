@@ -28,7 +28,7 @@ def departure_board(spark, sf):
                     F.round(F.col("mean_headway") * 60 * (F.col("departures") - 1), 6).alias("span_s"))
 
 
-@query("feature_findings", """SELECT bldg_id, CASE bldg_id % 3 WHEN 0 THEN 'invalid geometry' ELSE 'no CRS defined' END AS message FROM footprints WHERE bldg_id % 3 < 2""")
+@query("feature_findings", """SELECT bldg_id, CASE bldg_id % 3 WHEN 0 THEN 'invalid_shape' ELSE 'no_srid' END AS message FROM footprints WHERE bldg_id % 3 < 2""")
 def feature_findings(spark, sf):
     from geoloom.functions import geometry as G
     from geoloom.operators.quality import feature_findings as ff

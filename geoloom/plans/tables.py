@@ -163,26 +163,28 @@ def natural_breaks(spark, sf):
     return M.class_breaks(p, "p_retailprice", "NaturalBreaks", 5)
 
 
-@query("sanity_check", """SELECT count(*) || ' features; expected at most 10' AS warning FROM part UNION ALL SELECT 'geometry types [POLYGON] do not match expected ''line'''
-UNION ALL SELECT count(*) || ' value(s) in ''height'' outside range' FROM footprints WHERE height < 0 OR height > 12
-UNION ALL SELECT 'required field ''owner'' is missing or empty' UNION ALL SELECT count(*) || ' value(s) in ''side'' outside the plausible building_area range' FROM footprints WHERE side < 4""")
+@query("sanity_check", """SELECT 'too_many' AS code, CAST(NULL AS VARCHAR) AS field, CAST(count(*) AS VARCHAR) AS value FROM part UNION ALL SELECT 'other_kind', NULL, 'POLYGON'
+UNION ALL SELECT 'out_of_range', 'height', CAST(count(*) AS VARCHAR) FROM footprints WHERE height < 0 OR height > 12
+UNION ALL SELECT 'missing_field', 'owner', NULL UNION ALL SELECT 'implausible_building_area', 'side', CAST(count(*) AS VARCHAR) FROM footprints WHERE side < 4""")
 def sanity_check(spark, sf):
     return Q.sanity_check(footprint_layer(spark, sf), max_features=10, geometry="line", required=("owner",), ranges={"height": (0, 12)},
                           magnitude_field="side", magnitude="building_area")
 
 
-@query("quality_gate", """SELECT 'stale' AS layer, 3 AS level, 'advisory' AS severity, 'stored area column ''area'' disagrees with the geometry by ~100%' AS message
-UNION ALL SELECT 'sentinel', 1, 'hard', 'column(s) [status] entirely placeholder/sentinel (failed join?)' UNION ALL SELECT 'loose', 1, 'hard', 'no CRS defined'
-UNION ALL SELECT 'loose', 1, 'hard', count(*) || ' null geometr(ies)' FROM footprints WHERE side <= 5""")
+@query("quality_gate", """SELECT 'stale' AS layer, 3 AS level, 'advisory' AS severity, 'stored_measure' AS code, 'area 100' AS value
+UNION ALL SELECT 'sentinel', 1, 'hard', 'sentinel_column', unnest(['s1', 's2', 's3', 's4', 'status']) UNION ALL SELECT 'loose', 1, 'hard', 'no_srid', NULL
+UNION ALL SELECT 'loose', 1, 'hard', 'null_shape', CAST(count(*) AS VARCHAR) FROM footprints WHERE side <= 5
+UNION ALL SELECT 'single', 1, 'advisory', 'other_area', 'Landshut' FROM (SELECT min(bldg_id) FROM footprints)""")
 def quality_gate(spark, sf):
     f = footprint_layer(spark, sf)
     g = F.col("geom")
     layers = {
         "good": f.drop("side"),
         "stale": f.withColumn("area", F.col("side") * F.col("side") * 2),
-        "sentinel": f.withColumn("status", F.lit(" NULL ")),
-        "loose": f.withColumn("geom", F.when(F.col("side") > 5, g.withField("srid", F.lit(None).cast("int"))))}
-    return Q.quality_gate(layers, 3)
+        "sentinel": f.withColumns({c: F.lit(" NULL ") for c in ("status", "s1", "s2", "s3", "s4")}),
+        "loose": f.withColumn("geom", F.when(F.col("side") > 5, g.withField("srid", F.lit(None).cast("int")))),
+        "single": f.groupBy(F.lit("Landshut").alias("place")).agg(F.min_by("geom", "bldg_id").alias("geom"))}
+    return Q.quality_gate(layers, 3, files={"single": "out/passau_outline.gpkg"}, name_column="place")
 
 
 # ---------------------------------------------------------------- joins and statistics

@@ -55,7 +55,7 @@ def test_gate_stream(spark, folder):
     q = ST.gate_stream(replay(spark, d, folder, "g"), f"{folder}/good", f"{folder}/bad", f"{folder}/cp", "id")
     q.awaitTermination(120)
     assert spark.read.parquet(f"{folder}/good").count() == 5
-    assert {r.message for r in spark.read.parquet(f"{folder}/bad").collect()} == {"null geometry"}
+    assert {r.message for r in spark.read.parquet(f"{folder}/bad").collect()} == {"null_shape"}
 
 
 def test_touch_ttl(spark, folder):
