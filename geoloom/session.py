@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoloom.shipping import ship
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -26,7 +28,9 @@ def build_session(name: str = "geoloom", master: str | None = None, **conf: str)
         b = b.master(master)
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         b = b.config(key, value)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
