@@ -6,6 +6,7 @@ again as the next one's ``docs``. All stages but the last return the columns of
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import public_tokenizers
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm import jaccard, langid, line_dedup, packing, pii
 from geoloom.session import checkpoint_folder
+from geoloom.shipping import ship
 
 LEAST_LANGUAGE_SCORE = 0.5
 
@@ -50,8 +52,15 @@ def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("language", language), ("boilerplate_lines", boilerplate_lines), ("near_copies", near_copies),
-          ("personal_data", personal_data), ("packed_windows", packed_windows)]
+def _stage(fn):
+    @functools.wraps(fn)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, docs, sf_dir)
+    return fn.__name__, stage
+
+
+STAGES = [_stage(f) for f in (language, boilerplate_lines, near_copies, personal_data, packed_windows)]
 ORACLE_SQL = None            # language, personal data and packing have no SQL counterpart
 
 
