@@ -17,7 +17,7 @@ from geoloom.llm import jaccard, langid, line_dedup, packing, pii
 from geoloom.session import checkpoint_folder
 from geoloom.shipping import ship
 
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -206,11 +206,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     space.drop(full)
     needs = known.groupBy("node").agg(F.max("need").alias("need"))
     enough = several.groupBy("node").agg(F.count("*").alias("shared")).join(needs, "node").where("shared >= need").select("node")
-    kept = several.join(enough, "node")
-    lists = kept.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    members = space.cut(kept.join(lists, "key").select("key", "node", "pivot", "size"))
+    kept = several.join(enough, "node").select("key", "node")
+    lists = kept.groupBy("key").agg(F.min("node").alias("pivot"))
+    pairs = space.cut(kept.join(lists, "key").where("node <> pivot").select("node", "pivot").distinct())
     space.drop(several)
-    pairs = space.cut(members.where("node <> pivot").select("node", "pivot").distinct())
     involved = pairs.select("node").union(pairs.select("pivot")).distinct()
     # a set is worked out again from the text of the least id that has it
     first_ids = space.cut(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(involved, "node").select("doc_id").distinct())
@@ -219,7 +218,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     space.drop(sets)
     links = stars.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     every = space.cut(connected_components(links.unionByName(_same_id(known)), "a", "b"))
-    more = space.cut(_rest(members, stars, every, percent, block))
+    more = space.cut(_rest(stars, every, percent, block))
     if not more.isEmpty():
         ties = every.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
         every = connected_components(more.unionByName(ties), "a", "b")
@@ -238,20 +237,21 @@ def _same_id(known: DataFrame) -> DataFrame:
     return known.select("doc_id", F.col("node").alias("b")).join(ids, "doc_id").where("a <> b").select("a", "b").distinct()
 
 
-def _rest(members: DataFrame, stars: DataFrame, components: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links inside lists whose sets are still in several components, as ``(a, b)``."""
-    with_component = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_lists = with_component.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    # lists of two were decided by their pivot
-    rest = with_component.where("size > 2").join(open_lists, "key")
+def _rest(stars: DataFrame, components: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links around one pivot between sets that are still in several components, as ``(a, b)``.
+
+    Every two sets of a list are compared with the list's pivot, so all its pairs meet here, once however many lists the
+    pivot leads. A pivot with one other set has nothing left to decide.
+    """
+    columns = ["pivot", "node", "n", "pn", "lacks", "extra"]
     none = F.array().cast("array<long>")
-    full = rest.join(stars.drop("linked"), ["node", "pivot"])
-    self = rest.where("node = pivot").join(stars.groupBy("pivot").agg(F.min("pn").alias("pn")), "pivot").withColumn("n", F.col("pn")).withColumn(
-        "lacks", none).withColumn("extra", none)
-    columns = ["key", "size", "node", "component", "n", "pn", "lacks", "extra"]
-    dealt = full.select(columns).unionByName(self.select(columns)).withColumn(
-        "part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int"))
-    # about ``block`` rows in each, as the hash deals them
+    own = stars.groupBy("pivot").agg(F.min("pn").alias("pn"), F.count("*").alias("others")).where("others > 1")
+    pivots = own.select("pivot", F.col("pivot").alias("node"), F.col("pn").alias("n"), "pn", none.alias("lacks"), none.alias("extra"))
+    full = stars.join(own.select("pivot"), "pivot", "left_semi").select(columns).unionByName(pivots).join(components, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    still_open = full.groupBy("pivot").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where(
+        "x <> y").select("pivot", F.ceil(F.col("size") / block).cast("int").alias("parts"))
+    dealt = full.join(still_open, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumnRenamed("pivot", "key")
     blocks = dealt.groupBy("key", "part").agg(F.collect_list(F.struct("node", "component", "n", "pn", "lacks", "extra")).alias("m"))
     left, right = blocks.withColumnRenamed("m", "l").withColumnRenamed("part", "lp"), blocks.withColumnRenamed("m", "r").withColumnRenamed("part", "rp")
 
