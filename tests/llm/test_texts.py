@@ -142,8 +142,9 @@ def test_linked_sets_share_a_list(n, lacks, extra, percent, seed):
     a = np.sort(a)
     common = len(np.intersect1d(a, b))
     if 100 * common >= percent * (len(a) + len(b) - common) and len(a) + len(b) > 2 * common:
-        (x, p), (y, q) = jaccard.list_keys(a, percent), jaccard.list_keys(b, percent)
-        assert len(np.intersect1d(x, y)) >= max(p, q) >= 1
+        (x, p, far), (y, q, _) = jaccard.listed(a, percent), jaccard.listed(b, percent)
+        shared, i, j = np.intersect1d(x, y, return_indices=True)
+        assert len(shared) >= max(p, q) >= 1 and np.abs(i - j).max() <= far
 
 
 def test_jaccard_empty(no_docs):
