@@ -55,7 +55,12 @@ def network_tables(spark, sf):
         nodes.agg(F.count("*")).scalar().alias("nodes"), "edges", "total")
 
 
-@query("isochrones")
+# an edge of the hull runs between two nodes that no node lies to the right of, and none beyond its ends on its line
+@query("isochrones", f"""{_REACH}, p AS (SELECT origin, node % 100 * 100 AS x, CAST(floor(node / 100.0) AS BIGINT) * 100 AS y FROM best),
+h AS (SELECT a.origin, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON b.origin = a.origin AND (a.x <> b.x OR a.y <> b.y)
+ WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.origin = a.origin AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+  OR (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND ((c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 0))))
+SELECT origin, CAST(sum(x1 * y2 - x2 * y1) AS DOUBLE) / 2 AS area, CAST(count(*) + 1 AS INTEGER) AS vertices FROM h GROUP BY origin HAVING sum(x1 * y2 - x2 * y1) > 0""")
 def isochrones(spark, sf):
     reached = service_area(_edges(spark, sf), _origins(spark, sf), float(MAX_COST))
     xy = reached.select("origin", (F.col("node") % 100 * 100.0).alias("x"), (F.floor(F.col("node") / 100) * 100.0).alias("y"))

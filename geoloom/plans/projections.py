@@ -44,7 +44,30 @@ def reproject_round_trip(spark, sf):
     return d.select("bldg_id", F.floor(F.col("d") * 1000).cast("double").alias("off_mm"))
 
 
-@query("reproject_bbox")
+def _utm32_sql() -> tuple[str, str, str]:
+    """Longitude and latitude of ``e, n`` in zone 32 by the third-order series in the ellipsoid's third flattening."""
+    f = 1 / 298.257222101
+    n = f / (2 - f)
+    radius = 0.9996 * 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64)
+    b = (n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96, n ** 2 / 48 + n ** 3 / 15, 17 * n ** 3 / 480)
+    d = (2 * n - 2 * n ** 2 / 3 - 2 * n ** 3, 7 * n ** 2 / 3 - 8 * n ** 3 / 5, 56 * n ** 3 / 15)
+    sinh, cosh = "((exp({0}) - exp(-({0}))) / 2)", "((exp({0}) + exp(-({0}))) / 2)"
+    xi, eta = f"(n / {radius!r})", f"((e - 500000) / {radius!r})"
+    u = xi + "".join(f" - {v!r} * sin({2 * k} * {xi}) * {cosh.format(f'{2 * k} * {eta}')}" for k, v in enumerate(b, 1))
+    w = eta + "".join(f" - {v!r} * cos({2 * k} * {xi}) * {sinh.format(f'{2 * k} * {eta}')}" for k, v in enumerate(b, 1))
+    chi = f"asin(sin({u}) / {cosh.format(w)})"
+    return f"9 + degrees(atan2({sinh.format(w)}, cos({u})))", "degrees(chi" + "".join(f" + {v!r} * sin({2 * k} * chi)" for k, v in enumerate(d, 1)) + ")", chi
+
+
+_LON, _LAT, _CHI = _utm32_sql()
+
+
+@query("reproject_bbox", f"""WITH i AS (SELECT unnest(range(21)) AS i),
+p AS (SELECT zone_id, x0 + 4000 * i / 20.0 AS e, y0 + 0.0 AS n FROM zones, i UNION ALL SELECT zone_id, x0 + 4000 * i / 20.0, y0 + 4000.0 FROM zones, i
+  UNION ALL SELECT zone_id, x0 + 0.0, y0 + 4000 * i / 20.0 FROM zones, i UNION ALL SELECT zone_id, x0 + 4000.0, y0 + 4000 * i / 20.0 FROM zones, i),
+c AS (SELECT zone_id, {_LON} AS lon, {_CHI} AS chi FROM (SELECT zone_id, CAST(e AS DOUBLE) AS e, CAST(n AS DOUBLE) AS n FROM p)),
+l AS (SELECT zone_id, lon, {_LAT} AS lat FROM c)
+SELECT zone_id, round(min(lon), 6) AS xmin, round(min(lat), 6) AS ymin, round(max(lon), 6) AS xmax, round(max(lat), 6) AS ymax FROM l GROUP BY zone_id""")
 def reproject_bbox(spark, sf):
     b = G.with_bbox(zone_layer(spark, sf)).withColumn("w", P.reproject_bbox(F.struct("xmin", "ymin", "xmax", "ymax"), 25832, 4326))
     return b.select("zone_id", "w.*")

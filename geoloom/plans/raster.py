@@ -142,7 +142,14 @@ def stretch(spark, sf):
     return s.select("raster_id", "row", "col", F.when(F.col("alpha") > 0, F.round("stretched", 4)).alias("stretched"), "alpha")
 
 
-@query("mask_regions")
+# each run of set cells takes the least run it can reach; a run is known by its row and first column
+@query("mask_regions", """WITH RECURSIVE m AS (SELECT DISTINCT row, col FROM dem WHERE value > 20),
+s AS (SELECT row, col, col - row_number() OVER (PARTITION BY row ORDER BY col) AS g FROM m),
+r AS (SELECT row, min(col) AS a, max(col) AS b, row * 2147483648 + min(col) AS id, count(*) AS n FROM s GROUP BY row, g),
+e AS (SELECT u.id AS x, v.id AS y FROM r u JOIN r v ON abs(v.row - u.row) = 1 AND v.a <= u.b AND v.b >= u.a),
+w AS (SELECT id, id AS region FROM r UNION SELECT e.y, w.region FROM w JOIN e ON e.x = w.id WHERE w.region < e.y),
+l AS (SELECT id, min(region) AS region FROM w GROUP BY id)
+SELECT CAST(region AS BIGINT) AS region, CAST(sum(n) AS BIGINT) AS cells FROM l JOIN r USING (id) GROUP BY region""")
 def mask_regions(spark, sf):
     """Connected regions of high ground: region id, cells and area."""
     from geoloom.operators.polygonize import mask_regions as regions

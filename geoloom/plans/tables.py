@@ -157,10 +157,23 @@ def class_breaks(spark, sf):
     return c.groupBy(F.col("quantile").cast("long").alias("quantile"), "equal_interval").agg(F.count("*").alias("n"))
 
 
-@query("natural_breaks")
+# classes of bins i..j cost the squares around their mean; each step adds the last class
+_BREAK_STEP = "d{k} AS (SELECT c.j, min(d.cost + c.cost) AS cost, arg_min(list_append(d.ends, c.j), d.cost + c.cost) AS ends FROM d{p} d JOIN c ON c.i = d.j + 1 GROUP BY c.j)"
+
+
+@query("natural_breaks", """WITH v AS (SELECT CAST(p_retailprice AS DOUBLE) AS v, count(*) AS w FROM part GROUP BY 1), s AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
+b AS (SELECT least(floor((v - lo) / (hi - lo) * 4096), 4095) AS bin, sum(w) AS w, sum(v * w) / sum(w) AS m, max(v) AS hi FROM v, s GROUP BY 1),
+n AS (SELECT row_number() OVER (ORDER BY bin) AS j, hi, sum(w) OVER o AS sw, sum(w * (m - z)) OVER o AS s1, sum(w * (m - z) * (m - z)) OVER o AS s2
+  FROM b, (SELECT avg(m) AS z FROM b) WINDOW o AS (ORDER BY bin)),
+f AS (SELECT j, sw, s1, s2 FROM n UNION ALL SELECT 0, 0, 0, 0),
+c AS (SELECT f.j + 1 AS i, n.j, n.s2 - f.s2 - (n.s1 - f.s1) * (n.s1 - f.s1) / (n.sw - f.sw) AS cost FROM n JOIN f ON f.j < n.j),
+d1 AS (SELECT j, cost, [j] AS ends FROM c WHERE i = 1), """ + ", ".join(_BREAK_STEP.format(k=k, p=k - 1) for k in range(2, 6)) + """,
+e AS (SELECT unnest(ends) AS j, generate_subscripts(ends, 1) AS class FROM d5 WHERE j = (SELECT max(j) FROM n))
+SELECT CAST(class AS INTEGER) AS class, n.hi AS upper FROM e JOIN n ON n.j = e.j""")
 def natural_breaks(spark, sf):
     p = view(spark, sf, "part").select("p_retailprice")
-    return M.class_breaks(p, "p_retailprice", "NaturalBreaks", 5)
+    b = M.class_breaks(p, "p_retailprice", "NaturalBreaks", 5)
+    return b.select(F.posexplode("breaks").alias("class", "upper")).select((F.col("class") + 1).alias("class"), "upper")
 
 
 @query("sanity_check", """SELECT 'too_many' AS code, CAST(NULL AS VARCHAR) AS field, CAST(count(*) AS VARCHAR) AS value FROM part UNION ALL SELECT 'other_kind', NULL, 'POLYGON'
