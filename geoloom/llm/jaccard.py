@@ -234,3 +234,21 @@ def _rest(stars: DataFrame, components: DataFrame, percent: int, block: int) ->
         x, y = zip(*got) if got else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
     return map_batches(left.join(right, "key").where("lp <= rp").select("l", "r"), one, "a long, b long").distinct()
+
+
+def sql(words: int, percent: int) -> str:
+    """The same by comparing every two documents that share a shingle; for small tables."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    gram = " || ' ' || ".join(f"ws[i + {k}]" for k in range(words))
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[^ \\x09-\\x0D]+') AS ws FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {words} THEN list_transform(range(1, len(ws) - {words - 2}), lambda i: {gram})
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.k >= {percent} * (x.n + y.n - c.k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
+"""

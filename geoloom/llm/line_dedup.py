@@ -65,12 +65,12 @@ def drop_site_lines(pages: DataFrame, host: str = "source", text: str = "text",
 SQL = f"""
 WITH pages AS (SELECT source AS host, count(*) AS pages FROM documents WHERE source IS NOT NULL GROUP BY source),
 lines AS (SELECT doc_id, source AS host, text, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)),
-            x -> trim(x)), x -> x <> ''))) AS line FROM documents WHERE source IS NOT NULL),
+            lambda x: trim(x)), lambda x: x <> ''))) AS line FROM documents WHERE source IS NOT NULL),
 counts AS (SELECT host, line, count(*) AS n FROM lines GROUP BY host, line),
 bad AS (SELECT c.host, c.line FROM counts c JOIN pages p USING (host) WHERE c.n >= {LEAST_PAGES} AND c.n > {RATIO} * p.pages),
 lists AS (SELECT host, list(line) AS marks FROM bad GROUP BY host),
 cut AS (SELECT d.*, string_split(text, chr(10)) AS ls,
-          list_filter(string_split(text, chr(10)), x -> trim(x) = '' OR NOT coalesce(list_contains(l.marks, trim(x)), false)) AS stay
+          list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR NOT coalesce(list_contains(l.marks, trim(x)), false)) AS stay
         FROM documents d LEFT JOIN lists l ON d.source = l.host)
 SELECT doc_id, source, array_to_string(stay, chr(10)) AS text, CAST(len(ls) AS BIGINT) AS n_lines,
        CAST(len(ls) - len(stay) AS BIGINT) AS n_dropped FROM cut
