@@ -1,19 +1,19 @@
 """Exact similarity join of word-shingle sets that skips by set relations.
 
-Shingles are ordered by hash. Of two linked sets the first positions must hold several common shingles, so the index has
-one list per shingle with the sets that have it in their first positions; all later positions are skipped. At a common
-shingle the positions in two linked sets differ by no more than the sets themselves do: a list is sorted by position, and
-where it has a larger gap it falls into blocks, each of which skips the others. A set that shares fewer lists with others
-than any linked set must is out before its text is fetched.
-
-Answers come from highly similar sets. Equal sets share one node. In every block of a list the least set is the pivot; the
-others are compared with it once and keep their difference to it. A set linked with its pivot takes over the pivot's
-component. What is left, sets of one pivot in different components, is decided from the differences to the pivot alone,
-in groups of bounded size, and gives only connecting links, never pairs.
+Shingles are ordered by hash, and this order is cut into blocks of positions. For sets of one size range there are so
+many blocks that two linked sets must agree on some block as a whole, however their differences are spread. The index has
+one list for each (size range, block, content of the block); wherever a set differs inside a block, that whole block of
+lists is skipped. A set that shares fewer lists with others than any linked set must is out before its text is fetched.
+
+Answers come from highly similar sets. Equal sets share one node. In every list the least set is the pivot; the other sets
+are compared with it once and keep their difference to it. A set linked with its pivot takes over the pivot's
+component. What is left, sets of one list in different components, is decided from the differences to the common pivot
+alone, block by block, and gives only connecting links, never pairs.
 """
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,31 @@ from geoloom.llm.workspace import Workspace
 from geoloom.operators.graph import connected_components
 
 WORDS, PERCENT = 5, 80
-SPARE = 0.5                  # extra positions in the index, as a share of those that make lists meet at all
-BLOCK = 256
+SPARE = 4                    # for so many blocks that may differ there is one more, and two at least
+GROWTH = 1.5                 # of the size ranges
+BLOCK = 256                  # sets of one pivot that are compared at once with as many others, or fewer if they
+BLOCK_SHINGLES = 32_768      # differ from it by more than so many shingles together
+
+
+def _ranges(n: int, percent: int) -> list[tuple[int, int]]:
+    """The size ranges in which a set of ``n`` shingles looks for partners, as ``(number, largest size)``.
+
+    Its own range, and the next one if a partner of it can be that large.
+    """
+    k = max(0, math.ceil(math.log(max(n, 1)) / math.log(GROWTH) - 1e-12))
+    while _largest(k) < n:
+        k += 1
+    while k and _largest(k - 1) >= n:
+        k -= 1
+    out = [(k, _largest(k))]
+    while 100 * n >= percent * (out[-1][1] + 1):
+        k = out[-1][0] + 1
+        out.append((k, _largest(k)))
+    return out
+
+
+def _largest(k: int) -> int:
+    return int(math.floor(GROWTH ** k + 1e-9))
 
 
 def most_differences(a: int, b: int, percent: int) -> int:
@@ -35,21 +58,39 @@ def most_differences(a: int, b: int, percent: int) -> int:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def _positions(n: int, percent: int) -> tuple[int, int]:
-    """How many first positions of a set of ``n`` shingles are listed, and how many of them a linked set of its size shares."""
-    free = n * (100 - percent) // 100
-    spare = max(1, int(free * SPARE))
-    return min(n, free + spare), spare
-
+def list_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Keys of the lists that a set stands in, and how many of them at least it shares with any set linked with it.
 
-def listed(s: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
-    """A set's listed shingles in order, how many of them it shares with any linked set, and how far positions may differ.
-
-    Two sets with ``c`` common shingles share at least ``spare`` of the first ``n - c + spare`` of each, whatever the order is. The
-    smallest partner lists the fewest spare ones; the largest differs most.
+    With ``k`` differences at most there are ``k + 1 + spare`` blocks, so linked sets agree on more than ``spare`` of them. Blocks
+    empty in a set are left out unless there are more than ``spare``: then agreement on empty blocks alone could be what two sets
+    share, and they are listed too.
     """
-    n = len(s)
-    return s[:_positions(n, percent)[0]], _positions(-(-n * percent // 100), percent)[1], most_differences(n, n * 100 // percent, percent)
+    keys, needs = [], []
+    for number, largest in _ranges(len(s), percent) if len(s) else ():
+        k = most_differences(largest, largest, percent)      # of the range, never of the set: both sides must cut alike
+        if k == 0:
+            continue                       # only equal sets link, and they are one node
+        spare = max(2, k // SPARE)
+        blocks = k + 1 + spare
+        at = np.searchsorted(s, _block_edges(blocks))
+        size = np.diff(np.append(at, len(s)))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+        content = total[at + size] - total[at]
+        tag = mix(np.arange(blocks, dtype=np.uint64) * np.uint64(0x100000001B3) + np.uint64(number + 1))
+        key = mix(content ^ tag) + size.astype(np.uint64)
+        empty = int((size == 0).sum())
+        keys.append(key if empty > spare else key[size > 0])
+        needs.append(spare + 1 - min(empty, spare))
+    return (np.concatenate(keys) if keys else np.empty(0, np.uint64)), min(needs, default=1)
+
+
+_edges: dict[int, np.ndarray] = {}
+
+
+def _block_edges(blocks: int) -> np.ndarray:
+    if blocks not in _edges:
+        _edges[blocks] = np.array([(i << 64) // blocks for i in range(blocks)], dtype=np.uint64)
+    return _edges[blocks]
 
 
 def _node(s: np.ndarray) -> int:
@@ -60,29 +101,23 @@ def _node(s: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Size, number, listed shingles, shared lists needed and distance of positions for each text's set.
-
-    Of equal sets in a batch only the first carries its shingles.
-    """
+    """Size, number, list keys and needed lists of each text's set; of equal sets in a batch only the first carries its keys."""
     def one(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        n, node, needs, far, keys, ends, seen = [], [], [], [], [], [0], set()
+        n, node, needs, keys, ends, seen = [], [], [], [], [0], set()
         for d, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), words)):
             number = _node(s) if len(s) else None
-            own, need, apart = listed(s, percent)
-            if number in seen or d is None:
-                own = own[:0]
+            own, need = list_keys(s, percent) if number not in seen and d is not None else (np.empty(0, np.uint64), 0)
             if d is not None:
                 seen.add(number)
             n.append(len(s))
             node.append(number)
             needs.append(need)
-            far.append(apart)
             keys.append(own)
             ends.append(ends[-1] + len(own))
         flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-        return {"n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "need": pa.array(needs, pa.int32()), "far": pa.array(far, pa.int32()),
+        return {"n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "need": pa.array(needs, pa.int32()),
                 "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}
-    return append(docs, one, "n long, node long, need int, far int, keys array<long>").drop("text")
+    return append(docs, one, "n long, node long, need int, keys array<long>").drop("text")
 
 
 def _wanted_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -119,37 +154,41 @@ def _difference(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                        "node long, pivot long, n long, pn long, lacks array<long>, extra array<long>, linked boolean")
 
 
-def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+def _shared(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
     """How many elements each array of one side shares with each of the other."""
-    a, b = np.concatenate(left), np.concatenate(right)
+    (a, rows_a), (b, rows_b) = _flat(left), _flat(right)
     words = np.intersect1d(a, b)
-    def table(parts: list[np.ndarray], flat: np.ndarray) -> np.ndarray:
-        t = np.zeros((len(parts), len(words)), np.float32)
+
+    def table(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        t = np.zeros((len(sizes), len(words)), np.float32)
         if len(words):
-            row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
             hit = words[at] == flat
-            t[row[hit], at[hit]] = 1
+            t[np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]] = 1
         return t
-    return table(left, a) @ table(right, b).T
+    return table(a, rows_a) @ table(b, rows_b).T
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
 
 
-def connecting_links(left: list[dict], right: list[dict], percent: int) -> list[tuple[int, int]]:
+def connecting_links(left: pa.StructArray, right: pa.StructArray, percent: int) -> list[tuple[int, int]]:
     """Links between sets of different components, enough to connect all that such links connect.
 
     Sizes of overlaps follow from the differences to the common pivot: what both have of the pivot, and what both have beyond it.
     """
-    na, nb = (np.array([m["n"] for m in side]) for side in (left, right))
-    pn = left[0]["pn"]
-    la, lb = ([np.asarray(m["lacks"], np.int64) for m in side] for side in (left, right))
-    ea, eb = ([np.asarray(m["extra"], np.int64) for m in side] for side in (left, right))
-    lost = np.array([len(x) for x in la])[:, None] + np.array([len(x) for x in lb])[None, :] - _shared(la, lb)
-    common = pn - lost + _shared(ea, eb)
+    number = lambda side, c: side.field(c).to_numpy(zero_copy_only=False)
+    ca, cb, na, nb = number(left, "component"), number(right, "component"), number(left, "n"), number(right, "n")
+    if (ca == ca[0]).all() and (cb == ca[0]).all():
+        return []
+    la, lb = left.field("lacks"), right.field("lacks")
+    lost = _flat(la)[1][:, None] + _flat(lb)[1][None, :] - _shared(la, lb)
+    common = number(left, "pn")[0] - lost + _shared(left.field("extra"), right.field("extra"))
     linked = 100 * common >= percent * (na[:, None] + nb[None, :] - common)
-    ca, cb = (np.array([m["component"] for m in side]) for side in (left, right))
     i, j = np.nonzero(linked & (ca[:, None] != cb[None, :]))
     _, first = np.unique(np.stack([np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])]), axis=1, return_index=True)
-    return [(left[i[f]]["node"], right[j[f]]["node"]) for f in first]
+    return list(zip(number(left, "node")[i[first]].tolist(), number(right, "node")[j[first]].tolist()))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
@@ -166,19 +205,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = space.cut(full.select("doc_id", "n", "node", "need"))
     known = rows.where("doc_id is not null and node is not null")
     # lists of one set are most of all; the others' rows go on
-    each = full.where("doc_id is not null").select("node", "far", F.posexplode("keys").alias("at", "key"))
+    each = full.where("doc_id is not null").select("node", F.explode("keys").alias("key"))
     whole = Window.partitionBy("key")
-    several = each.withColumns({"a": F.min("node").over(whole), "z": F.max("node").over(whole)}).where("a <> z")
-    step = F.col("at") - F.lag("at").over(whole.orderBy("at"))
-    several = several.withColumns({"gap": step, "most": F.max("far").over(whole)}).withColumn(
-        "block", F.sum(F.when(F.col("gap") > F.col("most"), 1).otherwise(0)).over(whole.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-    several = space.cut(several.select("key", "block", "node").distinct())
+    several = space.cut(each.select("key", "node", F.min("node").over(whole).alias("a"), F.max("node").over(whole).alias("z")).where(
+        "a <> z").select("key", "node").distinct())
     space.drop(full)
     needs = known.groupBy("node").agg(F.max("need").alias("need"))
     enough = several.groupBy("node").agg(F.count("*").alias("shared")).join(needs, "node").where("shared >= need").select("node")
-    kept = several.join(enough, "node").select("key", "block", "node")
-    lists = kept.groupBy("key", "block").agg(F.min("node").alias("pivot"))
-    pairs = space.cut(kept.join(lists, ["key", "block"]).where("node <> pivot").select("node", "pivot").distinct())
+    kept = several.join(enough, "node").select("key", "node")
+    lists = kept.groupBy("key").agg(F.min("node").alias("pivot"))
+    pairs = space.cut(kept.join(lists, "key").where("node <> pivot").select("node", "pivot").distinct())
     space.drop(several)
     involved = pairs.select("node").union(pairs.select("pivot")).distinct()
     # a set is worked out again from the text of the least id that has it
@@ -219,8 +255,9 @@ def _rest(stars: DataFrame, components: DataFrame, percent: int, block: int) ->
     pivots = own.select("pivot", F.col("pivot").alias("node"), F.col("pn").alias("n"), "pn", none.alias("lacks"), none.alias("extra"))
     full = stars.join(own.select("pivot"), "pivot", "left_semi").select(columns).unionByName(pivots).join(components, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
-    still_open = full.groupBy("pivot").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where(
-        "x <> y").select("pivot", F.ceil(F.col("size") / block).cast("int").alias("parts"))
+    still_open = full.groupBy("pivot").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.sum(F.size("lacks") + F.size("extra")).alias("held")).where(
+        "x <> y").select("pivot", F.ceil(F.greatest(F.col("size") / block, F.col("held") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     dealt = full.join(still_open, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumnRenamed("pivot", "key")
     blocks = dealt.groupBy("key", "part").agg(F.collect_list(F.struct("node", "component", "n", "pn", "lacks", "extra")).alias("m"))
     left, right = blocks.withColumnRenamed("m", "l").withColumnRenamed("part", "lp"), blocks.withColumnRenamed("m", "r").withColumnRenamed("part", "rp")
@@ -228,9 +265,7 @@ def _rest(stars: DataFrame, components: DataFrame, percent: int, block: int) ->
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         got = set()
         for a, b in zip(batch.column("l"), batch.column("r")):
-            a, b = a.as_py(), b.as_py()
-            if len({m["component"] for m in a} | {m["component"] for m in b}) > 1:
-                got.update(connecting_links(a, b, percent))
+            got.update(connecting_links(a.values, b.values, percent))
         x, y = zip(*got) if got else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
     return map_batches(left.join(right, "key").where("lp <= rp").select("l", "r"), one, "a long, b long").distinct()
