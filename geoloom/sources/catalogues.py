@@ -9,17 +9,17 @@ from geoloom.operators.measures import BANDS
 
 # ---- fixed values -------------------------------------------------------------------------------------------
 
-# feed, country, title, licence holder, approximate megabytes, gated, note
+# feed, country, title, licence holder, approximate megabytes, gated
 FEEDS = (
-    ("de_fv", "DE", "Deutschland Schienenfernverkehr", "gtfs.de", 1, False, "long-distance rail"),
-    ("de_rv", "DE", "Deutschland Schienenregionalverkehr", "gtfs.de", 10, False, "regional rail"),
-    ("de_nv", "DE", "Deutschland Nahverkehr", "gtfs.de", 222, False, "local transit; national, give a window"),
-    ("de_full", "DE", "Deutschland gesamt", "gtfs.de", 232, False, "everything; national, give a window"),
-    ("ch_rail", "CH", "Schweiz Schienenverkehr", "geOps", 18, False, "rail only"),
-    ("ch_bus", "CH", "Schweiz Busverkehr", "geOps", 103, False, "bus only; national, give a window"),
-    ("ch_full", "CH", "Schweiz gesamt", "geOps", 149, False, "everything; national, give a window"),
-    ("at_full", "AT", "Österreich gesamt (Mobilitätsverbünde)", "Mobilitätsverbünde", 0, True, "terms must be confirmed first"),
-    ("at_oebb", "AT", "Österreich ÖBB (Schiene)", "ÖBB", 0, True, "terms must be confirmed first"),
+    ("de_fv", "DE", "Deutschland Schienenfernverkehr", "gtfs.de", 1, False),
+    ("de_rv", "DE", "Deutschland Schienenregionalverkehr", "gtfs.de", 10, False),
+    ("de_nv", "DE", "Deutschland Nahverkehr", "gtfs.de", 222, False),
+    ("de_full", "DE", "Deutschland gesamt", "gtfs.de", 232, False),
+    ("ch_rail", "CH", "Schweiz Schienenverkehr", "geOps", 18, False),
+    ("ch_bus", "CH", "Schweiz Busverkehr", "geOps", 103, False),
+    ("ch_full", "CH", "Schweiz gesamt", "geOps", 149, False),
+    ("at_full", "AT", "Österreich gesamt (Mobilitätsverbünde)", "Mobilitätsverbünde", 0, True),
+    ("at_oebb", "AT", "Österreich ÖBB (Schiene)", "ÖBB", 0, True),
 )
 
 # level, country, dataset, layer, key column, name column, administrative name
@@ -52,18 +52,18 @@ TOPOGRAPHIC_THEMES = (
     ("names", "tlmregio_names_namedlocation", "named locations / place names (points)"),
 )
 
-# country, name, metric reference system, note
+# country, name, metric reference system
 REGIONS = (
-    ("DE", "Germany", 25832, "EPSG:25832 (UTM32N) west of 12°E, EPSG:25833 (UTM33N) east"),
-    ("CH", "Switzerland", 2056, "EPSG:2056 (LV95)"),
-    ("AT", "Austria", 31287, "EPSG:31287 (MGI/Austria Lambert); terrain in 3035, Vienna 3D in 31256"),
+    ("DE", "Germany", 25832),
+    ("CH", "Switzerland", 2056),
+    ("AT", "Austria", 31287),
 )
 
 # -------------------------------------------------------------------------------------------------------------
 
 
 def feeds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FEEDS), "feed string, country string, title string, licence string, approx_mb int, gated boolean, note string")
+    return spark.createDataFrame(list(FEEDS), "feed string, country string, title string, licence string, approx_mb int, gated boolean")
 
 
 def boundary_levels(spark: SparkSession) -> DataFrame:
@@ -75,7 +75,7 @@ def topographic_themes(spark: SparkSession) -> DataFrame:
 
 
 def regions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(REGIONS), "country string, name string, srid int, note string")
+    return spark.createDataFrame(list(REGIONS), "country string, name string, srid int")
 
 
 def plausibility_bands(spark: SparkSession) -> DataFrame:
