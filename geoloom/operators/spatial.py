@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
+from geoloom.functions.tiles import metric_srid, region_point
 from geoloom.operators.cells import pair_by_cell, pair_points
 from geoloom.session import cut_lineage
 
@@ -173,3 +174,16 @@ def bbox_filter(df: DataFrame, window: tuple, geom: str | None = None, x: str =
     p = _prepare(df, geom)
     mine = {k: F.col(f"_{k}") for k in G.PREPARED}
     return p.where(G.pair_predicate("intersects", mine, win, kinds, ("POLYGON",))).select(*df.columns)
+
+
+def region_profile(places: DataFrame, outlines: DataFrame, key: str, location: str, country: str, order: str, geom: str = "geom",
+                   cell: float = 1.0) -> DataFrame:
+    """``(key, country, srid, lon, lat)`` of each location, a ``[lon, lat]`` or ``[west, south, east, north]`` array.
+
+    The country is that of the first outline around the centre, the reference system its metric one; outside all outlines
+    the country is NULL and the system geographic. Centres are rounded to six decimals; other arrays give NULLs.
+    """
+    at = places.select(key, region_point(F.col(location)).alias("p")).select(key, F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
+    found = detect_area(at, outlines, key, country, order, "lon", "lat", geom, cell)
+    return found.select(key, F.col(country).alias("country"), metric_srid(F.col(country), F.col("lon")).alias("srid"),
+                        F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))

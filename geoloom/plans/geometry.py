@@ -378,6 +378,23 @@ def detect_area(spark, sf):
         "home_id", "name")
 
 
+@query("region_profile", """WITH o AS (SELECT n_nationkey AS ord, CASE n_nationkey % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'CH' ELSE 'AT' END AS code, 5 + 2 * (n_nationkey % 5) AS w, 45 + 2 * CAST(floor(n_nationkey / 5.0) AS BIGINT) AS s FROM nation),
+p AS (SELECT c_custkey, 4.52 + (c_custkey % 113) * 0.1 AS lon, 44.54 + (c_custkey % 127) * 0.1 + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 0.25 END AS lat FROM customer),
+h AS (SELECT p.c_custkey, arg_min(o.code, o.ord) AS code FROM p JOIN o ON p.lon > o.w AND p.lon < o.w + 1.97 AND p.lat > o.s AND p.lat < o.s + 1.97 GROUP BY 1)
+SELECT p.c_custkey, h.code AS country, CASE WHEN h.code = 'DE' AND lon >= 12 THEN 25833 WHEN h.code = 'DE' THEN 25832 WHEN h.code = 'CH' THEN 2056 WHEN h.code = 'AT' THEN 31287 ELSE 4326 END AS srid,
+ round(CAST(lon AS DOUBLE), 6) AS lon, round(CAST(lat AS DOUBLE), 6) AS lat FROM p LEFT JOIN h USING (c_custkey)""")
+def region_profile(spark, sf):
+    """Points and boxes among square countries with gaps between them."""
+    n = F.col("n_nationkey")
+    w, s = (n % 5 * 2 + 5).cast("double"), (F.floor(n / 5) * 2 + 45).cast("double")
+    o = view(spark, sf, "nation").select(n.alias("ord"), F.when(n % 3 == 0, "DE").when(n % 3 == 1, "CH").otherwise("AT").alias("code"),
+                                         G.box(w, s, w + 1.97, s + 1.97, 4326).alias("geom"))
+    k = F.col("c_custkey")
+    lon, lat = k % 113 * 0.1 + 4.52, k % 127 * 0.1 + 44.54
+    place = F.when(k % 2 == 0, F.array(lon, lat)).otherwise(F.array(lon - 0.5, lat, lon + 0.5, lat + 0.5))
+    return J.region_profile(view(spark, sf, "customer").select(k, place.alias("place")), o, "c_custkey", "place", "code", "ord")
+
+
 @query("clip_points", f"SELECT DISTINCT p.home_id, p.segment FROM homes p JOIN zones z ON {ZONE_MEETS}")
 def clip_points(spark, sf):
     return O.clip_points(view(spark, sf, "homes"), zone_layer(spark, sf), "home_id", cell=4000).select(
