@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.session import cut_lineage
+
 LEAST_REVISIT_BYTES = 100
 RECORDS_PER_FILE = 2_000
 CRLF = "\r\n"
@@ -27,14 +29,14 @@ def plan_captures(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """``(page_id, url, html, payload_bytes, payload_digest, refers_to)``; a null payload is empty.
 
     Of equal payloads of ``least_bytes`` or more, that of the least id is the response the others refer to. Rows without id
-    are responses of their own. A digest that many pages share is counted before the shuffle; only ids and digests are
-    joined by it, never payloads.
+    are responses of their own. A digest that many pages share is counted before the shuffle. The digests that occur more than once
+    are written first, so Spark knows their size: where it allows a broadcast, payloads are not shuffled.
     """
     own = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     own = own.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn(
         "payload_digest", F.sha2(F.col("html").cast("binary"), 256))
-    first = own.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(
-        F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("payload_digest", "first")
+    first = cut_lineage(own.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(
+        F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("payload_digest", "first"))
     refers = (F.col("first").isNotNull()) & (F.col("page_id") != F.col("first"))
     return own.join(first, "payload_digest", "left").withColumn("refers_to", F.when(refers, F.col("first"))).drop("first")
 
