@@ -71,6 +71,42 @@ def test_pii_trees_find_disguises():
     assert ((p > 0.5) == good).mean() > 0.95
 
 
+NEIGHBOURS = [("415-555-2671 415-555-2672", 3, ["415-555-2671", "415-555-2672"]), ("(415) 555-2671 (415) 555-2672", 3, ["(415) 555-2671", "(415) 555-2672"]),
+              ("4111.1111.1111.1111 5500.0000.0000.0004", 2, ["4111.1111.1111.1111", "5500.0000.0000.0004"]),
+              ("4111/1111/1111/1111 2024", 2, ["4111/1111/1111/1111"])]
+
+
+@pytest.mark.parametrize("text,kind,parts", NEIGHBOURS)
+def test_pii_neighbouring_numbers(text, kind, parts):
+    """Every number of a run is proposed, at either end of it and in a run of any length."""
+    for t in (text, f"a {text} b", " ".join([text] * 500)):
+        assert set(parts) <= {t[a:e] for a, k, e in pii.candidates(t) if k == kind}
+    found = pii.candidates(" ".join([text] * 500))
+    assert len(found) <= 500 * len(pii.candidates(" ".join([text] * 3)))
+
+
+def test_pii_neighbours_are_redacted():
+    """Trained on plain matches, the trees pick the numbers out of lists of them and not their parts."""
+    rng = np.random.default_rng(1)
+    def card():
+        d = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        return next(d + str(c) for c in range(10) if pii.luhn(d + str(c)))
+    def phone():
+        return f"{rng.integers(200, 999)}-{rng.integers(200, 999)}-{rng.integers(1000, 9999)}"
+    made = [f"word from {card()} or +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)} there {card()[:-2]}" for _ in range(300)]
+    x = [(g, f) for t in made for g, _, f in pii._examples(t)]
+    model = pii.PiiModel(pii.BoostedTrees().fit(np.array([f for _, f in x]), np.array([float(g) for g, _ in x])), (2.0, 2.0, 0.5, 0.5))
+    hit = total = 0
+    for _ in range(100):
+        cards = [".".join(c[i:i + 4] for i in range(0, 16, 4)) for c in (card(), card())]
+        for numbers, kind in ((cards, 2), ([phone(), phone()], 3)):
+            t = "see " + " ".join(numbers) + " there"
+            want = {(t.index(n), kind, t.index(n) + len(n)) for n in numbers}
+            hit += len(want & set(model.spans(t)[1]))
+            total += len(want)
+    assert hit > 0.9 * total
+
+
 def test_redaction(spark, docs, texts):
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.train(docs)).collect()}
     assert "a.b@c.de" not in got[1_014] and "<email>" in got[1_014] and "<card>" in got[1_014]
