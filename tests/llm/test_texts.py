@@ -113,6 +113,29 @@ def test_redaction(spark, docs, texts):
     assert got[1_001] is None and got[1_002] == "" and got[1_006] == "one"
 
 
+def _draws(spark, texts):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    return df, dict(df.select("text", F.xxhash64("text")).collect())
+
+
+def test_pii_copies_do_not_fill_the_sample(spark):
+    """2,000 copies of a text, or a text with 1,000 matches, in front of all others by hash: the model stays as without them."""
+    rng = np.random.default_rng(2)
+    made = [f"w{i} +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)} there, u{i}@mail{i % 9}.example.com" for i in range(120)]
+    df, draws = _draws(spark, made)
+    first = min(draws, key=draws.get)
+    plain = pii.train(df, sample_spans=2_000)
+    assert plain.thresholds[3] <= 1
+    copied = pii.train(spark.createDataFrame([(t,) for t in made + [first] * 2_000], "text string").repartition(4), sample_spans=2_000)
+    assert copied.thresholds == plain.thresholds
+    many = " ".join(f"u{j}@mail{j}.example.com" for j in range(1_000))
+    _, at = _draws(spark, [f"x{i} {many}" for i in range(600)])
+    long = min(at, key=at.get)
+    assert at[long] < draws[first]
+    assert pii.train(spark.createDataFrame([(t,) for t in [*made, long]], "text string"), sample_spans=2_000).thresholds[3] <= 1
+
+
 def test_pii_empty(no_docs):
     model = pii.train(no_docs)
     assert model.trees is None and pii.digest(pii.find(no_docs, model)).count() == 0
