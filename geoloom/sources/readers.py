@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -252,7 +253,8 @@ def read_osm_elements(spark: SparkSession, path: str) -> DataFrame:
     """Map elements as features ``(osm_type, osm_id, tags, geom)``: tagged nodes, ways, and multipolygon relations.
 
     Ways are put together by one node join and an ordered collect per way; a closed way is a polygon. A relation takes
-    its closed outer and inner member ways as rings.
+    its outer and inner member ways as rings, closed ones as they are and open ones linked at their end nodes; each inner
+    ring goes to the least outer ring around it. Open ways that close with no others, and inner rings in no outer one, drop out.
     """
     e = spark.read.schema(S.OSM_RESPONSE).json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
     return assemble_osm(e)
@@ -265,27 +267,80 @@ def assemble_osm(e: DataFrame) -> DataFrame:
     way = e.where("type = 'way'").select("id", "tags", F.posexplode("nodes").alias("pos", "node"))
     shape = way.join(nodes.select("node", "lon", "lat"), "node").groupBy("id").agg(
         F.first("tags").alias("tags"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))),
-                                                   lambda s: F.array(s["lon"], s["lat"])).alias("v"))
+                                                   lambda s: F.array(s["lon"], s["lat"])).alias("v"),
+        F.min_by("node", "pos").alias("a"), F.max_by("node", "pos").alias("b"))
     closed = (F.size("v") >= 4) & (F.col("v")[0] == F.element_at("v", -1))
     ways = shape.where(F.size("v") >= 2).select(
         F.lit("way").alias("osm_type"), F.col("id").alias("osm_id"), "tags",
         G.make_geom(F.when(closed, "POLYGON").otherwise("LINE"), F.array("v"), 4326).alias("geom"))
     rel = e.where("type = 'relation' and tags['type'] in ('multipolygon', 'boundary')").select("id", "tags", F.posexplode("members").alias("k", "m"))
-    rings = rel.where("m.type = 'way'").select("id", "tags", "k", F.col("m.role").alias("role"), F.col("m.ref").alias("ref")).join(
-        shape.where(closed).select(F.col("id").alias("ref"), "v"), "ref")
-    # outer rings open a part each; inner rings follow the first outer ring
-    order = F.struct(F.when(F.col("role") == "inner", 1).otherwise(0).alias("inner"), "k", "v")
-    grouped = rings.groupBy("id").agg(F.first("tags").alias("tags"), F.array_sort(F.collect_list(order)).alias("r"))
-    outers = F.filter("r", lambda x: x["inner"] == 0)
-    inners = F.filter("r", lambda x: x["inner"] == 1)
-    first, more = F.slice(outers, 1, 1), F.slice(outers, 2, F.size("r"))
-    all_rings = F.transform(F.concat(first, inners, more), lambda x: x["v"])
-    part = F.concat(F.transform(F.concat(first, inners), lambda x: F.lit(0)), F.transform(more, lambda x, i: i + 1))
-    rels = grouped.where(F.size(outers) > 0).select(
-        F.lit("relation").alias("osm_type"), F.col("id").alias("osm_id"), "tags", G.make_geom("POLYGON", all_rings, 4326, part).alias("geom"))
+    member = rel.where("m.type = 'way'").groupBy("id", F.col("m.ref").alias("ref"), F.coalesce(F.col("m.role") == "inner", F.lit(False)).alias("inner")).agg(
+        F.min("k").alias("k")).join(shape.select(F.col("id").alias("ref"), "v", "a", "b"), "ref")
+    linked = _link_ways(member.where(~closed & (F.size("v") >= 2)).select("id", "inner", "k", "a", "b")).join(member, ["id", "inner", "k"])
+    turned = F.when(F.col("back"), F.reverse("v")).otherwise(F.col("v"))
+    # a way starts where the one before it ended
+    joined = linked.withColumn("v", turned).groupBy("id", "inner", F.col("ring").alias("k")).agg(F.array_sort(F.collect_list(F.struct("seq", "v"))).alias("s")).select(
+        "id", "inner", "k", F.flatten(F.transform("s", lambda x: F.when(x["seq"] == 0, x["v"]).otherwise(F.slice(x["v"], 2, F.size(x["v"]))))).alias("v"))
+    rings = member.where(closed).select("id", "inner", "k", "v").unionByName(joined.where(closed)).withColumn("size", F.abs(G.ring_area(F.col("v")))).withColumn(
+        "box", G.bbox(G.make_geom("POLYGON", F.array("v"))))
+    outer = rings.where("not inner").select("id", F.col("k").alias("part"), F.lit(0).alias("inner"), "k", "v", "size", "box")
+    around = outer.select("id", "part", F.col("v").alias("ov"), F.col("size").alias("osize"), F.col("box").alias("obox"))
+    segs = G.segments(G.make_geom("POLYGON", F.array("ov")))
+    inside = rings.where("inner").join(around, "id").where(
+        "osize > size and obox.xmin <= box.xmin and obox.ymin <= box.ymin and obox.xmax >= box.xmax and obox.ymax >= box.ymax").where(
+        F.forall("v", lambda p: G.locate(segs, p[0], p[1]) >= 0))
+    holes = inside.groupBy("id", "k").agg(F.min_by("part", F.struct("osize", "part")).alias("part"), F.first("v").alias("v")).select(
+        "id", "part", F.lit(1).alias("inner"), "k", "v")
+    every = outer.select("id", "part", "inner", "k", "v").unionByName(holes).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("part", "inner", "k", "v"))).alias("r"))
+    starts = F.transform(F.filter("r", lambda x: x["inner"] == 0), lambda x: x["part"])
+    part = F.transform("r", lambda x: (F.array_position(starts, x["part"]) - 1).cast("int"))
+    tags = e.where("type = 'relation'").groupBy("id").agg(F.first("tags").alias("tags"))
+    rels = every.join(tags, "id").select(F.lit("relation").alias("osm_type"), F.col("id").alias("osm_id"), "tags", G.make_geom(
+        "POLYGON", F.transform("r", lambda x: x["v"]), 4326, part).alias("geom"))
     return pts.unionByName(ways).unionByName(rels)
 
 
+def _link_ways(ends: DataFrame) -> DataFrame:
+    """``(id, inner, ring, seq, k, back)`` of ways ``(id, inner, k, a, b)`` that close to rings at their end nodes.
+
+    A relation becomes one row anyway, so its ways, without their vertices, are walked in one task. A walk is cut wherever
+    it comes back to a node, so no ring meets itself; a way that leads nowhere is given up.
+    """
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        at: dict = {}
+        for k, a, b in pdf[["k", "a", "b"]].sort_values("k", ascending=False).itertuples(index=False):
+            at.setdefault(a, []).append((k, b, False))
+            at.setdefault(b, []).append((k, a, True))
+        used, rows = set(), []
+        for start in at:
+            path, where = [(start, None, False)], {start: 0}
+            while path:
+                here = path[-1][0]
+                while at[here] and at[here][-1][0] in used:
+                    at[here].pop()
+                if not at[here]:
+                    del where[path.pop()[0]]
+                    continue
+                k, there, back = at[here].pop()
+                used.add(k)
+                if there in where:
+                    cut = where[there] + 1
+                    ring = [*((n, b) for _, n, b in path[cut:]), (k, back)]
+                    for node, _, _ in path[cut:]:
+                        del where[node]
+                    del path[cut:]
+                    rows += [(min(n for n, _ in ring), i, n, b) for i, (n, b) in enumerate(ring)]
+                else:
+                    where[there] = len(path)
+                    path.append((there, k, back))
+        out = pd.DataFrame(rows, columns=["ring", "seq", "k", "back"])
+        out.insert(0, "inner", pdf["inner"].iloc[0])
+        out.insert(0, "id", pdf["id"].iloc[0])
+        return out
+    return ends.groupBy("id", "inner").applyInPandas(lambda pdf: walk(pdf), "id long, inner boolean, ring int, seq int, k int, back boolean")
+
+
 def read_asc_grid(spark: SparkSession, path: str) -> DataFrame:
     """Cells ``(path, row, col, value, x, y)`` of text grids; nodata cells have a NULL value.
 

@@ -157,6 +157,26 @@ def test_osm(spark, folder):
     assert got == {("node", 1): ("POINT", 0.0), ("way", 1): ("POLYGON", 16.0), ("way", 2): ("POLYGON", 1.0), ("way", 3): ("LINE", 0.0), ("relation", 9): ("POLYGON", 15.0)}
 
 
+def test_osm_rings_of_several_ways(spark, folder):
+    """Outer rings over several ways in either direction, two parts, each with a hole of its own, an island in a hole, an open way."""
+    corners = {}
+
+    def square(x, y, side):
+        ids = [corners.setdefault(p, len(corners)) for p in ((x, y), (x + side, y), (x + side, y + side), (x, y + side))]
+        return [*ids, ids[0]]
+    a, b, hole_a, hole_b, island = square(0, 0, 10), square(20, 0, 6), square(1, 1, 6), square(21, 1, 2), square(2, 2, 1)
+    ways = {1: a[:3], 2: a[2:][::-1], 3: b[:2], 4: b[3:][::-1], 5: b[1:4], 6: hole_a[:3], 7: hole_a[2:], 8: hole_b, 9: island, 10: square(40, 0, 1)[:3]}
+    el = [{"type": "node", "id": i, "lon": x, "lat": y} for (x, y), i in corners.items()] + [{"type": "way", "id": w, "nodes": n} for w, n in ways.items()]
+    roles = {6: "inner", 7: "inner", 8: "inner"}
+    el.append({"type": "relation", "id": 90, "tags": {"type": "boundary", "name": "n"}, "members": [
+        {"type": "way", "ref": w, "role": roles.get(w, "outer")} for w in (8, 2, 4, 7, 1, 3, 9, 5, 10, 6)]})
+    d = RD.read_osm_elements(spark, put(folder, "osm2.json", json.dumps({"elements": el}))).where("osm_type = 'relation'")
+    r = d.select("tags", G.area(F.col("geom")).alias("area"), G.num_parts(F.col("geom")).alias("parts"), G.count_holes(F.col("geom")).alias("holes"),
+                 F.transform(G.parts(F.col("geom")), lambda p: G.area(p)).alias("each")).collect()
+    assert len(r) == 1 and r[0].tags["name"] == "n"
+    assert (r[0].area, r[0].parts, r[0].holes, sorted(r[0].each)) == (100 + 36 - 36 - 4 + 1, 3, 2, [1, 32, 64])
+
+
 def test_asc_grid(spark, folder):
     p = put(folder, "g.asc", "ncols 3\nnrows 2\nxllcorner 100\nyllcorner 200\ncellsize 10\nNODATA_value -9999\n1 2 3\n4 -9999 6\n")
     rows = {(r.row, r.col): (r.value, r.x, r.y) for r in RD.read_asc_grid(spark, p).collect()}
