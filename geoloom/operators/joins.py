@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions.projection import bbox_area_km2
 from geoloom.functions.scalars import normalise_key
 from geoloom.operators.skew import salted_join
 
@@ -163,19 +164,30 @@ def match_dataset(wanted: DataFrame, datasets: DataFrame) -> DataFrame:
 
 
 def match_gazetteer(names: DataFrame, places: DataFrame, top: int = 5) -> DataFrame:
-    """Best place per name (by importance, then id), how many places share the name, and an ``ambiguous`` flag.
+    """Best place per name (by importance, then id), how many places share the name, an ``ambiguous`` flag, and ``options``.
 
-    ``places(place_id, name, importance)``. Places are ranked per name before the join, so a name asked for many times
-    carries one row, and a name shared by very many places never gathers them in one task.
+    ``places(place_id, name, importance[, bbox])``, the box of the places as a struct in degrees where there is one.
+    ``options`` holds the first ``top`` places of the name, best first, as ``(place_id, name, importance, bbox, area_km2)``; it
+    is empty where none matches. ``candidates`` counts all of them. Places are ranked per name before the join, so a name
+    asked for many times carries one row, and a name shared by very many places never gathers them in one task: Spark
+    keeps the first ``top`` of a name per partition before they meet.
     """
     norm = lambda c: F.lower(F.trim(F.regexp_replace(F.col(c), r"\s+", " ")))
-    p = places.withColumn("_n", norm("name"))
+    box = F.col("bbox") if "bbox" in places.columns else F.lit(None)
+    box = box.cast("struct<xmin: double, ymin: double, xmax: double, ymax: double>")
+    area = bbox_area_km2(*[box[c] for c in ("xmin", "ymin", "xmax", "ymax")])
+    p = places.select(norm("name").alias("_n"), F.struct("place_id", "name", "importance", box.alias("bbox"), area.alias("area_km2")).alias("o"))
+    order = Window.partitionBy("_n").orderBy(F.col("o.importance").desc_nulls_last(), "o.place_id")
+    first = p.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
+    options = first.groupBy("_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "o"))), lambda x: x["o"]).alias("options"))
     best = p.groupBy("_n").agg(
         F.count("*").alias("candidates"),
-        F.max(F.struct(F.col("importance"), (-F.col("place_id")).alias("neg"))).alias("b"))
-    return names.withColumn("_n", norm("name")).join(best, "_n", "left").select(
+        F.max(F.struct(F.col("o.importance").alias("importance"), (-F.col("o.place_id")).alias("neg"))).alias("b"))
+    none = F.array().cast(options.schema["options"].dataType)
+    return names.withColumn("_n", norm("name")).join(best.join(options, "_n", "left"), "_n", "left").select(
         *names.columns, (-F.col("b.neg")).alias("place_id"), F.col("b.importance").alias("importance"),
-        F.coalesce("candidates", F.lit(0)).alias("candidates"), (F.coalesce("candidates", F.lit(0)) > 1).alias("ambiguous"))
+        F.coalesce("candidates", F.lit(0)).alias("candidates"), (F.coalesce("candidates", F.lit(0)) > 1).alias("ambiguous"),
+        F.coalesce("options", none).alias("options"))
 
 
 def overlap_share(part: Column, whole: Column) -> Column:

@@ -533,7 +533,7 @@ def match_gazetteer(spark, sf):
     p = view(spark, sf, "part").select(F.col("p_partkey").alias("place_id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("importance"))
     names = p.select(F.concat(F.upper("name"), F.lit(" ")).alias("name")).distinct()
     names = names.unionByName(names.agg(F.lit("nowhere").alias("name")))
-    return J.match_gazetteer(names, p)
+    return J.match_gazetteer(names, p).drop("options")
 
 
 @query("scene_filter", """WITH s AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS d, value AS cloud, (event_id * 37 % 3600) / 100.0 AS w, 40 + (event_id * 53 % 1500) / 100.0 AS s FROM events)

@@ -247,3 +247,17 @@ def test_unique_names_with_taken_suffixes(spark):
     got = {r["i"]: r["name"] for r in ST.unique_names(spark.createDataFrame(rows, "i int, name string"), "name", ["i"]).collect()}
     assert got[1] == "a" and got[3] == "a_2" and got[6] == "a__2" and got[4] == "a_2_2" and got[5] == "a_3"
     assert len({v for v in got.values() if v}) == len([v for v in got.values() if v]) and len(got) == len(rows)
+
+
+def test_gazetteer_options(spark):
+    """All places of an ambiguous name up to ``top``, with box and area, beside the full count."""
+    rows = [(i, "Neustadt", 0.5 - i / 100, (8.0, 49.0, 8.0 + i / 10, 49.1)) for i in range(1, 8)] + [(9, "Halle", 0.1, None), (10, "neustadt ", None, None)]
+    places = spark.createDataFrame(rows, "place_id long, name string, importance double, bbox struct<xmin: double, ymin: double, xmax: double, ymax: double>")
+    names = spark.createDataFrame([(" NEUSTADT",), ("halle",), ("nowhere",)], "name string")
+    got = {r.name: r for r in J.match_gazetteer(names, places).collect()}
+    many = got[" NEUSTADT"]
+    assert (many.place_id, many.candidates, many.ambiguous) == (1, 8, True)
+    assert [o.place_id for o in many.options] == [1, 2, 3, 4, 5] and many.options[1].bbox.xmax == 8.2
+    assert 75 < many.options[0].area_km2 < 85 and abs(many.options[1].area_km2 / many.options[0].area_km2 - 2) < 0.01
+    assert [(o.place_id, o.area_km2) for o in got["halle"].options] == [(9, None)] and got["nowhere"].options == []
+    assert [o.place_id for o in {r.name: r for r in J.match_gazetteer(names, places, top=8).collect()}[" NEUSTADT"].options][-1] == 10
