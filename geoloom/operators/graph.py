@@ -119,7 +119,7 @@ def stitch_rings(edges: DataFrame, group: list[str], max_rounds: int = 64, walk_
     Rings are found by pointer doubling: after n rounds every edge knows the least edge among the 2^n that follow, and
     then its distance to that edge, so a ring of a million corners takes twenty rounds and no task holds it whole.
     Groups of up to ``WALK_EDGES`` edges - nearly all polygons - are walked edge by edge, one group to a task; the
-    doubling is for the outlines of whole coastlines. Both give the same rings.
+    doubling is for the outlines of whole coastlines. Both give the same rings and refuse an open boundary.
     """
     e = cut_lineage(edges.select(*group, "x1", "y1", "x2", "y2").distinct())
     sizes = cut_lineage(e.groupBy(*group).agg(F.count("*").alias("_n")))
@@ -200,6 +200,11 @@ def _simple_loops(ring: list) -> list:
 
 
 def _double_rings(e: DataFrame, group: list[str], max_rounds: int) -> DataFrame:
+    ends = [e.select(*group, F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"), F.lit(d).alias("d")) for i, d in ((1, 1), (2, -1))]
+    # as many edges leave each corner as reach it, or the walk of a small group would find no way on
+    odd = ends[0].unionByName(ends[1]).groupBy(*group, "x", "y").agg(F.sum("d").alias("d")).where("d <> 0").select("x", "y").first()
+    if odd is not None:
+        raise ValueError(f"boundary is open at {tuple(odd)}")
     cyc = _cycles(e, group, True, max_rounds)
     area = cyc.groupBy(*group, "least").agg(F.sum(
         (F.col("id.x1") - F.col("least.x1")) * (F.col("id.y2") - F.col("least.y1"))

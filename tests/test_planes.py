@@ -100,6 +100,15 @@ def test_walked_and_doubled_rings_agree(spark):
     assert rings(1000) == rings(0) and [a for a, _ in rings(1000)] == [-1.0, -1.0, 1.0, 16.0]
 
 
+@pytest.mark.parametrize("extra", [(1.0, 1.0, 5.0, 5.0), (5.0, 5.0, 1.0, 1.0)])
+@pytest.mark.parametrize("walk_edges", [1000, 0])
+def test_open_boundaries_are_refused(spark, extra, walk_edges):
+    """An edge that leads nowhere and one that comes from nowhere, in small groups and in large ones."""
+    e = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0), (1, 1.0, 0.0, 1.0, 1.0), (1, 1.0, 1.0, 0.0, 0.0), (1, *extra)], "g int, x1 double, y1 double, x2 double, y2 double")
+    with pytest.raises(Exception, match="boundary is open"):
+        GR.stitch_rings(e, ["g"], walk_edges=walk_edges).collect()
+
+
 def test_topology_verdict(spark):
     good = Q.check_topology(layer(spark, box(0, 0, 1, 1), box(1, 0, 2, 1)), "id", cell=1.0).first()
     assert good.ok and (good.self_overlaps, good.invalid, good.union_holes) == (0, 0, 0)
