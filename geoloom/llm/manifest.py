@@ -226,3 +226,40 @@ def manifest(docs: DataFrame, key: str = "doc_id", group: str = "lang", fields:
         trees.append(placed)
     return space.close(_fold(placed, paths).select(
         "doc_id", "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified")))
+
+
+def sql(levels: int = 8, top: int = 4) -> str:
+    """The same for groups of up to ``8 ** levels`` rows and ``8 ** top`` groups, level by level; ids must be distinct.
+
+    Every row whose id has a checksum divisible by three shows its text in lower case.
+    """
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(part, FIELDS[:-1]), part(text)]) + ")"
+    out = [f"""WITH RECURSIVE bits AS (SELECT range AS i, range AS v, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+sums AS (SELECT doc_id, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM documents, crc),
+x0 AS (SELECT doc_id, lang AS g, {leaf('text')} AS leaf, {leaf(f"CASE WHEN crc % 3 = 0 THEN translate(text, '{upper}', '{upper.lower()}') ELSE text END")} AS h,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, '' AS proof, CAST(NULL AS VARCHAR) AS subroot FROM documents JOIN sums USING (doc_id)),
+n0 AS (SELECT g, i, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM x0)"""]
+    total = levels + top
+
+    def climb(k: int) -> None:
+        run = "PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+        out.append(f"""s{k} AS (SELECT g, i, n, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+  coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM n{k}),
+n{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE any_value(d) END AS d,
+  (any_value(n) + 7) // 8 AS n FROM n{k} GROUP BY g, i // 8),
+x{k + 1} AS (SELECT doc_id, x.g, leaf, CASE WHEN s.n > 1 THEN sha256(b || h || a) ELSE h END AS h, x.i // 8 AS i, proof || b || a AS proof, subroot
+  FROM x{k} x JOIN s{k} s ON x.g IS NOT DISTINCT FROM s.g AND x.i = s.i)""")
+    for k in range(levels):
+        climb(k)
+    out.append(f"""o AS (SELECT g, d, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM n{levels}),
+n{levels + 1} AS (SELECT CAST(NULL AS VARCHAR) AS g, i, d, n FROM o),
+x{levels + 1} AS (SELECT doc_id, CAST(NULL AS VARCHAR) AS g, leaf, h, o.i AS i, proof, o.d AS subroot FROM x{levels} x JOIN o ON x.g IS NOT DISTINCT FROM o.g)""")
+    for k in range(levels + 1, total + 1):
+        climb(k)
+    return ",\n".join(out) + f"""
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = d AS verified FROM x{total + 1}, n{total + 1}"""

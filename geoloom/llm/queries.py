@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import ann, byte_bpe, chat, jaccard, langid, line_dedup, manifest, near_vectors, packing, pii, token_orc, warc
+from geoloom.llm import ann, byte_bpe, chat, jaccard, langid, line_dedup, manifest, near_vectors, packing, pii, repair, token_orc, warc
 from geoloom.llm.arrow import table
 from geoloom.session import checkpoint_folder
 
@@ -73,6 +73,11 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(docs, shown={"text": tampered})
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(rows), rows)
+
+
 def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.canonical(table(spark, sf_dir, "conversations"))
     trap = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(chat.TRAP).alias("prompt"), F.lit(chat.TRAP).alias("response"))
@@ -82,5 +87,5 @@ def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_nearest, op4_packing, op5_line_dedup, op6_near_vectors, op7_byte_bpe,
-                                   op8_warc, op9_token_orc, op10_language, op11_manifest, op13_chat)}
-ORACLES = {"op2_ngram_jaccard": jaccard.sql(3, 90), "op5_line_dedup": line_dedup.SQL, "op8_warc": warc.SQL, "op13_chat": chat.SQL}
+                                   op8_warc, op9_token_orc, op10_language, op11_manifest, op12_repair, op13_chat)}
+ORACLES = {"op2_ngram_jaccard": jaccard.sql(3, 90), "op5_line_dedup": line_dedup.SQL, "op8_warc": warc.SQL, "op11_manifest": manifest.sql(), "op13_chat": chat.SQL}
