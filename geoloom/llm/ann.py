@@ -18,16 +18,19 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.arrow import map_batches
 from geoloom.llm.vectors import common_length, dealt, kmeans, nearest_center, packed, unpack
-from geoloom.session import cut_lineage
+from geoloom.llm.workspace import Workspace
 
 NEAREST = 20
 SAMPLE_ROWS = 16_384         # bound of the tree's sample
 BRANCHES = 8
-ROWS_PER_LEAF = 512          # aimed at; a leaf keeps at least LEAST_SAMPLE rows of the sample
+ROWS_PER_LEAF = 128          # aimed at; a leaf keeps at least LEAST_SAMPLE rows of the sample
 LEAST_SAMPLE = 16
 CALIBRATION_QUERIES = 256
 RECALL = 0.95
-BLOCK = 1_024
+BIN_BYTES = 32 << 20         # of vectors in a bin, and of queries that meet them at once
+LEAST_BINS = 16              # so that small tables are searched by several tasks too
+QUERIES_PER_TASK = 1_024     # that walk the tree
+SCORES_AT_ONCE = 1 << 21
 
 
 @dataclass
@@ -97,23 +100,34 @@ def ranked(query: np.ndarray, candidate: np.ndarray, score: np.ndarray, k: int)
     return order[rank < k]
 
 
+def bins_of(held: np.ndarray, most: int) -> np.ndarray:
+    """The bin of each leaf: leaves next to each other in the tree share one until it holds ``most`` rows."""
+    out, bin_, rows = np.empty(len(held), np.int64), 0, 0
+    for leaf, n in enumerate(held.tolist()):
+        if rows and rows + n > most:
+            bin_, rows = bin_ + 1, 0
+        out[leaf], rows = bin_, rows + n
+    return out
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEAREST,
-            recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+            recall: float = RECALL, bin_bytes: int = BIN_BYTES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` nearest rows found, by inner product, other ids only.
 
     Ties go to the smaller id. Rows and queries without id or comparable vector (null, zero, null or non-finite components,
     or another length than most vectors have) take no part. A repeated query id is asked once; repeated rows are
-    all candidates. With fewer than ``k`` candidates all are returned. Leaves that hold a large part of the rows are split into blocks.
+    all candidates. With fewer than ``k`` candidates all are returned. Neighbouring leaves lie in one bin; a query is sent once to each bin that
+    has leaves for it, with the list of them. Bins are bounded by bytes, and a leaf beyond that is split into blocks.
     """
+    space = Workspace(vectors.sparkSession, "nearest")
     length = common_length(vectors, vector)
     pick = lambda df: packed(df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")), "v", length).where(
         "vec_id is not null and x is not null")
-    rows = cut_lineage(pick(vectors))
-    asked = cut_lineage(pick(queries).groupBy("vec_id").agg(F.min("x").alias("x")))
-    schema = "query_id long, rank int, vec_id long, score double"
+    rows = space.cut(pick(vectors))
+    asked = space.cut(pick(queries).groupBy("vec_id").agg(F.min("x").alias("x")))
     n = rows.count()
     if n == 0:
-        return rows.sparkSession.createDataFrame([], schema)
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     drawn = lambda df, most: df.select("vec_id", "x", F.xxhash64("vec_id", "x").alias("draw")).orderBy(
         "draw", "vec_id", "x").limit(most).toArrow()
     sample = unpack(drawn(rows, SAMPLE_ROWS).column("x"), length)
@@ -125,39 +139,59 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     def filed(batch: pa.RecordBatch) -> pa.RecordBatch:
         leaf = shared.value.file(unpack(batch.column("x"), length))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["vec_id", "x", "leaf"])
-    members = cut_lineage(map_batches(rows, filed, "vec_id long, x binary, leaf int"))
+    members = space.cut(map_batches(rows, filed, "vec_id long, x binary, leaf int"))
     held = np.zeros(tree.leaves, np.int64)
     for r in members.groupBy("leaf").count().collect():          # one row a leaf
         held[r["leaf"]] = r["count"]
     trial = drawn(asked, CALIBRATION_QUERIES)
     visits = calibrate(members, tree, trial.column("vec_id").to_numpy(), unpack(trial.column("x"), length), k, recall) if trial.num_rows else 1
+    block = max(1, bin_bytes // (8 * length))
+    bins = bins_of(held, min(block, max(1, -(-n // LEAST_BINS))))
 
     def visiting(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, leaf = [], []
+        row, to, leaves = [], [], []
         for r, q in enumerate(unpack(batch.column("x"), length)):
-            seen = 0
+            seen, here = 0, {}
             for step, at in enumerate(shared.value.best_bins(q)):
                 if step >= visits and seen > k:                  # one of the rows seen may be the query's own
                     break
                 seen += held[at]
-                row.append(r)
-                leaf.append(at)
+                if held[at]:
+                    here.setdefault(int(bins[at]), []).append(at)
+            row += [r] * len(here)
+            to += here
+            leaves += here.values()
         t = batch.take(pa.array(row, pa.int64()))
-        return pa.RecordBatch.from_arrays([*t.columns, pa.array(leaf, pa.int32())], names=["vec_id", "x", "leaf"])
-    groups = dealt(members, map_batches(asked, visiting, "vec_id long, x binary, leaf int"), ["leaf"], "vec_id", block)
+        return pa.RecordBatch.from_arrays([*t.columns, pa.array(to, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["vec_id", "x", "bin", "leaves"])
+    spread = asked.repartition(max(1, -(-asked.count() // QUERIES_PER_TASK)), "vec_id")
+    visitors = space.cut(map_batches(spread, visiting, "vec_id long, x binary, bin int, leaves array<int>"))
+    in_bin = F.element_at(F.lit(bins.tolist()), F.col("leaf") + 1).cast("int")
+    groups = dealt(members.withColumn("bin", in_bin), visitors, ["bin"], "vec_id", block)
 
     def search(t: pa.Table) -> pa.Table:
         visits_, ids, x = t.column("visits").to_numpy(), t.column("vec_id").to_numpy(), unpack(t.column("x"), length)
         q, m = np.flatnonzero(visits_), np.flatnonzero(~visits_)
-        scores = x[q] @ x[m].T
-        scores[ids[q][:, None] == ids[m][None, :]] = -np.inf
-        i, j = top_rows(scores, ids[m], k)
-        exact = (x[q[i]] * x[m[j]]).sum(1)                       # one fixed order of summing, so equal vectors tie
-        best = ranked(ids[q[i]], ids[m[j]], exact, k)
-        return pa.table({"query_id": ids[q[i]][best], "vec_id": ids[m[j]][best], "score": exact[best]})
-    found = groups.groupBy("leaf", "block", "chunk").applyInArrow(search, "query_id long, vec_id long, score double")
+        lists = t.column("leaves").take(pa.array(q)).combine_chunks()
+        by_leaf = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
+        leaf = t.column("leaf").take(pa.array(m)).to_numpy()
+        best_q, best_m, best_s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for at in np.unique(by_leaf[1]).tolist():
+            own, here = by_leaf[0][by_leaf[1] == at], m[leaf == at]
+            for a in range(0, len(own) if len(here) else 0, max(1, SCORES_AT_ONCE // len(here)) if len(here) else 1):
+                asks = q[own[a:a + max(1, SCORES_AT_ONCE // len(here))]]
+                scores = x[asks] @ x[here].T
+                scores[ids[asks][:, None] == ids[here][None, :]] = -np.inf
+                i, j = top_rows(scores, ids[here], k)
+                best_q, best_m = np.concatenate([best_q, asks[i]]), np.concatenate([best_m, here[j]])
+                best_s = np.concatenate([best_s, (x[asks[i]] * x[here[j]]).sum(1)])     # one fixed order of summing, so equal vectors tie
+            if len(best_q) > 4 * k * len(q):
+                keep = ranked(ids[best_q], ids[best_m], best_s, k)
+                best_q, best_m, best_s = best_q[keep], best_m[keep], best_s[keep]
+        keep = ranked(ids[best_q], ids[best_m], best_s, k)
+        return pa.table({"query_id": ids[best_q[keep]], "vec_id": ids[best_m[keep]], "score": best_s[keep]})
+    found = groups.groupBy("bin", "block", "chunk").applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return space.close(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
 def calibrate(members: DataFrame, tree: KMeansTree, ids: np.ndarray, queries: np.ndarray, k: int, recall: float) -> int:

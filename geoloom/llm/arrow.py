@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,11 +15,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until ``df`` has no such column, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+SLICE_BYTES = 4 << 20        # of a batch that is worked on at once; a longer row stands alone
+_caches: list = []
+
+
+def emptied_after_tasks(cache):
+    """Registers a cache (with ``clear``) of this worker process, to be emptied at the end of each task."""
+    _caches.append(cache)
+    return cache
+
+
+def give_back() -> None:
+    """Empties the caches and hands free memory back to the system, so that idle workers hold little."""
+    for cache in _caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):      # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``SLICE_BYTES``; memory goes back when the last one is done."""
+    try:
+        for batch in batches:
+            if batch.num_rows:
+                rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+                for a in range(0, batch.num_rows, rows):
+                    yield batch.slice(a, rows)
+    finally:
+        give_back()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch; ``None`` and empty batches are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
+        for batch in slices(batches):
+            if (out := fn(batch)) is not None:
                 yield out
     return df.mapInArrow(run, schema)
 
@@ -30,11 +75,9 @@ def append(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], n
     names, schema = kept.columns, StructType([*kept.schema.fields, *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                got = fn(batch)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], *[got[c] for c in added.names]],
-                                                 names=[*names, *added.names])
+        for batch in slices(batches):
+            got = fn(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], *[got[c] for c in added.names]], names=[*names, *added.names])
     return kept.mapInArrow(run, schema)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow import append, map_batches
+from geoloom.llm.arrow import append, emptied_after_tasks, map_batches
 from geoloom.llm.shingles import mix, shingle_sets
 from geoloom.llm.workspace import Workspace
 from geoloom.operators.graph import connected_components
@@ -100,10 +100,17 @@ def _node(s: np.ndarray) -> int:
     return int(mix(mix(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(s)))[0] >> np.uint64(1))
 
 
+SEEN_SETS = 1_000_000
+_seen: set = emptied_after_tasks(set())
+
+
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Size, number, list keys and needed lists of each text's set; of equal sets in a batch only the first carries its keys."""
+    """Size, number, list keys and needed lists of each text's set; of equal sets in a task only the first carries its keys."""
     def one(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        n, node, needs, keys, ends, seen = [], [], [], [], [0], set()
+        seen = _seen
+        if len(seen) > SEEN_SETS:            # keys that come twice do no harm
+            seen.clear()
+        n, node, needs, keys, ends = [], [], [], [], [0]
         for d, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), words)):
             number = _node(s) if len(s) else None
             own, need = list_keys(s, percent) if number not in seen and d is not None else (np.empty(0, np.uint64), 0)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.session import cut_lineage
+from geoloom.llm.workspace import Workspace
+from geoloom.operators.skew import salted_join
 
-RATIO = 0.1
+# Prose that several authors write doesn't agree on whole lines, so a line on one in fifty of a site's pages is the site's own; the floor
+# keeps small sites, where one page in fifty is no pattern, from losing lines.
+RATIO = 0.02
 LEAST_PAGES = 5
-SALTS = 64
 
 
 def _lines(text: Column) -> Column:
@@ -25,13 +27,15 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
                 least_pages: int = LEAST_PAGES) -> DataFrame:
     """``(host, a, b)``: lines on more than ``ratio`` of their host's pages, and on ``least_pages`` pages at least.
 
-    A page counts once per line however often it repeats it. Counting combines before the shuffle, so neither a host with
-    a third of all pages nor a line on all of them gathers anywhere.
+    Pages with equal text are one page, so that a document with many copies is not taken for boilerplate as a whole; a page
+    counts once per line however often it repeats it. Counting combines before the shuffles, first by page and then by line, so neither a
+    host with a third of all pages nor a line on all of them gathers anywhere.
     """
     own = pages.select(F.col(host).alias("host"), F.col(text).alias("text")).where("host is not null")
-    total = own.groupBy("host").agg(F.count("*").alias("pages"))
+    page = F.xxhash64("text")
+    total = own.groupBy("host").agg(F.countDistinct(page).alias("pages"))
     marks = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _mark))
-    seen = own.select("host", F.explode(marks).alias("m")).groupBy("host", "m.a", "m.b").agg(F.count("*").alias("n"))
+    seen = own.select("host", page.alias("page"), F.explode(marks).alias("m")).groupBy("host", "m.a", "m.b").agg(F.countDistinct("page").alias("n"))
     common = seen.where(F.col("n") >= least_pages)
     return common.join(total, "host").where(F.col("n") > F.lit(ratio) * F.col("pages")).select("host", "a", "b")
 
@@ -41,32 +45,32 @@ def drop_site_lines(pages: DataFrame, host: str = "source", text: str = "text",
     """All columns with ``text`` cleaned, plus ``n_lines`` and ``n_dropped``.
 
     Blank lines are never counted or dropped. Pages without host and null texts stay as they are (``n_lines`` null for a
-    null text). An empty text has one blank line. Columns named like the added ones are replaced.
+    null text). An empty text has one blank line. Columns named like the added ones are replaced, all others stay whatever their names.
     The lines to drop are few: a host has at most ``lines per page / ratio`` of them. They are written once and joined to
-    the pages by host; Spark broadcasts them where their size on disk allows it, and beyond that shuffles pages
-    under ``SALTS`` salts, against a copy of the host's list for each.
+    the pages by host; Spark broadcasts them where their size on disk allows it, and beyond that pages of large hosts are salted by row.
     """
     kept = pages.drop("n_lines", "n_dropped")
-    found = cut_lineage(boilerplate(kept, host, text, ratio, least_pages))
+    space = Workspace(pages.sparkSession, "lines")
+    found = space.cut(boilerplate(kept, host, text, ratio, least_pages))
     # structs that hold every line of a host are bounded as said above
-    lists = cut_lineage(found.groupBy(F.col("host").alias("_host")).agg(F.collect_set(F.struct("a", "b")).alias("_marks")))
-    salted = lists.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int")
-    there = kept.withColumn("_salt", salt).join(salted, (F.col(host) == F.col("_host")) & (F.col("_salt") == F.col("_of")), "left")
-    lines = _lines(F.col(text))
-    stay = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_marks", _mark(x)))
-    cleaned = there.withColumn("_stay", F.when(F.col("_marks").isNotNull(), stay)).withColumn("n_lines", F.when(
-        F.col(text).isNotNull(), F.size(lines)).cast("long")).withColumn("n_dropped", F.when(
-            F.col("_stay").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_stay")).cast("long"))
-    return cleaned.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_stay", "\n")).otherwise(F.col(text))).select(
-        *kept.columns, "n_lines", "n_dropped")
+    lists = space.cut(found.groupBy("host").agg(F.collect_set(F.struct("a", "b")).alias("marks")))
+    # a page is one struct here, so that none of its columns can clash with those of the join
+    whole = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("page"), F.col(host).alias("host"), F.monotonically_increasing_id().alias("row"))
+    there = salted_join(whole, lists, ["host"], ["row"], "left")
+    old = F.col("page")[text]
+    lines = _lines(old)
+    stay = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("marks", _mark(x)))
+    cleaned = there.select("page", F.when(F.col("marks").isNotNull(), stay).alias("stay"), F.size(lines).cast("long").alias("n"))
+    dropped = F.when(F.col("stay").isNull(), F.lit(0)).otherwise(F.col("n") - F.size("stay")).cast("long")
+    return cleaned.select(*[F.when(dropped > 0, F.array_join("stay", "\n")).otherwise(old).alias(c) if c == text else F.col("page")[c].alias(c) for c in kept.columns],
+                          F.when(old.isNotNull(), F.col("n")).alias("n_lines"), dropped.alias("n_dropped"))
 
 
 SQL = f"""
-WITH pages AS (SELECT source AS host, count(*) AS pages FROM documents WHERE source IS NOT NULL GROUP BY source),
+WITH pages AS (SELECT source AS host, count(DISTINCT text) AS pages FROM documents WHERE source IS NOT NULL GROUP BY source),
 lines AS (SELECT doc_id, source AS host, text, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)),
             lambda x: trim(x)), lambda x: x <> ''))) AS line FROM documents WHERE source IS NOT NULL),
-counts AS (SELECT host, line, count(*) AS n FROM lines GROUP BY host, line),
+counts AS (SELECT host, line, count(DISTINCT text) AS n FROM lines GROUP BY host, line),
 bad AS (SELECT c.host, c.line FROM counts c JOIN pages p USING (host) WHERE c.n >= {LEAST_PAGES} AND c.n > {RATIO} * p.pages),
 lists AS (SELECT host, list(line) AS marks FROM bad GROUP BY host),
 cut AS (SELECT d.*, string_split(text, chr(10)) AS ls,

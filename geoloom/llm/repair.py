@@ -294,7 +294,7 @@ def damage(rows: DataFrame) -> DataFrame:
 
 
 def _cell(blank: Column, duplicate: Column, truncated: Column) -> Column:
-    initial = F.coalesce(F.nullif(F.instr(F.lit(INITIALS), F.col("initial")), F.lit(0)) - 1, F.lit(3))
+    initial = F.when(F.col("initial") == "", 3).otherwise(F.coalesce(F.nullif(F.instr(F.lit(INITIALS), F.col("initial")), F.lit(0)) - 1, F.lit(3)))
     fault = F.when(blank, BLANK).when(duplicate, DUPLICATE).when(truncated, CUT).otherwise(OK)
     return F.substring(F.lit(CELLS), initial * 4 + fault + 1, F.lit(1))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from geoloom.llm.arrow import pieces, utf8
+from geoloom.llm.arrow import emptied_after_tasks, pieces, utf8
 
 AT_ONCE = 1 << 20            # bytes worked on at once; a longer text stands alone
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -20,12 +20,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers = {"up": np.ones(1, np.uint64)}
+_powers: dict[str, np.ndarray] = emptied_after_tasks({})
 
 
 def _power(n: int) -> np.ndarray:
     """``BASE`` to the powers 0 to n - 1, modulo 2^64."""
-    if len(_powers["up"]) < n:
+    if "up" not in _powers or len(_powers["up"]) < n:
         p = np.full(max(n, AT_ONCE), BASE, np.uint64)
         p[0] = 1
         _powers["up"] = np.multiply.accumulate(p)
@@ -66,7 +66,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return h, np.searchsorted(starts, offsets)
 
 
-_inverses: dict[int, np.uint64] = {}
+_inverses: dict[int, np.uint64] = emptied_after_tasks({})
 
 
 def _inverse(n: int) -> np.uint64:

@@ -16,9 +16,9 @@ import numpy as np  # noqa: E402
 import pyarrow as pa  # noqa: E402
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers  # noqa: E402
 
-from geoloom.llm.arrow import utf8  # noqa: E402
+from geoloom.llm.arrow import emptied_after_tasks, utf8  # noqa: E402
 
-MEMO_UNITS = 400_000
+MEMO_UNITS = 150_000
 ENCODE_AT_ONCE = 20_000
 
 
@@ -142,11 +142,11 @@ class UnitEncoder:
         return out, rows
 
 
-_encoders: dict = {}
+_encoders: dict = emptied_after_tasks({})
 
 
 def encoder(kind: str, path: str, pattern: str | None = None) -> UnitEncoder:
-    """One encoder per worker process: ``byte_json``, ``word_json`` (tokenizers files) or ``ranks`` (a rank file)."""
+    """One encoder per task: ``byte_json``, ``word_json`` (tokenizers files) or ``ranks`` (a rank file)."""
     key = (kind, path, pattern)
     if key not in _encoders:
         t = from_ranks(read_ranks(path), pattern) if kind == "ranks" else from_file(path)

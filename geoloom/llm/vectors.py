@@ -77,4 +77,4 @@ def dealt(members: DataFrame, visitors: DataFrame, cell: list[str], key: str, bl
     part = lambda n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     m = members.join(sizes, cell).withColumn("block", part("blocks")).withColumn("chunk", every("chunks"))
     v = visitors.join(sizes, cell).withColumn("chunk", part("chunks")).withColumn("block", every("blocks"))
-    return m.withColumn("visits", F.lit(False)).unionByName(v.withColumn("visits", F.lit(True))).drop("blocks", "chunks")
+    return m.withColumn("visits", F.lit(False)).unionByName(v.withColumn("visits", F.lit(True)), allowMissingColumns=True).drop("blocks", "chunks")

@@ -26,19 +26,25 @@ HTTP_HEAD = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8"
 
 def plan_captures(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
                   least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """``(page_id, url, html, payload_bytes, payload_digest, refers_to)``; a null payload is empty.
+    """``(page_id, url, html, row, payload_bytes, payload_digest, refers_to, refers_row)``; a null payload is empty.
 
     Of equal payloads of ``least_bytes`` or more, that of the least id is the response the others refer to. Rows without id
-    are responses of their own. A digest that many pages share is counted before the shuffle. The digests that occur more than once
+    are responses of their own, and so are further rows of the id that is the response; where an id is repeated, ``row`` numbers the rows, so each capture
+    has identifiers of its own. A digest that many pages share is counted before the shuffle. The digests that occur more than once
     are written first, so Spark knows their size: where it allows a broadcast, payloads are not shuffled.
     """
     own = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    repeated = not own.where("page_id is not null").groupBy("page_id").count().where("count > 1").isEmpty()
+    own = own.withColumn("row", F.when(F.lit(repeated) | F.col("page_id").isNull(), F.monotonically_increasing_id()))
+    if repeated:                     # the numbers must be the same wherever they are looked at
+        own = cut_lineage(own)
     own = own.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn(
         "payload_digest", F.sha2(F.col("html").cast("binary"), 256))
     first = cut_lineage(own.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(
-        F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("payload_digest", "first"))
-    refers = (F.col("first").isNotNull()) & (F.col("page_id") != F.col("first"))
-    return own.join(first, "payload_digest", "left").withColumn("refers_to", F.when(refers, F.col("first"))).drop("first")
+        F.min(F.struct("page_id", "row")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("payload_digest", "first"))
+    refers = (F.col("first").isNotNull()) & (F.col("page_id") != F.col("first.page_id"))
+    return own.join(first, "payload_digest", "left").withColumn("refers_to", F.when(refers, F.col("first.page_id"))).withColumn(
+        "refers_row", F.when(refers, F.col("first.row"))).drop("first")
 
 
 def _fields(*pairs: tuple[str, Column | str]) -> Column:
@@ -60,14 +66,12 @@ def _clean(url: Column) -> Column:
 
 def write_archives(captures: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
     """Writes the records with Spark's text writer: each is one value, and its line end is the two CRLF that close a record."""
-    uid = F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.substring("payload_digest", 1, 12),
-                      F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()))
+    uid = lambda page, row: F.concat_ws("-", F.coalesce(F.col(page).cast("string"), F.lit("none")), F.substring("payload_digest", 1, 12), F.col(row).cast("string"))
     ident = lambda kind: F.concat(F.lit(f"<urn:capture:{kind}:"), F.col("uid"), F.lit(">"))
-    c = captures.withColumn("uid", uid)
+    c = captures.withColumn("uid", uid("page_id", "row"))
     uri = _clean(F.col("url"))
     host = F.coalesce(F.regexp_extract(uri, "^[a-zA-Z]+://([^/?#]*)", 1), F.lit(""))
-    back = F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("<urn:capture:response:"), F.col("refers_to").cast("string"), F.lit("-"),
-                                                           F.substring("payload_digest", 1, 12), F.lit(">")))
+    back = F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("<urn:capture:response:"), uid("refers_to", "refers_row"), F.lit(">")))
     digest = F.concat(F.lit("sha256:"), F.col("payload_digest"))
     request = _record("request", ident("request"), F.concat(F.lit("GET / HTTP/1.1" + CRLF + "Host: "), host, F.lit(CRLF + CRLF)),
                       ("WARC-Concurrent-To", ident("response")), ("WARC-Target-URI", uri), ("Content-Type", "application/http;msgtype=request"))

@@ -69,11 +69,11 @@ def test_near_vectors_empty(spark, table):
     assert Counter(map(tuple, near_vectors.link_vectors(odd).collect())) == Counter([(1, 0, 1, True), (2, 0, 2, True)])
 
 
-@pytest.mark.parametrize("block", [1_024, 32])
-def test_nearest(table, block):
+@pytest.mark.parametrize("bin_bytes", [ann.BIN_BYTES, 4_096])
+def test_nearest(table, bin_bytes):
     rows, df = table
     good = comparable(rows)
-    got = ann.nearest(df, df.where("vec_id % 20 = 0"), block=block).collect()
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), bin_bytes=bin_bytes).collect()
     hits = total = 0
     for q in sorted({i for i, *_ in good if i % 20 == 0}):
         x = next(v for i, v, _ in good if i == q)
@@ -115,7 +115,7 @@ def test_archives(spark, folder):
     odd = "<p>é日本\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n</p>" * 3
     rows = [(1, "http://a.org/x y", odd), (2, "http://b.org/", odd), (3, None, None), (4, "", ""), (5, "http://c.org/\n", "short"), (6, "http://c.org/", "short"),
             (7, "http://d.org", "x" * 100), (8, "http://d.org", "x" * 100), (9, "http://d.org", "x" * 99), (10, "http://d.org", "x" * 99),
-            (11, "u", "y" * 300_000), (None, "u", "no id " * 30), (12, "pageId: 99", "pageId: 7\r\n" * 20)]
+            (11, "u", "y" * 300_000), *[(13, "http://e.org", "z" * 200)] * 3, (14, "http://e.org", "z" * 200), *[(15, "http://e.org", "z" * 200)] * 2, (None, "u", "no id " * 30), (12, "pageId: 99", "pageId: 7\r\n" * 20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' as uid", "'clash' as first").repartition(3)
     path = folder + "/w"
     warc.write_archives(warc.plan_captures(df), path, records_per_file=4)
@@ -129,6 +129,9 @@ def test_archives(spark, folder):
     want = Counter((i, size(h), hashlib.sha256((h or "").encode()).hexdigest(), *(("revisit", first[h]) if i is not None and first.get(h, i) != i else ("response", None)))
                    for i, _, h in rows)
     assert Counter(map(tuple, warc.capture_table(captures).collect())) == want
+    ids = [r[0] for r in captures.select("record_id").collect()]
+    assert len(set(ids)) == len(ids) == len(rows)
+    assert {r[0] for r in captures.where("type = 'revisit'").select("response.refers_to_id").collect()} <= set(ids)
     body = {r["page_id"]: bytes(r["p"]).decode() for r in captures.where("type = 'response'").select(
         warc.capture_table(captures).columns and warc.F.regexp_extract(warc.F.col("metadata.block").cast("string"), r"pageId: (\d+)", 1).alias("page_id"),
         warc.payload(captures).alias("p")).collect()}
