@@ -219,9 +219,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     space.drop(full)
     needs = known.groupBy("node").agg(F.max("need").alias("need"))
     enough = several.groupBy("node").agg(F.count("*").alias("shared")).join(needs, "node").where("shared >= need").select("node")
-    kept = several.join(enough, "node").select("key", "node")
-    lists = kept.groupBy("key").agg(F.min("node").alias("pivot"))
-    pairs = space.cut(kept.join(lists, "key").where("node <> pivot").select("node", "pivot").distinct())
+    kept = several.join(enough, "node").select("key", "node", F.min("node").over(whole).alias("pivot"))
+    pairs = space.cut(kept.where("node <> pivot").select("node", "pivot").distinct())
     space.drop(several)
     involved = pairs.select("node").union(pairs.select("pivot")).distinct()
     # a set is worked out again from the text of the least id that has it
@@ -256,17 +255,19 @@ def _rest(stars: DataFrame, components: DataFrame, percent: int, block: int) ->
     Every two sets of a list are compared with the list's pivot, so all its pairs meet here, once however many lists the
     pivot leads. A pivot with one other set has nothing left to decide.
     """
-    columns = ["pivot", "node", "n", "pn", "lacks", "extra"]
-    none = F.array().cast("array<long>")
     own = stars.groupBy("pivot").agg(F.min("pn").alias("pn"), F.count("*").alias("others")).where("others > 1")
-    pivots = own.select("pivot", F.col("pivot").alias("node"), F.col("pn").alias("n"), "pn", none.alias("lacks"), none.alias("extra"))
-    full = stars.join(own.select("pivot"), "pivot", "left_semi").select(columns).unionByName(pivots).join(components, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
+    others = stars.select("pivot", "node", "n", "pn", (F.size("lacks") + F.size("extra")).alias("held")).join(own.select("pivot"), "pivot", "left_semi")
+    pivots = own.select("pivot", F.col("pivot").alias("node"), F.col("pn").alias("n"), "pn", F.lit(0).alias("held"))
+    full = others.unionByName(pivots).join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     still_open = full.groupBy("pivot").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.sum(F.size("lacks") + F.size("extra")).alias("held")).where(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.sum("held").alias("held")).where(
         "x <> y").select("pivot", F.ceil(F.greatest(F.col("size") / block, F.col("held") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    dealt = full.join(still_open, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumnRenamed("pivot", "key")
-    blocks = dealt.groupBy("key", "part").agg(F.collect_list(F.struct("node", "component", "n", "pn", "lacks", "extra")).alias("m"))
+    dealt = full.drop("held").join(still_open, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts")
+    # differences are long, so they come in only now and only where they are needed
+    none = F.array().cast("array<long>")
+    whole = dealt.join(stars.select("pivot", "node", "lacks", "extra"), ["pivot", "node"], "left").select(
+        F.col("pivot").alias("key"), "part", F.struct("node", "component", "n", "pn", F.coalesce("lacks", none).alias("lacks"), F.coalesce("extra", none).alias("extra")).alias("m"))
+    blocks = whole.groupBy("key", "part").agg(F.collect_list("m").alias("m"))
     left, right = blocks.withColumnRenamed("m", "l").withColumnRenamed("part", "lp"), blocks.withColumnRenamed("m", "r").withColumnRenamed("part", "rp")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
