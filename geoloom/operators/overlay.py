@@ -62,7 +62,15 @@ def _edge_box() -> Column:
 
 def split_edges(edges: DataFrame, cell: float, grid: float = GRID) -> DataFrame:
     """Edges cut at every point where they meet another edge; each piece once, left-to-right."""
+    return pieces_of(edges, cell, grid).select(*_PIECE).distinct()
+
+
+def pieces_of(edges: DataFrame, cell: float, grid: float = GRID) -> DataFrame:
+    """The same with the edge each piece comes from, ``l``, and ``turned`` where the two point in opposite directions."""
     e = cut_lineage(edges)
+    # cells of twice the usual edge: few strangers meet in one, and an edge lies in few
+    usual = e.agg(F.avg(F.greatest(F.col("x2") - F.col("x1"), F.abs(F.col("y2") - F.col("y1"))))).first()[0]
+    cell = min(cell, max(2 * usual, grid)) if usual else cell
     pairs = pair_by_cell(e, e.select("*"), _edge_box(), _edge_box(), cell, salt_by=["x1", "y1", "x2", "y2"])
     whole = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
     pairs = pairs.select(whole("l_").alias("s"), whole("r_").alias("o")).where("s <> o").where(
@@ -86,24 +94,62 @@ def split_edges(edges: DataFrame, cell: float, grid: float = GRID) -> DataFrame:
     every = e.select(F.struct("x1", "y1", "x2", "y2").alias("l")).join(inner, "l", "left")
     mid = F.coalesce(F.transform("ts", lambda k: k["p"]), F.array().cast("array<struct<x:double,y:double>>"))
     v = every.withColumn("v", F.concat(F.array(pt(F.col("l.x1"), F.col("l.y1"))), mid, F.array(pt(F.col("l.x2"), F.col("l.y2")))))
-    p = v.select(F.explode(F.zip_with(F.slice("v", 1, F.size("v") - 1), F.slice("v", 2, F.size("v")),
-                                      lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+    p = v.select("l", F.explode(F.zip_with(F.slice("v", 1, F.size("v") - 1), F.slice("v", 2, F.size("v")),
+                                           lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
     swap = (F.col("p.a.x") > F.col("p.b.x")) | ((F.col("p.a.x") == F.col("p.b.x")) & (F.col("p.a.y") > F.col("p.b.y")))
     a = F.when(swap, F.col("p.b")).otherwise(F.col("p.a"))
     b = F.when(swap, F.col("p.a")).otherwise(F.col("p.b"))
-    return p.select(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")).where(
-        "x1 <> x2 or y1 <> y2").distinct()
+    return p.select("l", swap.alias("turned"), a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")).where(
+        "x1 <> x2 or y1 <> y2")
+
+
+def _owned_edges(layer: DataFrame, key: str, geom: str, grid: float) -> DataFrame:
+    """``(key, side, x1, y1, x2, y2)``: edges from left to right with the side on which their feature lies (1 left, -1 right)."""
+    s = layer.where(F.col(geom)["kind"] == "POLYGON").select(key, F.explode(G.oriented_segments(F.col(geom))).alias("s"))
+    r = lambda c: F.bround(F.col(c) / grid) * grid
+    e = s.select(key, *[r(f"s.{c}").alias(c) for c in _PIECE])
+    swap = (F.col("x1") > F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") > F.col("y2")))
+    return e.select(key, F.when(swap, -1).otherwise(1).alias("side"), *_left_to_right(swap)).where("x1 <> x2 or y1 <> y2")
+
+
+def _meeting(layer: DataFrame, other: DataFrame, geom: str, cell: float) -> DataFrame:
+    """The features whose boxes meet a box of the other layer; each row once."""
+    boxed = lambda df: df.where(F.col(geom).isNotNull()).withColumn("_b", G.bbox(F.col(geom)))
+    mine = cut_lineage(layer.withColumn("_row", F.monotonically_increasing_id()))
+    near = pair_by_cell(boxed(mine).select("_row", "_b"), boxed(other).select("_b"), F.col("_b"), F.col("_b"), cell)
+    return mine.join(near.select(F.col("l__row").alias("_row")).distinct(), "_row", "left_semi").drop("_row")
+
+
+def _shared_regions(left: DataFrame, right: DataFrame, left_key: str, right_key: str, geom: str, cell: float, grid: float, eps: float) -> DataFrame:
+    """Sides of pieces on which a left and a right feature both lie, as ``(left_key, right_key, piece, side)``.
+
+    A piece bounds what two features share only if it is an edge of one of them, and then on that feature's own side.
+    So pieces keep their owners through splitting, and only the other layer is looked up, beside one side.
+    """
+    a, b = cut_lineage(_owned_edges(left, left_key, geom, grid)), cut_lineage(_owned_edges(right, right_key, geom, grid))
+    cut = cut_lineage(pieces_of(a.select(*_PIECE).unionByName(b.select(*_PIECE)).distinct(), cell, grid))
+    found = None
+    for own, key, other, other_key in ((a, left_key, right, right_key), (b, right_key, left, left_key)):
+        pieces = own.select(key, F.col("side").alias("was"), F.struct(*_PIECE).alias("l")).join(cut, "l").select(
+            key, F.when(F.col("turned"), -F.col("was")).otherwise(F.col("was")).alias("side"), *_PIECE).distinct()
+        beside = _beside(pieces, eps)
+        hits = points_in_polygons(beside, other.select(other_key, geom), "px", "py", geom)
+        one = hits.select(*[F.col(f"l_{c}").alias(c) for c in (key, *_PIECE, "side")], F.col(f"r_{other_key}").alias(other_key))
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()
 
 
 def _sides(pieces: DataFrame, eps: float) -> DataFrame:
     """Each piece twice, with a point just to its left (side 1) and just to its right (side -1)."""
+    return _beside(pieces.select(*_PIECE, F.explode(F.array(F.lit(1), F.lit(-1))).alias("side")), eps)
+
+
+def _beside(pieces: DataFrame, eps: float) -> DataFrame:
+    """Adds ``px, py``: a point just beside the middle of each piece, on its ``side``."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     n = F.hypot(dx, dy)
-    two = F.explode(F.array(F.lit(1), F.lit(-1)))
-    p = pieces.select("x1", "y1", "x2", "y2", (dx / n).alias("ux"), (dy / n).alias("uy"), two.alias("side"))
-    return p.select("x1", "y1", "x2", "y2", "side",
-                    ((F.col("x1") + F.col("x2")) / 2 - F.col("side") * F.col("uy") * eps).alias("px"),
-                    ((F.col("y1") + F.col("y2")) / 2 + F.col("side") * F.col("ux") * eps).alias("py"))
+    return pieces.withColumn("px", (F.col("x1") + F.col("x2")) / 2 - F.col("side") * dy / n * eps).withColumn(
+        "py", (F.col("y1") + F.col("y2")) / 2 + F.col("side") * dx / n * eps)
 
 
 _PIECE = ["x1", "y1", "x2", "y2"]
@@ -132,6 +178,11 @@ def overlay_edges(left: DataFrame, right: DataFrame, how: str, left_key: str, ri
         raise ValueError(f"unknown overlay {how!r}")
     _, cell, grid, eps = steps(left, right, geom=geom, cell=cell)
     lt, rt = left.select(left_key, geom), right.select(right_key, geom)
+    if how in ("intersection", "difference", "identity"):
+        rt = cut_lineage(_meeting(rt, lt, geom, cell))
+    if how == "intersection":
+        lt = cut_lineage(_meeting(lt, rt, geom, cell))
+        return _some_region(_bounding(_shared_regions(lt, rt, left_key, right_key, geom, cell, grid, eps), [left_key, right_key]), how)
     pieces = cut_lineage(split_edges(_edges(lt, geom, grid).unionByName(_edges(rt, geom, grid)).distinct(), cell, grid))
     sides = _sides(pieces, eps)
     a, b = _covers(sides, lt, left_key, geom, cell), _covers(sides, rt, right_key, geom, cell)
@@ -147,7 +198,11 @@ def overlay_edges(left: DataFrame, right: DataFrame, how: str, left_key: str, ri
     for k, src in ((left_key, lt), (right_key, rt)):
         if k not in m.columns:
             m = m.withColumn(k, F.lit(None).cast(dict(src.dtypes)[k]))
-    edges = cut_lineage(_bounding(m, [left_key, right_key]))
+    return _some_region(_bounding(m, [left_key, right_key]), how)
+
+
+def _some_region(edges: DataFrame, how: str) -> DataFrame:
+    edges = cut_lineage(edges)
     if edges.isEmpty():
         raise ValueError(f"the {how} of these layers has no region")
     return edges
@@ -248,8 +303,8 @@ def clip_points(points: DataFrame, mask: DataFrame, key: str, x: str = "x", y: s
 def clip_polygons(layer: DataFrame, mask: DataFrame, key: str, geom: str = "geom", cell: float | None = None) -> DataFrame:
     """Polygons cut to the union of the mask polygons, holes honoured; what lies outside is dropped."""
     _, cell, grid, eps = steps(layer, mask, geom=geom, cell=cell)
-    lt = layer.select(key, geom)
-    mk = mask.select(F.lit(1).alias("_m"), geom)
+    lt = cut_lineage(_meeting(layer.select(key, geom), mask, geom, cell))
+    mk = cut_lineage(_meeting(mask.select(F.lit(1).alias("_m"), geom), lt, geom, cell))
     pieces = cut_lineage(split_edges(_edges(lt, geom, grid).unionByName(_edges(mk, geom, grid)).distinct(), cell, grid))
     sides = _sides(pieces, eps)
     a, m = _covers(sides, lt, key, geom, cell), _covers(sides, mk, "_m", geom, cell)

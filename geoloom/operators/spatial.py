@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.functions.tiles import metric_srid, region_point
-from geoloom.operators.cells import pair_by_cell, pair_points
+from geoloom.operators.cells import pair_by_cell, side
+from geoloom.operators.cover import cover, side_in_cell
+from geoloom.operators.skew import salted_join
 from geoloom.session import cut_lineage
 
 _SEGS = "_segs"
@@ -28,22 +30,47 @@ def kinds_of(df: DataFrame, geom: str = "geom") -> list[str]:
     return sorted(r[0] for r in df.where(F.col(geom).isNotNull()).select(F.col(geom)["kind"]).distinct().collect())
 
 
+def _single_points(df: DataFrame, geom: str) -> bool:
+    """The layer holds points of one vertex only."""
+    g = F.col(geom)
+    return bool(df.where(g.isNotNull()).agg(F.bool_and((g["kind"] == "POINT") & (G.num_vertices(g) == 1))).first()[0])
+
+
+# predicate -> whether the points lie on the left, and whether a point on the boundary counts
+_POINT_RULES = {("intersects", "POINT", "POLYGON"): (True, True), ("within", "POINT", "POLYGON"): (True, False),
+                ("intersects", "POLYGON", "POINT"): (False, True), ("contains", "POLYGON", "POINT"): (False, False)}
+
+
 def predicate_pairs(left: DataFrame, right: DataFrame, predicate: str = "intersects", cell: float = 1000.0,
                     geom: str = "geom", right_geom: str | None = None, kinds: tuple | None = None) -> DataFrame:
     """Pairs (``l_*``, ``r_*``) for which ``predicate`` holds between the left and right geometry.
 
     The test is built for the kinds that occur (``kinds = (left kinds, right kinds)``, looked up when not given), so
-    points in polygons never carry the expressions for crossing lines.
+    points in polygons never carry the expressions for crossing lines. Single points meet polygons through their covers.
     """
     if predicate == "disjoint":
         raise ValueError("disjoint pairs are nearly all pairs; use extract_by_location(..., 'disjoint')")
-    lk, rk = kinds or (kinds_of(left, geom), kinds_of(right, right_geom or geom))
-    lp, rp = _prepare(left, geom), _prepare(right, right_geom or geom)
+    rg = right_geom or geom
+    lk, rk = kinds or (kinds_of(left, geom), kinds_of(right, rg))
+    rule = _POINT_RULES.get((predicate, *lk, *rk)) if len(lk) == len(rk) == 1 else None
+    if rule and _single_points(left if rule[0] else right, geom if rule[0] else rg):
+        return _point_pairs(left, right, *rule, geom, rg)
+    lp, rp = _prepare(left, geom), _prepare(right, rg)
     pairs = pair_by_cell(lp, rp, F.col("_bbox"), F.col("_bbox"), cell)
     hit = pairs.where(G.pair_predicate(predicate, _prepared_side("l_"), _prepared_side("r_"), lk, rk))
     return hit.drop(*[f"{s}_{k}" for s in ("l_", "r_") for k in G.PREPARED])
 
 
+def _point_pairs(left: DataFrame, right: DataFrame, points_left: bool, boundary: bool, geom: str, right_geom: str) -> DataFrame:
+    points, polygons = (left, right) if points_left else (right, left)
+    at, shape = (geom, right_geom) if points_left else (right_geom, geom)
+    xy = points.withColumn("_x", F.col(at)["rings"][0][0][0]).withColumn("_y", F.col(at)["rings"][0][0][1])
+    got = points_in_polygons(xy, polygons, "_x", "_y", shape, boundary=boundary)
+    if points_left:
+        return got.drop("l__x", "l__y")
+    return got.select(*[F.col(f"r_{c}").alias(f"l_{c}") for c in left.columns], *[F.col(f"l_{c}").alias(f"r_{c}") for c in right.columns])
+
+
 def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects", cell: float = 1000.0,
                  geom: str = "geom", how: str = "inner", left_key: str | None = None, kinds: tuple | None = None) -> DataFrame:
     """Attributes of ``right`` joined to ``left`` by location; ``how='left'`` keeps unmatched rows (needs ``left_key``)."""
@@ -69,12 +96,26 @@ def extract_by_location(layer: DataFrame, ref: DataFrame, predicate: str, key: s
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", geom: str = "geom",
-                       cell: float = 1000.0, boundary: bool = True) -> DataFrame:
-    """Pairs (``l_*``, ``r_*``) of points and the polygons that hold them (``boundary`` says whether edges count)."""
-    polys = polygons.withColumn(_SEGS, G.segments(F.col(geom)))
-    pairs = pair_points(points, polys, x, y, G.bbox(F.col(geom)), cell)
-    at = G.locate(F.col(f"r_{_SEGS}"), F.col(f"l_{x}"), F.col(f"l_{y}"))
-    return pairs.where(at >= (0 if boundary else 1)).drop(f"r_{_SEGS}")
+                       cell: float | None = None, boundary: bool = True) -> DataFrame:
+    """Pairs (``l_*``, ``r_*``) of points and the polygons that hold them (``boundary`` says whether edges count).
+
+    Polygons are written once with a number each, their covers once by cell; points meet cells, and polygons come back
+    by number. Cells follow the polygons, so ``cell`` has no effect any more.
+    """
+    shapes = cut_lineage(polygons.withColumn("_pid", F.monotonically_increasing_id()))
+    cells = cut_lineage(cover(shapes, "_pid", geom))
+    levels = [r[0] for r in cells.select("lv").distinct().collect()]                 # a few integers
+    lhs = side(points, "l_").withColumn("_px", F.col(f"l_{x}").cast("double")).withColumn("_py", F.col(f"l_{y}").cast("double")).where(
+        "_px is not null and _py is not null")
+    size = F.pow(F.lit(2.0), F.col("_lv"))
+    at = lhs.withColumn("_lv", F.explode(F.lit(levels or [0]).cast("array<int>"))).withColumn("_cx", F.floor(F.col("_px") / size)).withColumn(
+        "_cy", F.floor(F.col("_py") / size)).withColumn("_sk", F.xxhash64("_px", "_py", f"l_{points.columns[0]}"))
+    rhs = cells.select("pid", F.col("lv").alias("_lv"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "side", "edges")
+    met = salted_join(at, rhs, ["_lv", "_cx", "_cy"], ["_sk"])
+    where = side_in_cell(F.col("_px"), F.col("_py"), F.col("_cx") * size, F.col("_cy") * size, F.col("side"), F.col("edges"))
+    hit = met.where(where >= (0 if boundary else 1)).select(*[f"`l_{c}`" for c in points.columns], "pid")
+    return hit.join(side(shapes, "r_").withColumnRenamed("r__pid", "pid"), "pid").select(
+        *[f"`l_{c}`" for c in points.columns], *[f"`r_{c}`" for c in polygons.columns])
 
 
 def count_points_in_polygon(polygons: DataFrame, points: DataFrame, key: str, field: str = "numpoints",

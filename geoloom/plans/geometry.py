@@ -458,6 +458,27 @@ def overlay_identity(spark, sf):
     return _overlay(spark, sf, "identity")
 
 
+_SLANTED = """WITH z AS (SELECT zone_id, x0 + y0 AS u, x0 - y0 AS v FROM zones),
+p AS (SELECT p_partkey AS plot_id, 499205 + 50 * (p_partkey % 40) AS x, 5399300 + 50 * CAST(floor(p_partkey / 40.0) AS BIGINT) AS y FROM part),
+i AS (SELECT zone_id, plot_id, (least(z.u + 600, p.x + p.y + 20) - greatest(z.u - 600, p.x + p.y - 20)) * (least(z.v + 600, p.x - p.y + 20) - greatest(z.v - 600, p.x - p.y - 20)) / 2.0 AS area
+      FROM z JOIN p ON p.x + p.y - 20 < z.u + 600 AND p.x + p.y + 20 > z.u - 600 AND p.x - p.y - 20 < z.v + 600 AND p.x - p.y + 20 > z.v - 600) """
+
+
+def _diamond(x, y, r):
+    corner = lambda dx, dy: F.array((x + dx * r).cast("double"), (y + dy * r).cast("double"))
+    return G.make_geom("POLYGON", F.array(F.array(*[corner(*c) for c in ((1, 0), (0, 1), (-1, 0), (0, -1), (1, 0))])), SRID)
+
+
+@query("overlay_slanted", _SLANTED + """SELECT zone_id, plot_id, CAST(area AS DOUBLE) AS area FROM i
+  UNION ALL SELECT z.zone_id, NULL, CAST(720000 - coalesce(sum(i.area), 0) AS DOUBLE) FROM z LEFT JOIN i USING (zone_id) GROUP BY z.zone_id""")
+def overlay_slanted(spark, sf):
+    """Squares standing on their corners: every edge is slanted, every crossing lies between two of them."""
+    blocks = view(spark, sf, "zones").select("zone_id", _diamond(F.col("x0"), F.col("y0"), 600).alias("geom"))
+    k = F.col("p_partkey")
+    plots = view(spark, sf, "part").select(k.alias("plot_id"), _diamond(F.lit(499_205) + 50 * (k % 40), F.lit(5_399_300) + 50 * F.floor(k / 40), 20).alias("geom"))
+    return O.overlay_areas(blocks, plots, "identity", "zone_id", "plot_id").select("zone_id", "plot_id", F.round("area", 3).alias("area"))
+
+
 @query("clip_polygons", _PLOTS + "SELECT plot_id, sum(area) AS area FROM i GROUP BY plot_id")
 def clip_polygons(spark, sf):
     blocks, plots = _plots(spark, sf)
