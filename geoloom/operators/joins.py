@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.projection import bbox_area_km2
 from geoloom.functions.scalars import normalise_key
+from geoloom.operators.ranks import exact_median
 from geoloom.operators.skew import salted_join
 
 
@@ -28,24 +29,28 @@ def match_report(units: DataFrame, table: DataFrame, key: str, table_key: str |
 
 
 def compare_layers(a: DataFrame, b: DataFrame, key: str, field_a: str, field_b: str) -> DataFrame:
-    """Two-method comparison on ``key`` (NULL keys match each other): row ``key, a, b, diff, rel``.
+    """Two-method comparison on ``key``: row ``key, a, b, diff, rel``.
 
-    ``rel`` is relative to ``b`` and NULL where ``b`` is 0.
+    ``rel`` is relative to ``b`` and NULL where ``b`` is 0. One row without key on each side match each other; where a side has several of
+    them nothing says which belong together, so none is matched (pairing all with all would make their product).
     """
     num = lambda c: F.nullif(F.col(c).try_cast("double"), F.lit(float("nan")))
     left = a.select(F.col(key).alias("_k"), num(field_a).alias("a"))
     right = b.select(F.col(key).alias("_kb"), num(field_b).alias("b"))
-    j = left.join(right, F.col("_k").eqNullSafe(F.col("_kb")))
+    lone = lambda df, k: df.where(F.col(k).isNotNull()).unionByName(
+        df.where(F.col(k).isNull()).groupBy(k).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in df.columns if c != k]).where("n = 1").drop("n"))
+    j = lone(left, "_k").join(lone(right, "_kb"), F.col("_k").eqNullSafe(F.col("_kb")))
     diff = F.abs(F.col("a") - F.col("b"))
     return j.select(F.col("_k").alias(key), "a", "b", diff.alias("diff"),
                     (diff / F.nullif(F.abs("b"), F.lit(0.0))).alias("rel"))
 
 
 def difference_stats(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(
+    stats = pairs.agg(
         F.count("*").alias("matched"), F.count("diff").alias("compared"), F.avg("diff").alias("mean_abs_diff"),
-        F.median("diff").alias("median_abs_diff"), F.max("diff").alias("max_abs_diff"),
+        F.max("diff").alias("max_abs_diff"),
         F.avg("rel").alias("mean_rel_diff"), F.max("rel").alias("max_rel_diff"))
+    return stats.select("matched", "compared", "mean_abs_diff", exact_median(pairs, "diff").alias("median_abs_diff"), "max_abs_diff", "mean_rel_diff", "max_rel_diff")
 
 
 def drop_aggregates(rows: DataFrame, aggregates: DataFrame, key: str) -> DataFrame:

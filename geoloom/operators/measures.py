@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.operators.joins import compare_layers, difference_stats
+from geoloom.operators.ranks import exact_median, exact_quantiles
 
 # ---- fixed values -------------------------------------------------------------------------------------------
 
@@ -172,9 +173,9 @@ def area_length_consistency(df: DataFrame, geom: str = "geom") -> DataFrame | No
     metric = df.where(g["srid"].isNotNull() & ~is_geographic(g["srid"]))
     both = metric.select(number(F.col(f"`{column}`")).alias("s"), (G.area(g) if kind == "area" else G.length(g)).alias("c"))
     both = both.where("s is not null and c > 0")
-    return both.agg(F.lit(kind).alias("kind"), F.lit(column).alias("column"),
-                    F.median(F.abs(F.col("s") - F.col("c")) / F.col("c")).alias("median_rel_diff"),
-                    F.count("*").alias("n"))
+    middle = exact_median(both, F.abs(F.col("s") - F.col("c")) / F.col("c"))
+    return both.agg(F.lit(kind).alias("kind"), F.lit(column).alias("column"), F.count("*").alias("n")).select(
+        "kind", "column", middle.alias("median_rel_diff"), "n")
 
 
 def relative_gap(value: Column, expected: Column) -> Column:
@@ -205,7 +206,7 @@ def cross_check_two_method(a: DataFrame, b: DataFrame, key: str, field_a: str, f
 def height_summary(df: DataFrame, column: str = "measured_height") -> DataFrame:
     v = number(F.col(column))
     return df.agg(F.count("*").alias("buildings"), F.count(v).alias("with_height"), F.round(F.min(v), 2).alias("min"),
-                  F.round(F.max(v), 2).alias("max"), F.round(F.avg(v), 2).alias("mean"), F.round(F.median(v), 2).alias("median"))
+                  F.round(F.max(v), 2).alias("max"), F.round(F.avg(v), 2).alias("mean")).withColumn("median", F.round(exact_median(df, v), 2))
 
 
 def gini(df: DataFrame, column: str) -> DataFrame:
@@ -247,8 +248,8 @@ def streets_affected(df: DataFrame, above: float, height: str = "height", street
 
 
 def duplicate_geometries(df: DataFrame, geom: str = "geom") -> DataFrame:
-    """Repeats beyond the first, by exact coordinates (hash groups are checked on the full coordinates)."""
-    g = df.where(F.col(geom).isNotNull()).groupBy(F.col(geom)["kind"].alias("kind"), F.to_json(geom).alias("_j")).agg(
+    """Repeats beyond the first, by exact coordinates: 256 bits of hash stand for the geometry, so only they are shuffled."""
+    g = df.where(F.col(geom).isNotNull()).groupBy(F.col(geom)["kind"].alias("kind"), F.unhex(F.sha2(F.to_json(geom), 256)).alias("_j")).agg(
         F.count("*").alias("n"))
     return g.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"), F.coalesce(F.sum("n"), F.lit(0)).alias("features"))
 
@@ -280,17 +281,16 @@ def promote_multi(df: DataFrame, geom: str = "geom") -> dict[str, DataFrame]:
 def class_breaks(df: DataFrame, column: str, scheme: str = "Quantiles", k: int = 5) -> DataFrame:
     """One row ``k, breaks`` (upper bounds, ascending); ``k`` is clamped to the number of distinct values."""
     v = df.select(number(F.col(column)).alias("v")).where("v is not null")
-    d = v.agg(F.count_distinct("v").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-              F.percentile("v", F.array(*[F.lit(i / 1.0) for i in (0.0, 1.0)])).alias("_e"))
+    d = v.agg(F.count_distinct("v").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     use = F.greatest(F.lit(1), F.least(F.lit(k), F.col("d").cast("int")))
     if scheme == "EqualInterval":
         return d.select(use.alias("k"), F.transform(F.sequence(F.lit(1), use), lambda i: F.when(i == use, F.col("hi")).otherwise(
             F.col("lo") + (F.col("hi") - F.col("lo")) * i / use)).alias("breaks"))
     if scheme == "Quantiles":
-        # all candidate class counts share one percentile sketch-free pass: k is small
+        # all candidate class counts share one search: k is small
         fr = {n: [i / n for i in range(1, n + 1)] for n in range(1, k + 1)}
         flat = sorted({f for fs in fr.values() for f in fs})
-        q = v.agg(F.count_distinct("v").alias("d"), F.percentile("v", F.array(*[F.lit(f) for f in flat])).alias("q"))
+        q = d.withColumn("q", exact_quantiles(v, "v", flat).select("quantiles").scalar())
         pick = reduce(lambda acc, n: acc.when(use == n, F.array(*[F.get(F.col("q"), flat.index(f)) for f in fr[n]])),
                       range(2, k + 1), F.when(use == 1, F.array(F.get(F.col("q"), flat.index(1.0)))))
         return q.select(use.alias("k"), pick.alias("breaks"))

@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators.ranks import exact_median, exact_quantiles
 from geoloom.operators.spatial import points_in_polygons
+from geoloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -109,25 +111,33 @@ def zonal_stats(zones: DataFrame, cells: DataFrame, key: str, stats: tuple = ("c
                 nodata: float | None = None, cell: float = 1000.0) -> DataFrame:
     """Statistics of the cells in each zone (cell centres, population variance); zones without cells keep NULLs.
 
-    Cells are first reduced to one row per (zone, value), so rank-based measures read value counts, not raw cells.
-    Variances are merged from deviations around running means, so large values don't cancel.
+    Cells are first reduced to one row per (zone, value). Variances are merged from deviations around each zone's mean, so
+    large values don't cancel. Medians are searched for by value ranges, exactly.
     """
     unknown = [s for s in stats if s not in ZONAL]
     if unknown:
         raise ValueError(f"unknown statistics {unknown}; use {ZONAL}")
     hits = zonal_join(zones, cells, key, cell)
     v = hits.withColumn("value", valid(F.col("value"), nodata)).where("value is not null")
-    counted = v.groupBy(key, "value").agg(F.count("*").alias("k"))
+    counted = cut_lineage(v.groupBy(key, "value").agg(F.count("*").alias("k")))       # the spatial join runs once
     val, k = F.col("value"), F.col("k")
     n, s = F.sum(k), F.sum(val * k)
     made = {
         "count": n, "sum": s, "mean": s / n, "min": F.min(val), "max": F.max(val), "range": F.max(val) - F.min(val),
-        "median": F.percentile(val, 0.5, k), "variety": F.count("*"),
+        "variety": F.count("*"),
         "majority": F.max(F.struct(k.alias("k"), (-val).alias("v"))), "minority": F.min(F.struct(k.alias("k"), val.alias("v"))),
     }
-    spread = [F.var_pop("value").alias(f"{prefix}variance")] * ("variance" in stats) + [F.stddev_pop("value").alias(f"{prefix}stdev")] * ("stdev" in stats)
-    first = counted.groupBy(key).agg(*[made[x].alias(f"{prefix}{x}") for x in stats if x in made] or [n.alias("_n")])
-    out = first.join(v.groupBy(key).agg(*spread), key).select(key, *[f"{prefix}{x}" for x in stats]) if spread else first
+    out = counted.groupBy(key).agg(n.alias("zone_n"), (s / n).alias("zone_mean"), *[made[x].alias(f"{prefix}{x}") for x in stats if x in made])
+    if {"variance", "stdev"} & set(stats):
+        means = out.select(F.col(key).alias("_key"), "zone_n", "zone_mean")
+        around = counted.join(means, F.col(key).eqNullSafe(F.col("_key"))).groupBy(key).agg(
+            (F.sum(k * (val - F.col("zone_mean")) * (val - F.col("zone_mean"))) / F.first("zone_n")).alias(f"{prefix}variance"))
+        around = around.withColumn(f"{prefix}stdev", F.sqrt(f"{prefix}variance")).withColumnRenamed(key, "_key")
+        out = out.join(around, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    if "median" in stats:
+        mid = exact_quantiles(v, "value", [0.5], key).select(F.col(key).alias("_key"), F.col("quantiles")[0].alias(f"{prefix}median"))
+        out = out.join(mid, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    out = out.select(key, *[f"{prefix}{x}" for x in stats])
     for x in ("majority", "minority"):
         if x in stats:
             got = F.col(f"{prefix}{x}.v")
@@ -157,7 +167,7 @@ def points_to_dtm(points: DataFrame, res: float, how: str = "min", ground: int =
 def stretch(cells: DataFrame, low: float = 0.02, high: float = 0.98, nodata: float | None = None) -> DataFrame:
     """2-98 percentile stretch to 0..255 with an ``alpha`` of 0 for missing cells."""
     v = valid(F.col("value"), nodata)
-    p = cells.agg(F.percentile(v, F.array(F.lit(low), F.lit(high)))).scalar()
+    p = exact_quantiles(cells, v, [low, high]).select("quantiles").scalar()
     scaled = (v - p[0]) / (p[1] - p[0] + 1e-9) * 255.0
     return cells.withColumn("stretched", F.greatest(F.least(scaled, F.lit(255.0)), F.lit(0.0))).withColumn(
         "alpha", F.when(v.isNotNull(), 255).otherwise(0))
@@ -237,7 +247,8 @@ def resample(cells: DataFrame, height: int, width: int, rows: int, cols: int, no
     got = j.groupBy("row", "col").agg(
         F.try_divide(F.sum(F.when(F.col("value").isNotNull(), F.col("w") * F.col("value"))),
                      F.sum(F.when(F.col("value").isNotNull(), F.col("w")))).alias("value"))
-    fill = got.agg(F.median("value")).scalar()
+    got = cut_lineage(got)
+    fill = exact_median(got, "value")
     return got.select("row", "col", F.coalesce("value", fill).alias("value"))
 
 

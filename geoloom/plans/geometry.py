@@ -64,11 +64,12 @@ def null_and_empty(spark, sf):
                  F.count_if(F.col("geom").isNotNull() & ~G.is_empty(F.col("geom"))).alias("filled"))
 
 
-@query("explode_parts", """SELECT unit, CAST(count(*) AS BIGINT) AS parts, CAST(sum(x) AS DOUBLE) AS sx FROM sites GROUP BY unit""")
+@query("explode_parts", """SELECT unit, CAST(3 * count(*) AS BIGINT) AS parts, CAST(sum(3 * x + 3) AS DOUBLE) AS sx FROM sites GROUP BY unit""")
 def explode_parts(spark, sf):
-    multi = site_layer(spark, sf).groupBy("unit").agg(F.collect_list(G.vertex("x", "y")).alias("v"))
-    g = G.make_geom("POINT", F.transform("v", lambda p: F.array(p)), SRID, F.transform("v", lambda p, i: i))
-    single = M.explode_parts(multi.select("unit", g.alias("geom")))
+    """Every site as a point of three parts, a metre from one another."""
+    parts = F.array(*[F.array(G.vertex(F.col("x") + i, F.col("y"))) for i in range(3)])
+    multi = view(spark, sf, "sites").withColumn("geom", G.make_geom("POINT", parts, SRID, F.array(*map(F.lit, range(3)))))
+    single = M.explode_parts(multi.select("unit", "geom"))
     return single.groupBy("unit").agg(F.count("*").alias("parts"), F.sum(F.col("geom")["rings"][0][0][0]).alias("sx"))
 
 

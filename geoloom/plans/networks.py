@@ -142,10 +142,13 @@ def multipolygon_z(spark, sf):
                     F.round(F.array_max(F.transform(G.vertices(F.col("geom")), lambda v: v[2])), 6).alias("top"))
 
 
-@query("dedupe_vertices", """WITH v AS (SELECT x0 AS x, y0 AS y FROM footprints UNION SELECT x0 + side, y0 FROM footprints UNION SELECT x0 + side, y0 + side FROM footprints UNION SELECT x0, y0 + side FROM footprints)
-SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, 100.0::DOUBLE AS z, row_number() OVER (ORDER BY x // 100, y // 100, x, y) - 1 AS vid FROM v""")
+@query("dedupe_vertices", """WITH c AS (SELECT x0 AS x, y0 AS y, height FROM footprints UNION ALL SELECT x0 + side, y0, height FROM footprints
+  UNION ALL SELECT x0 + side, y0 + side, height FROM footprints UNION ALL SELECT x0, y0 + side, height FROM footprints),
+v AS (SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, 100.0::DOUBLE AS z FROM c UNION SELECT x, y, round(100.0 + height / 2, 3) FROM c
+  UNION SELECT x0 + side / 2.0, y0, round(100.0 + height, 3) FROM footprints UNION SELECT x0 + side / 2.0, y0 + side, round(100.0 + height, 3) FROM footprints)
+SELECT x, y, z, row_number() OVER (ORDER BY floor(x / 100), floor(y / 100), x, y, z) - 1 AS vid FROM v""")
 def dedupe_vertices(spark, sf):
-    s = surfaces(spark, sf).where("surface_type = 'GroundSurface'").select(F.explode(F.flatten("rings")).alias("p"))
+    s = surfaces(spark, sf).select(F.explode(F.flatten("rings")).alias("p"))
     return C.dedupe_vertices(s.select(*[F.col("p")[i].alias(c) for i, c in enumerate("xyz")]), cell=100.0)
 
 

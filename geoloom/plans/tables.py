@@ -260,12 +260,13 @@ def escalate(spark, sf):
 @query("region_hierarchy", f"""WITH t AS (SELECT DISTINCT {_CODE} AS code FROM customer)
 SELECT code, 'ags' AS key, 'Gemeinde' AS level, left(code, 5) || '/' || left(code, 3) || '/' || left(code, 2) || '/' AS chain,
  'Kreis/Regierungsbezirk/Land/Bund' AS scopes FROM t UNION ALL SELECT 'DE' || r_regionkey || '1', 'nuts', 'NUTS2 (Regierungsbezirk)', 'DE' || r_regionkey || '/DE',
- 'NUTS1 (Bundesland)/country (NUTS0)' FROM region UNION ALL SELECT r_name, NULL, NULL, NULL, NULL FROM region WHERE length(r_name) > 5""")
+ 'NUTS1 (Bundesland)/country (NUTS0)' FROM region UNION ALL SELECT r_name, CASE WHEN length(r_name) = 4 THEN 'nuts' END, CASE WHEN length(r_name) = 4 THEN 'NUTS2 (Regierungsbezirk)' END, CASE WHEN length(r_name) = 4 THEN left(r_name, 3) || '/' || left(r_name, 2) END,
+ CASE WHEN length(r_name) = 4 THEN 'NUTS1 (Bundesland)/country (NUTS0)' END FROM region""")
 def region_hierarchy(spark, sf):
     reg = view(spark, sf, "region")
     codes = _coded(spark, sf).select(F.col("ags").alias("code")).distinct().unionByName(
         reg.select(F.concat(F.lit("DE"), F.col("r_regionkey").cast("string"), F.lit("1")).alias("code"))).unionByName(
-        reg.where(F.length("r_name") > 5).select(F.col("r_name").alias("code")))
+        reg.select(F.col("r_name").alias("code")))
     h = codes.withColumn("h", X.region_hierarchy(F.col("code")))
     return h.select("code", "h.key", "h.level", F.array_join("h.escalation.code", "/").alias("chain"), F.array_join("h.escalation.scope", "/").alias("scopes"))
 
@@ -526,14 +527,17 @@ def find_url_field(spark, sf):
     return J.find_url_field(p, ["html", "url", "link"])
 
 
-@query("match_gazetteer", """WITH p AS (SELECT p_partkey AS id, p_name AS name, p_retailprice AS imp FROM part), b AS (SELECT name, count(*) AS n, first(id ORDER BY imp DESC, id) AS id, max(imp) AS imp FROM p GROUP BY name),
+@query("match_gazetteer", """WITH p AS (SELECT p_partkey AS id, p_name AS name, p_retailprice AS imp FROM part), b AS (SELECT name, count(*) AS n, first(id ORDER BY imp DESC, id) AS id, max(imp) AS imp, array_to_string(list(id ORDER BY imp DESC, id)[:5], '/') AS options,
+  round(CAST(list(imp ORDER BY imp DESC, id)[1] AS DOUBLE), 2) AS first_importance FROM p GROUP BY name),
 w AS (SELECT DISTINCT upper(p_name) || ' ' AS q, p_name FROM part UNION ALL SELECT 'nowhere', NULL)
-SELECT w.q AS name, b.id AS place_id, b.imp AS importance, coalesce(n, 0) AS candidates, coalesce(n, 0) > 1 AS ambiguous FROM w LEFT JOIN b ON b.name = w.p_name""")
+SELECT w.q AS name, b.id AS place_id, b.imp AS importance, coalesce(n, 0) AS candidates, coalesce(n, 0) > 1 AS ambiguous, coalesce(options, '') AS options, first_importance FROM w LEFT JOIN b ON b.name = w.p_name""")
 def match_gazetteer(spark, sf):
     p = view(spark, sf, "part").select(F.col("p_partkey").alias("place_id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("importance"))
     names = p.select(F.concat(F.upper("name"), F.lit(" ")).alias("name")).distinct()
     names = names.unionByName(names.agg(F.lit("nowhere").alias("name")))
-    return J.match_gazetteer(names, p).drop("options")
+    m = J.match_gazetteer(names, p)
+    return m.withColumn("first_importance", F.round(F.get(F.col("options"), 0)["importance"].cast("double"), 2)).withColumn(
+        "options", F.array_join(F.transform("options", lambda o: o["place_id"].cast("string")), "/"))
 
 
 @query("scene_filter", """WITH s AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS d, value AS cloud, (event_id * 37 % 3600) / 100.0 AS w, 40 + (event_id * 53 % 1500) / 100.0 AS s FROM events)
