@@ -579,8 +579,22 @@ def _ring_segments(ring: Column) -> Column:
     return F.filter(_pairs(ring), lambda s: (s["x1"] != s["x2"]) | (s["y1"] != s["y2"]))
 
 
+LONG = 64                    # vertices beyond which edges are compared by cells, in Arrow batches, with the same answers
+
+
+def _by_cells(name: str, *columns: Column) -> Column:
+    from geoloom.functions import rings as long_rings
+    return F.arrow_udf(getattr(long_rings, name), "boolean")(*columns)
+
+
 def is_valid(g: Column) -> Column:
     """Rings closed, at least four points, no ring meets itself, rings do not cross, holes lie in their shell."""
+    long = num_vertices(g) > LONG
+    only = lambda c: F.when(long, c)
+    return F.when((g["kind"] == "POLYGON") & long, _by_cells("valid_batch", only(g["rings"]), only(g["ring_part"]))).otherwise(_is_valid_short(g))
+
+
+def _is_valid_short(g: Column) -> Column:
     ring_ok = F.forall(rings(g), lambda r: (F.size(r) >= 4) & (r[0] == F.element_at(r, -1))
                        & ~_self_hits(_ring_segments(r), True))
     tagged = F.transform(rings(g), lambda r, i: F.struct(
@@ -601,6 +615,11 @@ def is_valid(g: Column) -> Column:
 
 def is_simple(g: Column) -> Column:
     """No line crosses or touches itself (a closed line may meet at its ends)."""
+    long = num_vertices(g) > LONG
+    return F.when((g["kind"] == "LINE") & long, _by_cells("simple_batch", F.when(long, g["rings"]))).otherwise(_is_simple_short(g))
+
+
+def _is_simple_short(g: Column) -> Column:
     def path_ok(r):
         segs = _ring_segments(r)
         return ~F.when(r[0] == F.element_at(r, -1), _self_hits(segs, True)).otherwise(_self_hits(segs, False))
