@@ -5,7 +5,7 @@ many blocks that two linked sets must agree on some block as a whole, however th
 one list for each (size range, block, content of the block); wherever a set differs inside a block, that whole block of
 lists is skipped. A set that shares fewer lists with others than any linked set must is out before its text is fetched.
 
-Answers come from highly similar sets. Equal sets share one node. In every list the least set is the pivot; the other sets
+Answers come from highly similar sets. Equal sets share one node. In every list the set that shares most lists is the pivot; the other sets
 are compared with it once and keep their difference to it. A set linked with its pivot takes over the pivot's
 component. What is left, sets of one list in different components, is decided from the differences to the common pivot
 alone, block by block, and gives only connecting links, never pairs.
@@ -218,8 +218,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "a <> z").select("key", "node").distinct())
     space.drop(full)
     needs = known.groupBy("node").agg(F.max("need").alias("need"))
-    enough = several.groupBy("node").agg(F.count("*").alias("shared")).join(needs, "node").where("shared >= need").select("node")
-    kept = several.join(enough, "node").select("key", "node", F.min("node").over(whole).alias("pivot"))
+    enough = several.groupBy("node").agg(F.count("*").alias("shared")).join(needs, "node").where("shared >= need").select("node", "shared")
+    # the set that stands in most lists leads each of its lists, so a set meets few pivots however large its group is
+    central = F.min(F.struct((-F.col("shared")).alias("lists"), F.col("node").alias("node"))).over(whole)
+    kept = several.join(enough, "node").select("key", "node", central["node"].alias("pivot"))
     pairs = space.cut(kept.where("node <> pivot").select("node", "pivot").distinct())
     space.drop(several)
     involved = pairs.select("node").union(pairs.select("pivot")).distinct()
@@ -230,7 +232,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     space.drop(sets)
     links = stars.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     every = space.cut(connected_components(links.unionByName(_same_id(known)), "a", "b"))
-    more = space.cut(_rest(stars, every, percent, block))
+    more = space.cut(_rest(stars, every, percent, block, space))
     if not more.isEmpty():
         ties = every.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
         every = connected_components(more.unionByName(ties), "a", "b")
@@ -249,7 +251,7 @@ def _same_id(known: DataFrame) -> DataFrame:
     return known.select("doc_id", F.col("node").alias("b")).join(ids, "doc_id").where("a <> b").select("a", "b").distinct()
 
 
-def _rest(stars: DataFrame, components: DataFrame, percent: int, block: int) -> DataFrame:
+def _rest(stars: DataFrame, components: DataFrame, percent: int, block: int, space: Workspace) -> DataFrame:
     """Links around one pivot between sets that are still in several components, as ``(a, b)``.
 
     Every two sets of a list are compared with the list's pivot, so all its pairs meet here, once however many lists the
@@ -262,13 +264,16 @@ def _rest(stars: DataFrame, components: DataFrame, percent: int, block: int) ->
     still_open = full.groupBy("pivot").agg(
         F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.sum("held").alias("held")).where(
         "x <> y").select("pivot", F.ceil(F.greatest(F.col("size") / block, F.col("held") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    dealt = full.drop("held").join(still_open, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts")
-    # differences are long, so they come in only now and only where they are needed
+    # differences are long: they are joined with short rows only, and shuffled once, to their block
     none = F.array().cast("array<long>")
-    whole = dealt.join(stars.select("pivot", "node", "lacks", "extra"), ["pivot", "node"], "left").select(
-        F.col("pivot").alias("key"), "part", F.struct("node", "component", "n", "pn", F.coalesce("lacks", none).alias("lacks"), F.coalesce("extra", none).alias("extra")).alias("m"))
-    blocks = whole.groupBy("key", "part").agg(F.collect_list("m").alias("m"))
-    left, right = blocks.withColumnRenamed("m", "l").withColumnRenamed("part", "lp"), blocks.withColumnRenamed("m", "r").withColumnRenamed("part", "rp")
+    long = stars.select("pivot", "node", "n", "pn", "lacks", "extra").join(still_open, "pivot").unionByName(
+        pivots.drop("held").withColumn("lacks", none).withColumn("extra", none).join(still_open, "pivot"))
+    dealt = long.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    blocks = space.cut(dealt.groupBy(F.col("pivot").alias("key"), "parts", "part").agg(F.collect_list(F.struct("node", "component", "n", "pn", "lacks", "extra")).alias("m")))
+    alone, several = blocks.where("parts = 1"), blocks.where("parts > 1")
+    left, right = several.select("key", F.col("m").alias("l"), F.col("part").alias("lp")), several.select("key", F.col("m").alias("r"), F.col("part").alias("rp"))
+    met = left.join(right, "key").where("lp <= rp").select("l", "r").unionByName(alone.select(F.col("m").alias("l"), F.col("m").alias("r")))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         got = set()
@@ -276,7 +281,7 @@ def _rest(stars: DataFrame, components: DataFrame, percent: int, block: int) ->
             got.update(connecting_links(a.values, b.values, percent))
         x, y = zip(*got) if got else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
-    return map_batches(left.join(right, "key").where("lp <= rp").select("l", "r"), one, "a long, b long").distinct()
+    return map_batches(met, one, "a long, b long").distinct()
 
 
 def sql(words: int, percent: int) -> str:
