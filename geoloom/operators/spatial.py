@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,12 +152,30 @@ def nearest(left: DataFrame, right: DataFrame, max_distance: float, left_key: st
             x: str = "x", y: str = "y") -> DataFrame:
     """Nearest ``right`` row of every ``left`` row within ``max_distance``; ties go to the smaller key.
 
-    One pass per left key with map-side combining (``min`` of a struct), no sort of all candidates.
+    Searched in growing rings: the first radius is the usual distance between neighbours on the right, each next one twice as
+    large, and a row leaves as soon as it has found any, so the rows compared don't grow with ``max_distance``. Inside a ring one pass
+    per left key with map-side combining (``min`` of a struct), no sort of all candidates.
     """
-    pairs = within_distance(left.select(left_key, x, y), right.select(right_key, x, y), max_distance, x, y)
-    best = pairs.groupBy(F.col(f"l_{left_key}").alias(left_key)).agg(
-        F.min(F.struct(F.col("dist"), F.col(f"r_{right_key}").alias("k"))).alias("b"))
-    return best.select(left_key, F.col("b.k").alias(right_key), F.col("b.dist").alias("dist"))
+    there = right.select(right_key, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pending = left.select(left_key, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    n, w, h = there.agg(F.count("*"), F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
+    usual = max(math.sqrt(float(w) * float(h) / n), max(float(w), float(h)) / n) if n else 0.0
+    radius = min(usual, max_distance) if usual > 0 else max_distance
+    found = None
+    while True:
+        pairs = within_distance(pending, there, radius, x, y)
+        best = pairs.groupBy(F.col(f"l_{left_key}").alias(left_key)).agg(
+            F.min(F.struct(F.col("dist"), F.col(f"r_{right_key}").alias("k"))).alias("b")).select(
+            left_key, F.col("b.k").alias(right_key), F.col("b.dist").alias("dist"))
+        if radius >= max_distance:
+            return best if found is None else found.unionByName(best)
+        best = cut_lineage(best)
+        found = best if found is None else found.unionByName(best)
+        done = best.select(F.col(left_key).alias("_done"))
+        pending = cut_lineage(pending.join(done, F.col(left_key).eqNullSafe(F.col("_done")), "left_anti"))
+        if pending.isEmpty():
+            return found
+        radius = min(2 * radius, max_distance)
 
 
 def relate(left: DataFrame, right: DataFrame, predicates: tuple, cell: float = 1000.0, geom: str = "geom",

@@ -69,3 +69,18 @@ def test_nothing_and_odd_shapes(spark):
         "k", F.when(F.col("rings").isNotNull(), G.make_geom("POLYGON", F.col("rings"))).alias("geom"))
     assert J.points_in_polygons(points, none).count() == 0
     assert J.points_in_polygons(points.where("false"), none).count() == 0
+
+
+def test_nearest_in_growing_rings(spark):
+    rnd = random.Random(8)
+    right = [(i, rnd.uniform(0, 10), rnd.uniform(0, 10)) for i in range(200)] + [(500, 300.0, 0.0), (501, 300.0, 0.0), (502, None, 1.0)]
+    left = [(i, rnd.uniform(-5, 15), rnd.uniform(-5, 15)) for i in range(300)] + [(900, 290.0, 0.0), (901, 5_000.0, 0.0), (None, 1.0, 1.0), (902, None, None)]
+    schema = "k int, x double, y double"
+    got = {r["k"]: (r["j"], r["dist"]) for r in J.nearest(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema).withColumnRenamed("k", "j"), 500.0, "k", "j").collect()}
+    want = {}
+    for k, x, y in left:
+        near = [(math.hypot(x - a, y - b), j) for j, a, b in right if x is not None and a is not None]
+        if near and min(near)[0] <= 500.0:
+            want[k] = min(near)[::-1]
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert J.nearest(spark.createDataFrame(left, schema), spark.createDataFrame([], "j int, x double, y double"), 5.0, "k", "j").count() == 0
