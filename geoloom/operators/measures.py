@@ -47,8 +47,13 @@ def number(c: Column) -> Column:
 
 
 def measure(df: DataFrame, what: str, geom: str = "geom", by: list[str] | None = None) -> DataFrame:
-    """``sum, count, mean, min, max`` of a numeric field or of ``$area`` / ``$length`` / ``$perimeter``."""
+    """``sum, count, mean, min, max`` of a numeric field or of ``$area`` / ``$length`` / ``$perimeter``.
+
+    Areas and lengths need metres: the first geometry in degrees or without a reference system fails the job.
+    """
+    from geoloom.operators.filters import require_metric
     key = what.strip().lower()
+    df = require_metric(df, geom) if key in ("$area", "$length", "$perimeter") else df
     v = {"$area": lambda: G.area(F.col(geom)), "$length": lambda: G.length(F.col(geom)),
          "$perimeter": lambda: G.length(F.col(geom))}.get(key, lambda: number(F.col(f"`{what}`")))()
     g = df.withColumn("_v", v).groupBy(*(by or []))

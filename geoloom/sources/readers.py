@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -207,6 +209,22 @@ def describe_layers(layers: dict[str, DataFrame], geom: str = "geom") -> DataFra
     return out
 
 
+def describe_folder(spark: SparkSession, root: str, geom: str = "geom") -> DataFrame:
+    """The same for every GeoJSON file and Parquet layer below a folder, named by their path in it.
+
+    Only the listing (one name a file) passes through the driver. Layers without a geometry column have empty kinds and no extent.
+    """
+    found = read_file_facts(spark, root, (".geojson", ".parquet")).select("path").collect()
+    base = root.rstrip("/").split("/")[-1]
+    layers = {}
+    for path in sorted({re.sub(r"(\.parquet)/.*", r"\1", r["path"]) for r in found}):
+        df = spark.read.parquet(path) if path.endswith(".parquet") else read_geojson(spark, path)
+        layers[path.rsplit(f"/{base}/", 1)[-1]] = df if geom in df.columns else df.withColumn(geom, F.lit(None).cast(S.GEOM))
+    if not layers:
+        raise ValueError(f"no layers below {root}")
+    return describe_layers(layers, geom)
+
+
 def read_file_facts(spark: SparkSession, root: str, suffixes: tuple = RASTER_SUFFIXES + VECTOR_SUFFIXES) -> DataFrame:
     """Path, size and change time of the data files below a folder; folders starting with ``_`` are skipped."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
