@@ -88,4 +88,5 @@ def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_nearest, op4_packing, op5_line_dedup, op6_near_vectors, op7_byte_bpe,
                                    op8_warc, op9_token_orc, op10_language, op11_manifest, op12_repair, op13_chat)}
-ORACLES = {"op2_ngram_jaccard": jaccard.sql(3, 90), "op5_line_dedup": line_dedup.SQL, "op8_warc": warc.SQL, "op11_manifest": manifest.sql(), "op13_chat": chat.SQL}
+ORACLES = {"op2_ngram_jaccard": jaccard.sql(3, 90), "op5_line_dedup": line_dedup.SQL, "op8_warc": warc.SQL, "op11_manifest": manifest.sql(), "op12_repair": repair.sql(),
+           "op13_chat": chat.SQL}

@@ -346,3 +346,52 @@ def repair(rows: DataFrame, ids: DataFrame, chunk_bits: int = CHUNK_BITS) -> Dat
         turns.withColumnRenamed("conv_id", "b"), F.col("conv_id").eqNullSafe(F.col("b")), "left").select(
         "conv_id", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in COUNTS], F.coalesce("audit", F.lit("")).alias("audit"))
     return space.close(_written(report, marked))
+
+
+def sql() -> str:
+    """The same over damaged ``conversations``, forward row by row: a state is its cost in eight digits followed by its audit, so the least text wins."""
+    none = "'99999999'"
+    add = lambda s, k, letter: f"CASE WHEN {s} >= {none} THEN {none} ELSE printf('%08d', CAST(left({s}, 8) AS INTEGER) + {k}) || substr({s}, 9) || '{letter}' END"
+    may = lambda test, s: f"CASE WHEN {test} THEN {s} ELSE {none} END"
+    free = "fault NOT IN ('b', 'd')"
+    before_user = "least(s0, s1, s3)"
+    return f"""
+WITH RECURSIVE bits AS (SELECT range AS i, range AS v, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind FROM named, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM damaged),
+rows AS (SELECT *, left(role, 1) AS ini, CASE WHEN said = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault FROM placed),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+walk AS (SELECT conv_id, 0 AS i, '00000000' AS s0, {none} AS s1, '00000005I' AS s2, '00000010II' AS s3 FROM ids
+  UNION ALL SELECT conv_id, i, n0, n1, least(n2, {add('least(n0, n1, n3)', 5, 'I')}),
+    least(n3, {add(f"least(n2, {add('least(n0, n1, n3)', 5, 'I')})", 5, 'I')}) FROM (
+    SELECT w.conv_id, r.i, {add('s0', 2, 'D')} AS n0,
+      least({add('s1', 2, 'D')}, {may(f"{free} AND ini = 's'", add('s0', "CASE fault WHEN 't' THEN 5 ELSE 0 END", 'K'))}) AS n1,
+      least({add('s2', 2, 'D')}, {may(f"{free} AND ini = 'u'", add(before_user, "CASE fault WHEN 't' THEN 5 ELSE 0 END", 'K'))},
+            {may(free, add(before_user, "CASE fault WHEN 't' THEN 6 ELSE 1 END", 'R'))}) AS n2,
+      least({add('s3', 2, 'D')}, {may(f"{free} AND ini = 'a'", add('s2', "CASE fault WHEN 't' THEN 5 ELSE 0 END", 'K'))},
+            {may(free, add('s2', "CASE fault WHEN 't' THEN 6 ELSE 1 END", 'R'))}) AS n3
+    FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1)),
+ends AS (SELECT conv_id, arg_max(least(s0, s3), i) AS best FROM walk GROUP BY conv_id),
+letters AS (SELECT conv_id, substr(best, 8 + p, 1) AS letter, p FROM ends, LATERAL (SELECT unnest(range(1, length(best) - 7)) AS p)),
+steps AS (SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS o FROM letters
+  WINDOW w AS (PARTITION BY conv_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+written AS (SELECT s.conv_id, s.p, s.letter, s.o, r.role, r.text, r.ini FROM steps s LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i AND s.letter <> 'I'
+  WHERE s.letter <> 'D'),
+shifted AS (SELECT *, o - max(CASE WHEN o = 1 AND letter = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS n FROM written),
+texts AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN n % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS body
+  FROM shifted GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+  count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (bad) AS illegal FROM (
+    SELECT *, ini_before || ini NOT IN ('su', 'ua', 'au') AS bad FROM (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS ini_before FROM rows)) GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(left(best, 8) AS BIGINT) AS cost, substr(best, 9) AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ids d JOIN ends e ON d.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN counts c ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN texts t ON d.conv_id IS NOT DISTINCT FROM t.conv_id"""
