@@ -52,24 +52,29 @@ def pair_by_cell(left: DataFrame, right: DataFrame, left_box: Column, right_box:
     """Pairs of rows whose boxes meet, each pair once, with the input columns as ``l_*`` and ``r_*``.
 
     ``expand`` grows the left boxes (for distance joins). ``salt_by`` names left columns that spread hot cells.
+    At a coarse level only pairs with a feature of that level meet: a left feature of the level meets all on the right, a finer one
+    only those of the level. Small features never meet each other in the cells of large ones.
     """
     salt_by = salt_by or [left.columns[0]]
     b = F.struct((left_box["xmin"] - expand).alias("xmin"), (left_box["ymin"] - expand).alias("ymin"),
                  (left_box["xmax"] + expand).alias("xmax"), (left_box["ymax"] + expand).alias("ymax"))
     lhs, rhs = _boxed(left, b, "l_", "_lb", cell), _boxed(right, right_box, "r_", "_rb", cell)
 
-    def filed(df, box, other_levels):
+    def filed(df, box, other_levels, meets):
         own = F.col("_lv")
         coarser = F.array_intersect(other_levels, F.sequence(own + 1, F.lit(MAX_LEVEL + 1)))
         at = df.withColumn("_at", F.explode(F.array_append(coarser, own)))
         out = at.withColumn("_c", F.explode(covering_cells(
             {k: F.col(f"{box}_{k}") for k in ("xmin", "ymin", "xmax", "ymax")}, F.array("_at"), cell)))
-        return out.select(*[c for c in df.columns if c != "_lv"], own.alias(f"{box}_lv"),
+        return out.select(*[c for c in df.columns if c != "_lv"], own.alias(f"{box}_lv"), meets(F.col("_c.lv") == own, own).alias("_meets"),
                           F.col("_c.lv").alias("_lv"), F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
 
-    lf = filed(lhs, "_lb", _levels(rhs)).withColumn("_sk", F.xxhash64(*[f"l_{c}" for c in salt_by]))
-    rf = filed(rhs, "_rb", _levels(lhs))
-    joined = salted_join(lf, rf, ["_lv", "_cx", "_cy"], ["_sk"], rows_per_salt=rows_per_salt)
+    left_levels, right_levels = _levels(lhs), _levels(rhs)
+    lf = filed(lhs, "_lb", right_levels, lambda own, lv: F.when(own, 0).otherwise(1)).withColumn("_sk", F.xxhash64(*[f"l_{c}" for c in salt_by]))
+    both = lambda own, lv: F.explode(F.when(own & (F.array_min(left_levels) < lv), F.array(F.lit(0), F.lit(1))).otherwise(
+        F.array(F.lit(0))))
+    rf = filed(rhs, "_rb", left_levels, both)
+    joined = salted_join(lf, rf, ["_lv", "_cx", "_cy", "_meets"], ["_sk"], rows_per_salt=rows_per_salt)
     a, c = (lambda k: F.col(f"_lb_{k}")), (lambda k: F.col(f"_rb_{k}"))
     size = cell_size(F.col("_lv"), cell)
     return joined.where(
