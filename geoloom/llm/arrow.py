@@ -26,7 +26,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-SLICE_BYTES = 4 << 20        # of a batch that is worked on at once; a longer row stands alone
+SLICE_BYTES = 32 << 20       # of a batch that is worked on at once; a longer row stands alone
 _caches: list = []
 
 
