@@ -152,20 +152,22 @@ def merge_touch(inventory: DataFrame, touches: DataFrame) -> DataFrame:
 def match_dataset(wanted: DataFrame, datasets: DataFrame) -> DataFrame:
     """Dataset key for each wanted name: exact key, then whole path, then base name; smallest key on ties.
 
-    Three equi-joins on the same name instead of one OR-join; all datasets are first reduced to one key per name.
+    Three equi-joins on the same name instead of one OR-join; all datasets are first reduced to one key per name, and each
+    name is asked once. Spark's size estimates don't count exploded rows, so both joins are asked to shuffle: neither side
+    is bounded, and a broadcast would pass it through the driver.
     """
     d = datasets.select("path", F.concat_ws("::", "path", "layer").alias("key"))
     names = d.select(F.col("key").alias("n"), F.lit(0).alias("rank"), "key").unionByName(
         d.select(F.col("path").alias("n"), F.lit(1).alias("rank"), "key")).unionByName(
         d.select(F.substring_index("path", "/", -1).alias("n"), F.lit(2).alias("rank"), "key"))
     best = names.groupBy("n", "rank").agg(F.min("key").alias("key"))
-    asked = wanted.select("name", F.explode(F.array(
+    asked = wanted.select("name").distinct().select("name", F.explode(F.array(
         F.struct(F.col("name").alias("n"), F.lit(0).alias("rank")),
         F.struct(F.col("name").alias("n"), F.lit(1).alias("rank")),
         F.struct(F.substring_index("name", "/", -1).alias("n"), F.lit(2).alias("rank")))).alias("a")).select(
         "name", F.col("a.n").alias("n"), F.col("a.rank").alias("rank"))
-    hit = asked.join(best, ["n", "rank"]).groupBy("name").agg(F.min(F.struct("rank", "key")).alias("b"))
-    return wanted.join(hit, "name", "left").select(*wanted.columns, F.col("b.key").alias("dataset"))
+    hit = asked.join(best.hint("merge"), ["n", "rank"]).groupBy("name").agg(F.min(F.struct("rank", "key")).alias("b"))
+    return wanted.join(hit.hint("merge"), "name", "left").select(*wanted.columns, F.col("b.key").alias("dataset"))
 
 
 def match_gazetteer(names: DataFrame, places: DataFrame, top: int = 5) -> DataFrame:
