@@ -37,9 +37,11 @@ def solid_heights(solids: DataFrame, key: str = "building_id", renames: dict | N
     types = dict(solids.dtypes)
     clean = lambda c: F.nanvl(F.col(c), F.lit(None)) if types[c] in ("double", "float") else F.nullif(F.col(c).cast("string"), F.lit(""))
     have = {s: d for s, d in renames.items() if s in solids.columns}
-    out = solids.groupBy(key).agg(
-        F.round(F.max(F.array_max(z)) - F.min(F.array_min(z)), 2).alias("measured_height"), F.count("*").alias("faces"),
-        *[F.first(clean(s), ignorenulls=True).alias(d) for s, d in have.items()])
+    # texts make the grouping a sort of its input, so a face brings its range of z instead of its rings
+    slim = solids.select(key, F.array_max(z).alias("_hi"), F.array_min(z).alias("_lo"), *[clean(s).alias(d) for s, d in have.items()])
+    out = slim.groupBy(key).agg(
+        F.round(F.max("_hi") - F.min("_lo"), 2).alias("measured_height"), F.count("*").alias("faces"),
+        *[F.first(d, ignorenulls=True).alias(d) for d in have.values()])
     return out.withColumn("egid", F.col("egid").try_cast("long")) if "egid" in out.columns else out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,16 @@ from pyspark.sql import functions as F
 # all other keys join unsalted, so the result does not depend on either number.
 ROWS_PER_SALT = 500_000
 MAX_HOT = 10_000
+ROWS_PER_TASK = 25_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """``df`` dealt by ``keys`` to tasks of about ``rows`` rows each.
+
+    Spark cuts its work by bytes. A table of few bytes a row comes in one or two pieces, however much is worked out per
+    row afterwards, so what is costly per row is dealt by rows first. The count is for tables: from Parquet it is read off the footers.
+    """
+    return df.repartition(max(1, math.ceil(df.count() / rows)), *keys)
 
 
 def salted_join(probe: DataFrame, build: DataFrame, keys: list[str], salt_by: list[str], how: str = "inner",

@@ -9,6 +9,7 @@ from geoloom.functions.scalars import reach_distance
 from geoloom.operators import city as C
 from geoloom.operators import network as N
 from geoloom.operators.graph import service_area
+from geoloom.operators.skew import spread
 from geoloom.plans.registry import query
 from geoloom.plans.views import street_layer, view
 
@@ -88,7 +89,7 @@ def reach_distance_query(spark, sf):
 
 def surfaces(spark, sf):
     """Five faces per building: ground, two walls, and two roof faces meeting at a ridge."""
-    f = view(spark, sf, "footprints")
+    f = spread(view(spark, sf, "footprints"), "bldg_id")
     x0, y0, s, h = F.col("x0").cast("double"), F.col("y0").cast("double"), F.col("side").cast("double"), F.col("height")
     v = lambda x, y, z: F.array(x, y, F.lit(100.0) + z)
     x1, y1, xm, z = x0 + s, y0 + s, x0 + s / 2, F.lit(0.0)
