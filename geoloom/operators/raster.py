@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions import geometry as G
+from geoloom.operators.cover import EDGES, cover, side_in_cell
 from geoloom.operators.ranks import exact_median, exact_quantiles
 from geoloom.operators.spatial import points_in_polygons
 from geoloom.session import cut_lineage
@@ -34,8 +36,9 @@ def with_centres(cells: DataFrame, grid: Grid) -> DataFrame:
 
 
 def grid_cells(spark: SparkSession, grid: Grid) -> DataFrame:
-    """All cells of a grid, generated on the executors."""
-    n = spark.range(grid.width * grid.height)
+    """All cells of a grid, generated on the executors, a million to a task."""
+    total = grid.width * grid.height
+    n = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, total // 1_000_000 + 1))
     return n.select(F.floor(F.col("id") / grid.width).alias("row"), (F.col("id") % grid.width).alias("col"))
 
 
@@ -146,14 +149,41 @@ def zonal_stats(zones: DataFrame, cells: DataFrame, key: str, stats: tuple = ("c
 
 
 def rasterize(polygons: DataFrame, value: str, grid: Grid, geom: str = "geom", cell: float = 1000.0) -> DataFrame:
-    """Grid cells with the greatest value of the polygons over their centre, 0 elsewhere."""
-    spark = polygons.sparkSession
-    cells = with_centres(grid_cells(spark, grid), grid)
-    hits = points_in_polygons(cells, polygons.select(value, geom), "x", "y", geom, cell)
-    burnt = hits.groupBy(F.col("l_row").alias("row"), F.col("l_col").alias("col")).agg(
-        F.max(F.col(f"r_{value}")).cast("double").alias("value"))
-    return cells.select("row", "col").join(burnt, ["row", "col"], "left").withColumn(
-        "value", F.coalesce("value", F.lit(0.0)))
+    """Grid cells with the greatest value of the polygons over their centre, 0 elsewhere.
+
+    Polygons name the cells whose centres lie in their box, or in the cells of their cover where they have many edges, and
+    each centre is tested against the edges there. The grid itself takes part in one grouping only, so the work follows the area
+    covered. ``cell`` has no effect any more.
+    """
+    g = F.col(geom)
+    edges = F.filter(G.segments(g), lambda s: (s["x1"] != s["x2"]) | (s["y1"] != s["y2"]))
+    shapes = cut_lineage(polygons.where(g["kind"] == "POLYGON").select(
+        F.col(value).alias("value"), g.alias("geom"), edges.alias("edges"), G.bbox(g).alias("b")).where("size(edges) > 0").withColumn(
+        "pid", F.monotonically_increasing_id()))
+    no = lambda kind: F.lit(None).cast(kind)
+    # with a corner left of and below the polygon, its whole box is one cell of a cover
+    few = shapes.where(F.size("edges") <= EDGES).select(
+        "value", "b", "edges", (F.col("b.xmin") - 1).alias("ox"), (F.col("b.ymin") - 1).alias("oy"), F.lit(0).alias("side"),
+        no("double").alias("size"), no("long").alias("cx"), no("long").alias("cy"))
+    many = shapes.where(F.size("edges") > EDGES)
+    size = F.pow(F.lit(2.0), F.col("lv"))
+    covers = cover(many, "pid").join(many.select("pid", "value", "b"), "pid").select(
+        "value", "b", "edges", (F.col("cx") * size).alias("ox"), (F.col("cy") * size).alias("oy"), "side", size.alias("size"), "cx", "cy")
+    own = few.unionByName(covers)
+    low = lambda box, at: F.when(F.col("size").isNull(), box).otherwise(F.greatest(box, at))
+    high = lambda box, at: F.when(F.col("size").isNull(), box).otherwise(F.least(box, at + F.col("size")))
+    # a little more than the box, since centres are rounded; the test decides
+    def inside(first, last, count):
+        a, z = F.greatest(F.ceil(first - 0.501), F.lit(0)), F.least(F.floor(last - 0.499), F.lit(count - 1))
+        return F.explode(F.when(a <= z, F.sequence(a, z)))
+    rows = own.withColumn("row", inside((grid.y0 - high(F.col("b.ymax"), F.col("oy"))) / grid.dy, (grid.y0 - low(F.col("b.ymin"), F.col("oy"))) / grid.dy, grid.height))
+    at = with_centres(rows.withColumn("col", inside((low(F.col("b.xmin"), F.col("ox")) - grid.x0) / grid.dx, (
+        high(F.col("b.xmax"), F.col("ox")) - grid.x0) / grid.dx, grid.width)), grid)
+    mine = F.col("size").isNull() | ((F.floor(F.col("x") / F.col("size")) == F.col("cx")) & (F.floor(F.col("y") / F.col("size")) == F.col("cy")))
+    hits = at.where(mine).where(side_in_cell(F.col("x"), F.col("y"), F.col("ox"), F.col("oy"), F.col("side"), F.col("edges")) >= 0)
+    every = grid_cells(polygons.sparkSession, grid).withColumn("value", no(dict(shapes.dtypes)["value"]))
+    return every.unionByName(hits.select("row", "col", "value")).groupBy("row", "col").agg(
+        F.coalesce(F.max("value").cast("double"), F.lit(0.0)).alias("value"))
 
 
 def points_to_dtm(points: DataFrame, res: float, how: str = "min", ground: int = 2) -> DataFrame:
