@@ -36,10 +36,10 @@ def bbox_area(spark, sf):
 
 @query("reproject_round_trip", """SELECT bldg_id, 0.0::DOUBLE AS off_mm FROM footprints""")
 def reproject_round_trip(spark, sf):
-    f = footprint_layer(spark, sf).select("bldg_id", "geom")
-    there = P.reproject(P.reproject(f, 25832, 4326), 4326, 3035)
-    back = P.reproject(P.reproject(there, 3035, 4326), 4326, 25832).withColumnRenamed("geom", "g2")
-    d = f.join(back, "bldg_id").select("bldg_id", F.array_max(F.zip_with(
+    f = footprint_layer(spark, sf).select("bldg_id", "geom", F.col("geom").alias("g2"))
+    there = P.reproject(P.reproject(f, 25832, 4326, "g2"), 4326, 3035, "g2")
+    back = P.reproject(P.reproject(there, 3035, 4326, "g2"), 4326, 25832, "g2")
+    d = back.select("bldg_id", F.array_max(F.zip_with(
         G.vertices(F.col("geom")), G.vertices(F.col("g2")), lambda a, b: F.hypot(a[0] - b[0], a[1] - b[1]))).alias("d"))
     return d.select("bldg_id", F.floor(F.col("d") * 1000).cast("double").alias("off_mm"))
 

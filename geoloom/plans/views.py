@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
+from geoloom.operators.skew import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -181,7 +182,7 @@ def home_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def footprint_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = view(spark, sf_dir, "footprints")
+    f = spread(view(spark, sf_dir, "footprints"), "bldg_id")
     return f.withColumn("geom", G.box("x0", "y0", F.col("x0") + F.col("side"), F.col("y0") + F.col("side"), SRID))
 
 
