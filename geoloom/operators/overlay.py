@@ -5,6 +5,8 @@ Edges are split where they meet (a cell join of edges), pieces lying on each oth
 piece are looked up with a point-in-polygon join, and a piece bounds an output region exactly when the region holds one
 side only. Everything is joins and grouped aggregates; the plane is never gathered anywhere.
 
+A polygon that nothing of its group or of the other layer comes near keeps its own boundary and takes no part in this.
+
 Coordinates are snapped to a grid of 0.1 mm before splitting, and points beside a piece lie 0.5 mm from it; in layers in
 degrees both are given in degrees. Regions narrower than 1 mm are below this resolution.
 """
@@ -120,6 +122,35 @@ def _meeting(layer: DataFrame, other: DataFrame, geom: str, cell: float) -> Data
     return mine.join(near.select(F.col("l__row").alias("_row")).distinct(), "_row", "left_semi").drop("_row")
 
 
+def _set_apart(layer: DataFrame, key: str, geom: str, cell: float, grid: float, eps: float, other: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(near, edges)``: the features that have to be arranged, and the directed boundary ``(key, x1, y1, x2, y2)`` of all others.
+
+    What a group covers depends on its own features and on the other layer alone. A valid polygon of one ring whose box meets
+    none of these bounds its part as it is. With another layer a group of one feature counts as apart, without one (dissolving) a
+    feature whose box meets no other box of its group.
+    """
+    g = F.col(geom)
+    mine = cut_lineage(layer.select(key, geom).where(g["kind"] == "POLYGON").withColumn("_row", F.monotonically_increasing_id()).withColumn(
+        "_b", G.bbox(g)).withColumn("_plain", (F.size(g["rings"]) == 1) & F.coalesce(G.is_valid(g), F.lit(False))))
+    plain = mine.where("_plain").select("_row", "_b", F.col(key).alias("_k"))
+    margin = 4 * eps
+    if other is not None:
+        boxes = other.where(F.col(geom)["kind"] == "POLYGON").select(G.bbox(F.col(geom)).alias("_b"))
+        met = pair_by_cell(plain, boxes, F.col("_b"), F.col("_b"), cell, margin)
+        single = mine.groupBy(key).agg(F.count("*").alias("n"), F.max("_row").alias("_row")).where("n = 1").select("_row")
+        plain = plain.join(single, "_row", "left_semi")
+    else:
+        # cells of twice the usual box: few strangers meet in one
+        usual = mine.agg(F.avg(F.greatest(F.col("_b.xmax") - F.col("_b.xmin"), F.col("_b.ymax") - F.col("_b.ymin")))).first()[0]
+        boxes = mine.select("_row", "_b", F.col(key).alias("_k"))
+        met = pair_by_cell(plain, boxes, F.col("_b"), F.col("_b"), min(cell, max(2 * usual, grid)) if usual else cell, margin).where(
+            (F.col("l__row") != F.col("r__row")) & F.col("l__k").eqNullSafe(F.col("r__k")))
+    apart = cut_lineage(plain.join(met.select(F.col("l__row").alias("_row")).distinct(), "_row", "left_anti").select("_row"))
+    s = mine.join(apart, "_row", "left_semi").select(key, F.explode(G.oriented_segments(g)).alias("s"))
+    edges = s.select(key, *[(F.bround(F.col(f"s.{c}") / grid) * grid).alias(c) for c in _PIECE]).where("x1 <> x2 or y1 <> y2")
+    return mine.join(apart, "_row", "left_anti").select(key, geom), edges
+
+
 def _shared_regions(left: DataFrame, right: DataFrame, left_key: str, right_key: str, geom: str, cell: float, grid: float, eps: float) -> DataFrame:
     """Sides of pieces on which a left and a right feature both lie, as ``(left_key, right_key, piece, side)``.
 
@@ -183,6 +214,17 @@ def overlay_edges(left: DataFrame, right: DataFrame, how: str, left_key: str, ri
     if how == "intersection":
         lt = cut_lineage(_meeting(lt, rt, geom, cell))
         return _some_region(_bounding(_shared_regions(lt, rt, left_key, right_key, geom, cell, grid, eps), [left_key, right_key]), how)
+    l_type, r_type = dict(lt.dtypes)[left_key], dict(rt.dtypes)[right_key]
+    near, far = _set_apart(lt, left_key, geom, cell, grid, eps, rt)
+    apart = [far.withColumn(right_key, F.lit(None).cast(r_type))]
+    if how in ("union", "symmetric_difference"):
+        r_near, r_far = _set_apart(rt, right_key, geom, cell, grid, eps, lt)
+        apart.append(r_far.withColumn(left_key, F.lit(None).cast(l_type)))
+        rt = cut_lineage(r_near)
+    lt = cut_lineage(near)
+    if lt.isEmpty() and (len(apart) == 1 or rt.isEmpty()):
+        out = apart[0].select(left_key, right_key, *_PIECE)
+        return _some_region(out if len(apart) == 1 else out.unionByName(apart[1]), how)
     pieces = cut_lineage(split_edges(_edges(lt, geom, grid).unionByName(_edges(rt, geom, grid)).distinct(), cell, grid))
     sides = _sides(pieces, eps)
     a, b = _covers(sides, lt, left_key, geom, cell), _covers(sides, rt, right_key, geom, cell)
@@ -198,7 +240,10 @@ def overlay_edges(left: DataFrame, right: DataFrame, how: str, left_key: str, ri
     for k, src in ((left_key, lt), (right_key, rt)):
         if k not in m.columns:
             m = m.withColumn(k, F.lit(None).cast(dict(src.dtypes)[k]))
-    return _some_region(_bounding(m, [left_key, right_key]), how)
+    out = _bounding(m, [left_key, right_key])
+    for e in apart:
+        out = out.unionByName(e)
+    return _some_region(out, how)
 
 
 def _some_region(edges: DataFrame, how: str) -> DataFrame:
@@ -273,9 +318,13 @@ def dissolve_edges(layer: DataFrame, by: str | None = None, geom: str = "geom",
         k = e.select(group, *_left_to_right(swap), F.when(swap, -1).otherwise(1).alias("d"))
         once = k.groupBy(group, *_PIECE).agg(F.sum("d").alias("d")).where("d <> 0")
         return once.select(group, *_left_to_right(F.col("d") < 0)), [group]
-    pieces = cut_lineage(split_edges(_edges(src, geom, grid), cell, grid))
-    members = _covers(_sides(pieces, eps), src, group, geom, cell)
-    return _bounding(members, [group]), [group]
+    near, apart = _set_apart(src, group, geom, cell, grid, eps)
+    near = cut_lineage(near)
+    if near.isEmpty():
+        return apart, [group]
+    pieces = cut_lineage(split_edges(_edges(near, geom, grid), cell, grid))
+    members = _covers(_sides(pieces, eps), near, group, geom, cell)
+    return _bounding(members, [group]).unionByName(apart), [group]
 
 
 def dissolve(layer: DataFrame, by: str | None = None, geom: str = "geom", cell: float | None = None, clean: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from geoloom.operators import measures as M
 from geoloom.operators import network as N
 from geoloom.operators import overlay as O
 from geoloom.operators import spatial as J
+from geoloom.operators.skew import spread
 from geoloom.plans.registry import query
 from geoloom.plans.views import (SRID, ZONE_INSIDE, ZONE_MEETS, footprint_layer, home_layer, site_layer, street_layer,
                                  view, zone_layer)
@@ -422,7 +423,7 @@ def _plots(spark, sf):
     """Blocks of 1,200 m that don't meet, and squares of 30 m on a lattice of 50 m, which lie in a block, across its edge or outside."""
     blocks = _boxes(spark, sf)[0]
     x, y = F.lit(499_190) + 50 * (F.col("p_partkey") % 40), F.lit(5_399_285) + 50 * F.floor(F.col("p_partkey") / 40)
-    plots = view(spark, sf, "part").select(F.col("p_partkey").alias("plot_id"), G.box(x, y, x + 30, y + 30, SRID).alias("geom"))
+    plots = spread(view(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("plot_id"), G.box(x, y, x + 30, y + 30, SRID).alias("geom"))
     return blocks, plots
 
 
@@ -476,7 +477,7 @@ def overlay_slanted(spark, sf):
     """Squares standing on their corners: every edge is slanted, every crossing lies between two of them."""
     blocks = view(spark, sf, "zones").select("zone_id", _diamond(F.col("x0"), F.col("y0"), 600).alias("geom"))
     k = F.col("p_partkey")
-    plots = view(spark, sf, "part").select(k.alias("plot_id"), _diamond(F.lit(499_205) + 50 * (k % 40), F.lit(5_399_300) + 50 * F.floor(k / 40), 20).alias("geom"))
+    plots = spread(view(spark, sf, "part"), "p_partkey").select(k.alias("plot_id"), _diamond(F.lit(499_205) + 50 * (k % 40), F.lit(5_399_300) + 50 * F.floor(k / 40), 20).alias("geom"))
     return O.overlay_areas(blocks, plots, "identity", "zone_id", "plot_id").select("zone_id", "plot_id", F.round("area", 3).alias("area"))
 
 
@@ -491,7 +492,7 @@ def dissolve_degrees(spark, sf):
     """Buildings of about nine metres in degrees, none touching another of its unit: merged areas in squares."""
     k, s = F.col("p_partkey"), 8e-5
     x, y = F.lit(10.0) + (k % 500) * 2 * s, F.lit(50.0) + F.floor(k / 500) * 2 * s
-    p = view(spark, sf, "part").select((k % 5).alias("unit"), G.box(x, y, x + s, y + s, 4326).alias("geom"))
+    p = spread(view(spark, sf, "part"), "p_partkey").select((k % 5).alias("unit"), G.box(x, y, x + s, y + s, 4326).alias("geom"))
     from geoloom.operators.graph import ring_areas
     e, g = O.dissolve_edges(p, "unit", cell=0.004)
     shift = e.select("unit", (F.col("x1") - 10).alias("x1"), (F.col("y1") - 50).alias("y1"), (F.col("x2") - 10).alias("x2"), (F.col("y2") - 50).alias("y2"))

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from geoloom.functions import geometry as G
+from geoloom.operators import city as C
 from geoloom.operators import joins as J
+from geoloom.operators import overlay as O
+from geoloom.operators import raster as R
+from geoloom.operators.graph import ring_areas
+from geoloom.operators.spatial import points_in_polygons
 from geoloom.session import cut_lineage
 
 
@@ -19,3 +27,62 @@ def test_dataset_names_are_never_broadcast(spark):
     got = sorted(map(tuple, out.collect()), key=repr)
     assert got == sorted([("d/a.gpkg::y", "d/a.gpkg::y"), ("e/a.gpkg", "e/a.gpkg::x"), ("f/b.gpkg", "e/b.gpkg::z"), ("f/b.gpkg", "e/b.gpkg::z"),
                           ("none", None), (None, None)], key=repr)
+
+
+def test_solids_are_sorted_without_their_rings(spark):
+    s = spark.range(40).select((F.col("id") % 4).alias("building_id"), F.array(F.array(*[
+        F.array(F.lit(0.0), F.lit(0.0), F.col("id") * h) for h in (1.0, 2.0)])).alias("rings"), F.when(F.col("id") > 7, "a").otherwise("").alias("OBJEKTART"))
+    out = C.solid_heights(s)
+    assert sorted((r.building_id, r.measured_height, r.faces, r.objektart) for r in out.collect()) == [(k, 72.0 + k, 10, "a") for k in range(4)]
+    sorts = [x.split("\n")[0] for x in plan(C.solid_heights(cut_lineage(s))).split("SortAggregate")[-1:]]
+    below = plan(C.solid_heights(cut_lineage(s)))
+    last = below[below.rindex("Sort ["):]                  # what is sorted comes from a projection that drops the rings
+    assert sorts and "Project [building_id" in last.split("FileScan")[0] and "rings" not in last.split("Project")[0]
+
+
+def test_burning_does_not_look_cells_up(spark):
+    """Every centre as the join of points and polygons has it, corners and edges included; a ring of many edges and a hole."""
+    n = 60
+    turn = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.array(
+        50 + 33 * F.cos(2 * F.pi() * (i % n) / n), 50 + 33 * F.sin(2 * F.pi() * (i % n) / n)))
+    one = spark.range(1)
+    p = one.select(F.lit(1.0).alias("v"), G.box(5.0, 5.0, 35.0, 25.0).alias("geom")).unionByName(
+        one.select(F.lit(-2.0).alias("v"), G.box(-50.0, 85.0, 12.0, 300.0).alias("geom"))).unionByName(
+        one.select(F.lit(3.0).alias("v"), G.make_geom("POLYGON", F.array(turn)).alias("geom"))).unionByName(
+        one.select(F.lit(4.0).alias("v"), G.make_geom("POLYGON", F.array(G.box_ring(60.0, 60.0, 95.0, 95.0), F.reverse(G.box_ring(70.0, 70.0, 80.0, 80.0)))).alias("geom"))).unionByName(
+        one.select(F.lit(None).cast("double").alias("v"), G.box(0.0, 0.0, 100.0, 100.0).alias("geom")))
+    grid = R.Grid(0.0, 100.0, 2.0, 2.5, 50, 40)
+    cells = R.with_centres(R.grid_cells(spark, grid), grid)
+    want = {(r.l_row, r.l_col): r.m for r in points_in_polygons(cells, p, "x", "y").groupBy("l_row", "l_col").agg(F.max("r_v").alias("m")).collect()}
+    burnt = R.rasterize(p, "v", grid)
+    got = {(r.row, r.col): r.value for r in burnt.collect()}
+    assert len(got) == 2000 and all(got[k] == (want.get(k) or 0.0) for k in got)
+    assert plan(R.rasterize(p, "v", grid)).count("Range (") == 1               # the grid is neither repeated by level nor joined
+
+
+def squares(spark, rows, name):
+    t = spark.createDataFrame(rows, f"{name} long, x double, y double, s double")
+    return t.select(name, G.box("x", "y", F.col("x") + F.col("s"), F.col("y") + F.col("s"), 25832).alias("geom"))
+
+
+def test_features_that_meet_nothing_are_not_arranged(spark, monkeypatch):
+    def no(*_a, **_k):
+        raise AssertionError("arranged")
+    monkeypatch.setattr(O, "pieces_of", no)
+    a = squares(spark, [(1, 0.0, 0.0, 10.0), (1, 30.0, 0.0, 10.0), (2, 10.0, 0.0, 10.0)], "u")
+    e, g = O.dissolve_edges(a, "u")
+    assert {r.u: r.area for r in ring_areas(e, g).collect()} == {1: 200.0, 2: 100.0}
+    b = squares(spark, [(7, 500.0, 0.0, 10.0)], "v")
+    got = O.overlay_areas(squares(spark, [(1, 0.0, 0.0, 10.0), (2, 5.0, 0.0, 10.0)], "u"), b, "symmetric_difference", "u", "v")
+    assert {(r.u, r.v): r.area for r in got.collect()} == {(1, None): 100.0, (2, None): 100.0, (None, 7): 100.0}
+
+
+def test_features_apart_and_arranged_together(spark):
+    """Rows of one key, neighbours that touch, and one alone; some of them beside the other layer."""
+    a = squares(spark, [(1, 0.0, 0.0, 10.0), (1, 5.0, 0.0, 10.0), (2, 100.0, 0.0, 10.0), (3, 200.0, 0.0, 10.0)], "u")
+    b = squares(spark, [(7, 205.0, 5.0, 10.0), (8, 300.0, 0.0, 10.0)], "v")
+    e, g = O.dissolve_edges(a, "u")
+    assert {r.u: r.area for r in ring_areas(e, g).collect()} == {1: 150.0, 2: 100.0, 3: 100.0}
+    got = O.overlay_areas(a, b, "union", "u", "v")
+    assert {(r.u, r.v): round(r.area, 6) for r in got.collect()} == {
+        (1, None): 150.0, (2, None): 100.0, (3, None): 75.0, (3, 7): 25.0, (None, 7): 75.0, (None, 8): 100.0}
