@@ -108,8 +108,9 @@ def dedupe_vertices(vertices: DataFrame, cell: float = 100.0) -> DataFrame:
     before_col = F.coalesce(F.sum("k").over(Window.orderBy("cx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cols = by_col.select("cx", before_col.alias("b1"))
     before_cell = F.coalesce(F.sum("k").over(Window.partitionBy("cx").orderBy("cy").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = by_cell.withColumn("b2", before_cell).join(cols, "cx").select("cx", "cy", (F.col("b1") + F.col("b2")).alias("b"))
-    return d.withColumn("_i", inside).join(shift, ["cx", "cy"]).select("x", "y", "z", (F.col("_i") + F.col("b")).alias("vid"))
+    shift = by_cell.withColumn("b2", before_cell).join(cols.hint("merge"), "cx").select("cx", "cy", (F.col("b1") + F.col("b2")).alias("b"))
+    # sizes are estimated without the rows that faces are exploded to, so the joins are asked to shuffle
+    return d.withColumn("_i", inside).join(shift.hint("merge"), ["cx", "cy"]).select("x", "y", "z", (F.col("_i") + F.col("b")).alias("vid"))
 
 
 def decimate(points: DataFrame, max_points: int, order: list[str], slices: Column | None = None) -> DataFrame:

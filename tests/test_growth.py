@@ -86,3 +86,11 @@ def test_features_apart_and_arranged_together(spark):
     got = O.overlay_areas(a, b, "union", "u", "v")
     assert {(r.u, r.v): round(r.area, 6) for r in got.collect()} == {
         (1, None): 150.0, (2, None): 100.0, (3, None): 75.0, (3, 7): 25.0, (None, 7): 75.0, (None, 8): 100.0}
+
+
+def test_vertices_are_never_broadcast(spark):
+    v = cut_lineage(spark.range(300).select((F.col("id") % 30 * 10.0).alias("x"), (F.col("id") % 20 * 25.0).alias("y"), F.lit(1.0).alias("z")))
+    out = C.dedupe_vertices(v)
+    assert "Broadcast" not in plan(out)
+    got = sorted((r.x // 100, r.y // 100, r.x, r.y, r.vid) for r in out.collect())
+    assert [r[-1] for r in got] == list(range(60))
