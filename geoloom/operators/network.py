@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,49 +95,69 @@ def reach(lines_nodes: DataFrame, edges: DataFrame, origins: DataFrame, max_cost
     return got.join(n, origin).withColumn("enough", F.col("_n") >= min_nodes).drop("_n")
 
 
+def _hull(points) -> list[tuple[float, float]]:
+    """Corners of the convex hull, counter-clockwise from the least point; fewer than three where the points span no area."""
+    p = sorted(set(points))
+    if len(p) < 3:
+        return p
+
+    def half(q):
+        out: list = []
+        for v in q:
+            while len(out) > 1 and ((out[-1][0] - out[-2][0]) * (v[1] - out[-2][1])
+                                    - (out[-1][1] - out[-2][1]) * (v[0] - out[-2][0])) <= 0:
+                out.pop()
+            out.append(v)
+        return out
+    return half(p)[:-1] + half(p[::-1])[:-1]
+
+
+SLICE_POINTS = 64            # a group with more points than that in one batch goes on with its corners there only
+
+
+def _corners(keys: list[pa.Array], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows of a batch that may be corners of their group's hull; groups of few points keep all of them."""
+    code = np.zeros(len(x), np.int64)
+    for k in keys:
+        code = np.unique(code * (len(x) + 1) + k.dictionary_encode("encode").indices.to_numpy(), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(code[order])) + 1, len(order))
+    sizes = np.diff(ends, prepend=0)
+    kept = [order[np.repeat(sizes <= SLICE_POINTS, sizes)]]
+    for e, n in zip(ends[sizes > SLICE_POINTS].tolist(), sizes[sizes > SLICE_POINTS].tolist()):
+        rows = order[e - n:e]
+        row_of = dict(zip(zip(x[rows].tolist(), y[rows].tolist()), rows.tolist()))
+        kept.append(np.array([row_of[v] for v in _hull(row_of)], np.int64))
+    return np.concatenate(kept)
+
+
 def hull_reduce(points: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Convex hull per group as ``geom``, its vertices counter-clockwise.
+    """Convex hull per group as ``geom``, its vertices counter-clockwise; rows without a position take no part.
 
-    Two levels: hulls of slices of each group in parallel, then the hull of the hull vertices, so a group of any size
-    sends only corner points to its last task.
+    Two levels: batches of points keep only what may be a corner, then the hull of those, so a group of any size sends
+    only corner points to its last task. Both go through whole batches of groups, as most groups are small.
     """
-    def hull(pdf: pd.DataFrame) -> np.ndarray:
-        p = np.unique(pdf[[x, y]].to_numpy(float), axis=0)
-        if len(p) < 3:
-            return p
-        def half(q):
-            out: list = []
-            for v in q:
-                while len(out) > 1 and ((out[-1][0] - out[-2][0]) * (v[1] - out[-2][1])
-                                        - (out[-1][1] - out[-2][1]) * (v[0] - out[-2][0])) <= 0:
-                    out.pop()
-                out.append(v)
-            return out
-        return np.array(half(p)[:-1] + half(p[::-1])[:-1])
-
-    types = {c: t for c, t in points.dtypes}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in by) + f", `{x}` double, `{y}` double"
-
-    def slice_hull(batches):
-        for pdf in batches:
-            for key, part in pdf.groupby(by, sort=False, dropna=False):
-                h = pd.DataFrame(hull(part), columns=[x, y])
-                for c, v in zip(by, key if isinstance(key, tuple) else (key,)):
-                    h[c] = v
-                yield h[[*by, x, y]]
-
-    slim = points.select(*by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
-    pre = slim.mapInPandas(slice_hull, schema)
-
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = hull(pdf)
-        ring = [[*map(float, v)] for v in h]
-        row = {c: pdf[c].iloc[0] for c in by}
-        return pd.DataFrame([{**row, "ring": ring + ring[:1], "corners": len(ring)}])
-
-    out = pre.groupBy(*by).applyInPandas(
-        last, ", ".join(f"`{c}` {types[c]}" for c in by) + ", ring array<array<double>>, corners int")
-    return out.where("corners >= 3").select(*by, G.make_geom("POLYGON", F.array("ring")).alias("geom"))
+    slim = points.select(*by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).where(
+        F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+
+    def reduced(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.take(pa.array(_corners([batch.column(c) for c in by], batch.column(x).to_numpy(), batch.column(y).to_numpy())))
+
+    def last(batches):
+        for batch in batches:
+            p = batch.column("_p")
+            xy, ends = p.flatten(), np.cumsum(p.value_lengths().to_numpy()).tolist()
+            v = list(zip(xy.field(0).to_pylist(), xy.field(1).to_pylist()))
+            rings = [[*h, h[0]] if len(h := _hull(v[a:e])) > 2 else None for a, e in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), pa.array(rings, pa.list_(pa.list_(pa.float64())))], names=[*by, "ring"])
+
+    types = dict(slim.dtypes)
+    schema = "".join(f"`{c}` {types[c]}, " for c in by)
+    got = slim.mapInArrow(reduced, slim.schema).groupBy(*by).agg(F.collect_list(F.struct(x, y)).alias("_p")).mapInArrow(
+        last, schema + "ring array<array<double>>")
+    return got.where("ring is not null").select(*by, G.make_geom("POLYGON", F.array("ring")).alias("geom"))
 
 
 def isochrone(reached: DataFrame, origin: str = "origin") -> DataFrame:

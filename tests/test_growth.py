@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geometry as G
 from geoloom.operators import city as C
 from geoloom.operators import joins as J
+from geoloom.operators import network as N
 from geoloom.operators import overlay as O
 from geoloom.operators import raster as R
 from geoloom.operators.graph import ring_areas
@@ -94,3 +95,17 @@ def test_vertices_are_never_broadcast(spark):
     assert "Broadcast" not in plan(out)
     got = sorted((r.x // 100, r.y // 100, r.x, r.y, r.vid) for r in out.collect())
     assert [r[-1] for r in got] == list(range(60))
+
+
+def test_hulls_go_through_batches_of_groups(spark):
+    """No task or frame per group; a large group, a small one, ones without area, a null key and points without position."""
+    import math
+    ring = [(math.cos(k / 50 * math.pi) * 100, math.sin(k / 50 * math.pi) * 100) for k in range(100)]
+    rows = [("a", x * s, y * s) for x, y in ring for s in (1.0, 0.5, 0.25)] + [("b", x, y) for x, y in ((0, 0), (4, 0), (4, 3), (0, 3), (2, 0), (1, 1), (0, 0))]
+    rows += [("line", float(k), float(k)) for k in range(90)] + [("one", 1.0, 1.0)] + [(None, x, y) for x, y in ((0, 0), (2, 0), (0, 2))] + [("b", None, 9.0), ("b", float("nan"), 9.0)]
+    points = spark.createDataFrame([(k, *(v if v is None else float(v) for v in p)) for k, *p in rows], "k string, x double, y double").repartition(3)
+    out = N.hull_reduce(points, ["k"])
+    assert "InPandas" not in plan(out)
+    got = {r.k: [tuple(v) for v in r.geom.rings[0]] for r in out.collect()}
+    assert got["b"] == [(0, 0), (4, 0), (4, 3), (0, 3), (0, 0)] and got[None] == [(0, 0), (2, 0), (0, 2), (0, 0)] and set(got) == {"a", "b", None}
+    assert set(got["a"]) == set(ring) and got["a"][0] == got["a"][-1] == min(ring) and len(got["a"]) == 101
