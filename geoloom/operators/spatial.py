@@ -196,8 +196,9 @@ def self_overlaps(layer: DataFrame, key: str, geom: str = "geom", cell: float =
     cells read it back instead of working the geometry out again.
     """
     kinds = kinds_of(layer, geom)
-    slim = layer.select(key, geom).where(F.col(geom).isNotNull() & G.is_valid(F.col(geom)))
-    slim = cut_lineage(_prepare(slim, geom).drop(geom))
+    # validity is a value, not a filter: a filter would sink below the layer's repartitioning and be worked out in few tasks
+    sound = layer.select(key, geom).withColumn(geom, F.when(G.is_valid(F.col(geom)), F.col(geom)))
+    slim = cut_lineage(_prepare(sound, geom).drop(geom)).where("_kind is not null")
     pairs = pair_by_cell(slim, slim, F.col("_bbox"), F.col("_bbox"), cell).where(F.col(f"l_{key}") < F.col(f"r_{key}"))
     hit = pairs.where(G.pair_predicate("overlaps", _prepared_side("l_"), _prepared_side("r_"), kinds, kinds))
     return hit.select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"))
