@@ -10,6 +10,7 @@ from geoloom.operators import joins as J
 from geoloom.operators import network as N
 from geoloom.operators import overlay as O
 from geoloom.operators import raster as R
+from geoloom.operators import spatial as S
 from geoloom.operators.graph import ring_areas
 from geoloom.operators.spatial import points_in_polygons
 from geoloom.session import cut_lineage
@@ -109,3 +110,29 @@ def test_hulls_go_through_batches_of_groups(spark):
     got = {r.k: [tuple(v) for v in r.geom.rings[0]] for r in out.collect()}
     assert got["b"] == [(0, 0), (4, 0), (4, 3), (0, 3), (0, 0)] and got[None] == [(0, 0), (2, 0), (0, 2), (0, 0)] and set(got) == {"a", "b", None}
     assert set(got["a"]) == set(ring) and got["a"][0] == got["a"][-1] == min(ring) and len(got["a"]) == 101
+
+
+def test_validity_of_four_corners_is_plain_arithmetic(spark):
+    """Boxes need no comparison edge by edge, and the short cut never says yes where the full test says no."""
+    import random
+    rng = random.Random(5)
+    rows = [[[float(rng.randint(0, 3)), float(rng.randint(0, 3))] for _ in range(4)] for _ in range(3000)]
+    rows = [[r + r[:1]] for r in rows] + [[], [[]], [[[0.0, 0.0]] * 5], [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [1.0, 0.0]]]]
+    g = G.make_geom("POLYGON", F.col("r"))
+    d = cut_lineage(spark.createDataFrame([(r,) for r in rows], "r array<array<array<double>>>"))
+    got = d.select(F.coalesce(G._sound_quad(g), F.lit(False)).alias("quick"), G._is_valid_short(g).alias("full"), G.is_valid(g).alias("v")).where(
+        "v is not distinct from full").agg(F.count("*").alias("n"), F.count_if(F.col("quick")).alias("quick"), F.count_if(F.col("quick") & ~F.col("full")).alias("wrong")).first()
+    assert got.n == len(rows) and got.quick > 300 and got.wrong == 0
+    box = G.box(F.col("id") * 3.0, F.lit(5.0), F.col("id") * 3.0 + 2, F.lit(9.5))
+    assert spark.range(50).where(G._sound_quad(box)).count() == 50
+
+
+def test_validity_is_worked_out_after_the_layer_is_dealt(spark, monkeypatch):
+    seen, cut = [], cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: seen.append(plan(df)) or cut(df))
+    layer = squares(spark, [(1, 0.0, 0.0, 10.0), (2, 5.0, 5.0, 10.0), (3, 40.0, 0.0, 10.0), (4, None, 0.0, 1.0)], "u")
+    bad = spark.range(1).select(F.lit(5).cast("long").alias("u"), G.make_geom("POLYGON", F.array(F.array(
+        G.vertex(0, 0), G.vertex(9, 9), G.vertex(9, 0), G.vertex(0, 9), G.vertex(0, 0))), 25832).alias("geom"))
+    got = S.self_overlaps(cut(layer.unionByName(bad)).repartition(3, "u"), "u")
+    assert {tuple(r) for r in got.collect()} == {(1, 2)}
+    assert "Exchange" in seen[0] and "Filter" not in seen[0]
