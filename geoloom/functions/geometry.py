@@ -54,13 +54,19 @@ def line(*xy: tuple, srid=None) -> Column:
 
 def line_from_points(seq_points: Column, srid=None) -> Column:
     """Polyline from an array of ``struct(order, x, y)``: ordered, consecutive repeats dropped, NULL below 2 points."""
-    ordered = F.transform(F.array_sort(seq_points), lambda s: F.array(s["x"].cast("double"), s["y"].cast("double")))
-    kept = drop_repeats(ordered)
-    return F.when(F.size(kept) >= 2, make_geom("LINE", F.array(kept), srid))
+    # plain sorting is compiled, sorting by a comparator is not; they differ in where missing points go
+    points = F.when(F.exists(seq_points, lambda s: s.isNull()), F.array_sort(seq_points)).otherwise(F.sort_array(seq_points))
+    ordered = F.transform(points, lambda s: F.array(s["x"].cast("double"), s["y"].cast("double")))
+    return _bound(drop_repeats(ordered), lambda kept: F.when(F.size(kept) >= 2, make_geom("LINE", F.array(kept), srid)))
 
 
 def drop_repeats(vertices: Column) -> Column:
-    return F.filter(vertices, lambda p, i: (i == 0) | (p != F.get(vertices, i - 1)))
+    return _bound(vertices, lambda v: F.filter(v, lambda p, i: (i == 0) | (p != F.get(v, i - 1))))
+
+
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` worked out once: inside a lambda it would be worked out again for every element."""
+    return F.transform(F.array(value), then)[0]
 
 
 def buffer_point(x, y, distance, srid=None, segments_per_quarter: int = 5) -> Column:

@@ -136,3 +136,16 @@ def test_validity_is_worked_out_after_the_layer_is_dealt(spark, monkeypatch):
     got = S.self_overlaps(cut(layer.unionByName(bad)).repartition(3, "u"), "u")
     assert {tuple(r) for r in got.collect()} == {(1, 2)}
     assert "Exchange" in seen[0] and "- Filter" not in seen[0]
+
+
+def test_lines_are_sorted_once(spark):
+    """The points of a line are put in order once, not again for each of its points."""
+    n = 400
+    p = F.transform(F.sequence(F.lit(n), F.lit(1), F.lit(-1)), lambda i: F.struct(i.alias("o"), (i - i % 2).cast("double").alias("x"), F.lit(0.0).alias("y")))
+    kept = G.line_from_points(p, 25832)
+    stored = cut_lineage(spark.range(1).select(p.alias("p")))
+    assert plan(stored.select(G.line_from_points(F.col("p")).alias("g"))).count("sort_array(") == 1
+    v = spark.range(1).select(kept.alias("g")).first().g.rings[0]
+    assert v == [[2.0 * k, 0.0] for k in range(n // 2 + 1)]
+    short = F.array(F.struct(F.lit(1).alias("o"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y")))
+    assert spark.range(1).select(G.line_from_points(short).alias("g"), G.line_from_points(F.slice(short, 1, 0)).alias("e")).first() == (None, None)
