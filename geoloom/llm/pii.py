@@ -2,9 +2,9 @@
 
 Generators propose overlapping spans whose format is looser than the base patterns': addresses written with ``at`` and
 ``dot``, numbers grouped with other marks, phone numbers without ``+``. Features describe a span's format and its
-context. The trees learn from a bounded sample, with base matches and disguised copies of them as positive examples and
-look-alikes that fail a check as negative ones; per kind, the threshold is the lowest at which a held-back part of the
-sample reaches the wanted precision. Base matches are always kept.
+context. The trees learn from all texts, with base matches and disguised copies of them as positive examples and
+look-alikes that fail a check as negative ones; per kind, the threshold is the lowest at which a held-back part of
+them reaches the wanted precision. Base matches are always kept.
 """
 
 from __future__ import annotations
@@ -12,25 +12,26 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from heapq import heappop, heappush
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow import append, fresh
+from geoloom.llm.arrow import append, fresh, map_batches, slices
+from geoloom.llm.workspace import Workspace
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_SPANS = 8_000         # bound of the training sample
-TEXT_SPANS = 16              # of one text in it, per kind and label
+TEXT_SPANS = 16              # examples that those of one text weigh at most, per kind and label
 WANTED_PRECISION = 0.98
 LEAST_CALIBRATION = 20       # examples above a threshold, below which a kind adds nothing
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 16
+UNIT, STEPS = 1_024, 65_536  # of weights, and of derivatives and probabilities, which are added up in whole numbers
+ROWS_PER_PASS = 100_000      # different examples for one task of a pass
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -203,45 +204,60 @@ class BoostedTrees:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-        b = self._binned(x)
-        self.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-        score = np.full(len(y), self.bias)
+        b, w = self._binned(x), np.full(len(y), UNIT)
+        return self.grow(float(y.sum()), float(len(y)), lambda level: self.sums(level, b, y, w))
+
+    def grow(self, good: float, number: float, sums: Callable[[int], np.ndarray]) -> BoostedTrees:
+        """Adds the trees, one level after the other, each from the sums of all examples by node, feature and bin."""
+        self.bias = float(np.log((good + 1) / (number - good + 1)))
         for _ in range(TREES):
-            p = 1 / (1 + np.exp(-score))
-            g, h = p - y, p * (1 - p)
-            node = np.zeros(len(y), int)
-            feature, cut = np.zeros(2 ** DEPTH - 1, int), np.full(2 ** DEPTH - 1, BINS)
-            for level in range(DEPTH):
-                for k in range(2 ** level - 1, 2 ** (level + 1) - 1):
-                    feature[k], cut[k] = self._split(b, g, h, np.flatnonzero(node == k))
-                node = 2 * node + 1 + (b[np.arange(len(y)), feature[node]] > cut[node])
-            leaf = node - (2 ** DEPTH - 1)
-            value = -RATE * np.bincount(leaf, g, 2 ** DEPTH) / (np.bincount(leaf, h, 2 ** DEPTH) + 1.0)
-            score += value[leaf]
+            feature, cut, value = np.zeros(2 ** DEPTH - 1, int), np.full(2 ** DEPTH - 1, BINS), np.zeros(2 ** DEPTH)
             self.trees.append((feature, cut, value))
+            for level in range(DEPTH):
+                for i, (g, h) in enumerate(np.moveaxis(sums(level) / (UNIT * STEPS), 0, 1)):
+                    k = 2 ** level - 1 + i
+                    feature[k], cut[k] = self._split(g, h)
+                    if level == DEPTH - 1:
+                        left = np.arange(BINS) <= cut[k]
+                        for side, own in enumerate((left, ~left)):
+                            value[2 * i + side] = -RATE * g[feature[k], own].sum() / (h[feature[k], own].sum() + 1.0)
         return self
 
+    def sums(self, level: int, b: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """First and second derivatives of the loss, summed by node of a level of the tree that grows, feature and bin.
+
+        In whole steps, so that the sums are the same in whatever order they are added.
+        """
+        n, columns = 2 ** level, len(self.edges)
+        p = 1 / (1 + np.exp(-self._score(b, self.trees[:-1])))
+        node = self._walk(b, self.trees[-1], level) - (n - 1)
+        at = ((node[:, None] * columns + np.arange(columns)) * BINS + b).ravel()
+        return np.stack([np.bincount(at, np.repeat(np.rint(d * STEPS) * w, columns), n * columns * BINS).reshape(n, columns, BINS) for d in (p - y, p * (1 - p))])
+
     @staticmethod
-    def _split(b: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> tuple[int, int]:
-        best, where = 1e-6, (0, BINS)
-        if len(rows) > 1:
-            whole, weight = g[rows].sum(), h[rows].sum() + 1.0
-            for j in range(b.shape[1]):
-                gl = np.cumsum(np.bincount(b[rows, j], g[rows], BINS + 1))
-                hl = np.cumsum(np.bincount(b[rows, j], h[rows], BINS + 1))
-                gain = gl ** 2 / (hl + 1.0) + (whole - gl) ** 2 / (weight - hl) - whole ** 2 / weight
-                if gain[:-1].max() > best:
-                    best, where = gain[:-1].max(), (j, int(gain[:-1].argmax()))
-        return where
+    def _walk(b: np.ndarray, tree: tuple, levels: int) -> np.ndarray:
+        node, rows = np.zeros(len(b), int), np.arange(len(b))
+        for _ in range(levels):
+            node = 2 * node + 1 + (b[rows, tree[0][node]] > tree[1][node])
+        return node
+
+    def _score(self, b: np.ndarray, trees: list) -> np.ndarray:
+        score = np.full(len(b), self.bias)
+        for tree in trees:
+            score += tree[2][self._walk(b, tree, DEPTH) - (2 ** DEPTH - 1)]
+        return score
+
+    @staticmethod
+    def _split(g: np.ndarray, h: np.ndarray) -> tuple[int, int]:
+        """The feature and bin that divide a node best; the last bin, where nothing is gained."""
+        gl, hl = g.cumsum(1), h.cumsum(1)
+        whole, weight = gl[:, -1:], hl[:, -1:] + 1.0
+        gain = (gl ** 2 / (hl + 1.0) + (whole - gl) ** 2 / (weight - hl) - whole ** 2 / weight)[:, :-1]
+        j, cut = np.unravel_index(int(gain.argmax()), gain.shape)
+        return (int(j), int(cut)) if gain[j, cut] > 1e-6 else (0, BINS)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        b, score = self._binned(x), np.full(len(x), self.bias)
-        for feature, cut, value in self.trees:
-            node = np.zeros(len(x), int)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (b[np.arange(len(x)), feature[node]] > cut[node])
-            score += value[node - (2 ** DEPTH - 1)]
-        return 1 / (1 + np.exp(-score))
+        return 1 / (1 + np.exp(-self._score(self._binned(x), self.trees)))
 
 
 @dataclass
@@ -295,61 +311,108 @@ def _examples(text: str) -> Iterator[tuple[bool, int, list[float]]]:
             yield False, kind, features(text, a, kind, e)
 
 
-def _share(text: str, most: int) -> list[tuple[bool, int, list[float]]]:
-    """The different examples of one text, of each kind and label at most ``most`` by hash."""
+def _share(text: str, most: int, cut: bool) -> list[tuple[bool, int, list[float], int]]:
+    """The different examples of one text with their weights, which come to ``most`` per kind and label at most.
+
+    With ``cut`` only so many of them are taken, by hash.
+    """
     found: dict[tuple[int, bool], dict[bytes, list[float]]] = {}
     for good, kind, x in _examples(text):
         found.setdefault((kind, good), {})[np.array(x).tobytes()] = x
-    return [(good, kind, own[h]) for (kind, good), own in found.items()
-            for h in sorted(own, key=lambda h: (zlib.crc32(h), h))[:most]]
+    if cut:
+        found = {k: {h: own[h] for h in sorted(own, key=lambda h: (zlib.crc32(h), h))[:most]} for k, own in found.items()}
+    return [(good, kind, x, max(1, round(UNIT * min(1.0, most / len(own))))) for (kind, good), own in found.items() for x in own.values()]
 
 
-def train(docs: DataFrame, text: str = "text", sample_spans: int = SAMPLE_SPANS, precision: float = WANTED_PRECISION,
+def train(docs: DataFrame, text: str = "text", sample_spans: int | None = None, precision: float = WANTED_PRECISION,
           text_spans: int = TEXT_SPANS) -> PiiModel:
-    """Fits the trees on at most ``sample_spans`` examples and calibrates thresholds on another fifth of them.
+    """Fits the trees on the examples of all texts but a fifth, and calibrates thresholds on those of that fifth.
 
-    Examples are taken by the hash of their document's text, so the sample doesn't depend on how the table is stored.
-    Copies of a text count once and a text gives ``text_spans`` examples per kind and label at most, so no text fills the
-    sample. With no base match anywhere the model adds nothing.
+    Copies of a text count once, and the examples of a text weigh as much as ``text_spans`` per kind and label at most, so
+    no text outweighs the others. Equal examples become one row with a weight; every level of a tree is one pass over these rows in
+    Spark that brings back sums by node, feature and bin. Sums are in whole numbers, so the model doesn't depend on how the
+    table is stored. ``sample_spans`` bounds the examples for callers that want a quick model. With no base match anywhere the model adds nothing.
     """
-    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # texts of the partition by their draws; those beyond the bound can't be in the sample of all partitions
-        kept: dict[int, list] = {}
-        top, size = [], 0
-        for batch in batches:
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches):
+            got = []
             for t, draw in zip(batch.column("text").to_pylist(), batch.column("draw").to_pylist()):
-                if draw in kept or size >= sample_spans and draw > -top[0]:
-                    continue
-                if got := _share(t, text_spans):
-                    kept[draw] = got
-                    heappush(top, -draw)
-                    size += len(got)
-                    while size - len(kept[-top[0]]) >= sample_spans:
-                        size -= len(kept.pop(-heappop(top)))
-        for draw, got in kept.items():
-            good, kind, x = zip(*got)
-            yield pa.RecordBatch.from_arrays([pa.array([draw] * len(got), pa.int64()), pa.array(good, pa.bool_()), pa.array(kind, pa.int32()),
-                                              pa.array(x, pa.list_(pa.float64()))], names=["draw", "good", "kind", "x"])
+                if draw not in seen:
+                    seen.add(draw)
+                    got += [(draw, *e) for e in _share(t, text_spans, sample_spans is not None)]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (
+                    pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.float64()), pa.int64()))], names=["draw", "good", "kind", "x", "w"])
     own = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("draw")).where(F.col("text").rlike("[0-9@]"))
-    rows = own.mapInArrow(lowest, "draw long, good boolean, kind int, x array<double>").dropDuplicates(["draw", "kind", "good", "x"]).orderBy(
-        "draw", "kind", "good", "x").limit(sample_spans).toArrow()
-    if not rows.num_rows:
-        return PiiModel()
-    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-    y, kind = rows.column("good").to_numpy().astype(float), rows.column("kind").to_numpy()
-    aside = (rows.column("draw").to_numpy() >> 20) % 5 == 0      # by document, so context is not shared
-    if not (~aside).any() or len(set(y[~aside])) < 2:
+    rows = own.mapInArrow(examples, "draw long, good boolean, kind int, x array<double>, w long").dropDuplicates(["draw", "kind", "good", "x"])
+    if sample_spans is not None:
+        rows = rows.orderBy("draw", "kind", "good", "x").limit(sample_spans)
+    space = Workspace(docs.sparkSession, "pii")
+    aside = (F.pmod(F.shiftright("draw", 20), F.lit(5)) == 0).alias("aside")       # by document, so context is not shared
+    groups = space.cut(rows.groupBy("kind", "good", aside, "x").agg(F.sum("w").alias("w")))
+    learnt = groups.where("not aside")
+    good, number = learnt.agg(F.sum(F.when(F.col("good"), F.col("w"))), F.sum("w")).first()
+    if not good or good == number:
+        space.drop(groups)
         return PiiModel()
-    trees = BoostedTrees().fit(x[~aside], y[~aside])
-    p, thresholds = trees.probability(x[aside]), []
-    for k in range(len(KINDS)):
-        q, good = p[kind[aside] == k], y[aside][kind[aside] == k]
-        order = np.argsort(-q, kind="stable")
-        right = np.cumsum(good[order]) / np.arange(1, len(order) + 1)
-        last = np.append(q[order][:-1] != q[order][1:], True) if len(order) else np.empty(0, bool)
-        fine = np.flatnonzero((right >= precision) & last & (np.arange(1, len(order) + 1) >= LEAST_CALIBRATION))
-        thresholds.append(float(max(0.5, q[order][fine[-1]])) if len(fine) else 2.0)
-    return PiiModel(trees, tuple(thresholds))
+    model = BoostedTrees(_quantiles(learnt))
+    binned = space.cut(_binned_rows(groups, model))
+    space.drop(groups)
+    passes = lambda d: d.coalesce(max(1, -(-binned.count() // ROWS_PER_PASS)))
+    learnt, held = passes(binned.where("not aside")), passes(binned.where("aside"))
+    model.grow(good / UNIT, number / UNIT, lambda level: _all_sums(learnt, model, level))
+    thresholds = _calibrated(held, model, precision)
+    space.drop(binned)
+    return PiiModel(model, thresholds)
+
+
+def _quantiles(rows: DataFrame) -> list[np.ndarray]:
+    """Per feature the values at which the weight of all examples reaches one more of ``BINS`` equal parts."""
+    values = rows.select(F.posexplode("x").alias("j", "v"), "w").groupBy("j", "v").agg(F.sum("w").alias("w"))
+    upto = F.sum("w").over(Window.partitionBy("j").orderBy("v"))
+    share = values.select("j", "v", "w", upto.alias("c"), F.sum("w").over(Window.partitionBy("j")).alias("t"))
+    cuts = share.where(f"least({BINS - 1}, {BINS} * c div t) > {BINS} * (c - w) div t").select("j", "v").collect()      # BINS - 1 a feature at most
+    return [np.array(sorted(r.v for r in cuts if r.j == j)) for j in range(1 + max(r.j for r in cuts))]
+
+
+def _binned_rows(groups: DataFrame, model: BoostedTrees) -> DataFrame:
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        b = model._binned(batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "good", "aside", "w")), pa.array([r.tobytes() for r in b], pa.binary())],
+                                          names=["kind", "good", "aside", "w", "b"])
+    return map_batches(groups, one, "kind int, good boolean, aside boolean, w long, b binary").groupBy("kind", "good", "aside", "b").agg(F.sum("w").alias("w"))
+
+
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    b = np.frombuffer(b"".join(batch.column("b").to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(int)
+    return b, batch.column("good").to_numpy(zero_copy_only=False).astype(float), batch.column("w").to_numpy()
+
+
+def _all_sums(rows: DataFrame, model: BoostedTrees, level: int) -> np.ndarray:
+    """The sums of all rows: each task adds up its own, so one small table per task comes back."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((model.sums(level, *_matrix(batch)) for batch in batches if batch.num_rows), np.zeros(()))
+        if total.ndim:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+    parts = [np.frombuffer(r.s) for r in rows.select("b", "good", "w").mapInArrow(run, "s binary").collect()]
+    return np.sum(parts, axis=0).reshape(2, 2 ** level, len(model.edges), BINS)
+
+
+def _calibrated(rows: DataFrame, model: BoostedTrees, precision: float) -> tuple[float, ...]:
+    """Per kind the lowest threshold, in ``STEPS`` steps, at which the examples above it reach the precision."""
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        b, y, w = _matrix(batch)
+        q = np.floor(STEPS / (1 + np.exp(-model._score(b, model.trees)))).astype(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(q), pa.array(w), pa.array((w * y).astype(np.int64))], names=["kind", "q", "w", "good"])
+    got = map_batches(rows, one, "kind int, q long, w long, good long").groupBy("kind", "q").agg(F.sum("w").alias("w"), F.sum("good").alias("good")).collect()
+    thresholds = []
+    for k in range(len(KINDS)):                  # of a kind one row per step at most
+        own = np.array(sorted(((r.q, r.w, r.good) for r in got if r.kind == k), reverse=True), np.int64).reshape(-1, 3)
+        number, right = own[:, 1].cumsum(), own[:, 2].cumsum()
+        fine = np.flatnonzero((right >= precision * number) & (number >= LEAST_CALIBRATION * UNIT))
+        thresholds.append(float(max(0.5, own[fine[-1], 0] / STEPS)) if len(fine) else 2.0)
+    return tuple(thresholds)
 
 
 def find(docs: DataFrame, model: PiiModel, text: str = "text") -> DataFrame:

@@ -136,6 +136,29 @@ def test_pii_copies_do_not_fill_the_sample(spark):
     assert pii.train(spark.createDataFrame([(t,) for t in [*made, long]], "text string"), sample_spans=2_000).thresholds[3] <= 1
 
 
+def test_pii_learns_from_all_texts(spark):
+    """Cards stand only in texts that come last by hash, behind more examples than any sample held."""
+    rng = np.random.default_rng(3)
+    phones = [f"w{i} +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)} there" for i in range(1_200)]
+    def card():
+        d = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        return next(d + str(c) for c in range(10) if pii.luhn(d + str(c)))
+    _, of = _draws(spark, phones)
+    late = sorted(of.values())[1_000]
+    _, at = _draws(spark, [f"paid with {card()} on day {i}" for i in range(1_500)])
+    cards = [t for t, draw in at.items() if draw > late]
+    assert len(cards) > 100
+    model = pii.train(spark.createDataFrame([(t,) for t in phones + cards], "text string").repartition(3))
+    assert model.thresholds[2] <= 1 and model.thresholds[3] <= 1
+
+
+def test_pii_examples_of_one_text_share_its_weight():
+    many = " ".join(f"u{j}@mail{j}.example.com" for j in range(200))
+    got = [e for e in pii._share(many, 16, False) if e[:2] == (True, 0)]
+    assert len(got) > 16 and abs(sum(e[3] for e in got) - 16 * pii.UNIT) <= len(got)
+    assert len([e for e in pii._share(many, 16, True) if e[:2] == (True, 0)]) == 16
+
+
 def test_pii_empty(no_docs):
     model = pii.train(no_docs)
     assert model.trees is None and pii.digest(pii.find(no_docs, model)).count() == 0
