@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import jaccard, langid, line_dedup, packing, pii
+from geoloom.llm.marks import with_mark
 from geoloom.session import checkpoint_folder
 from geoloom.shipping import ship
 
@@ -38,7 +39,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group of near copies; rows without id stay."""
     groups = jaccard.jaccard_components(docs, words=5, percent=80)
     copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    # only documents that may be copies are shuffled with their texts
+    marked = with_mark(docs, copies, "_copy")
+    return marked.where("not _copy").unionByName(marked.where("_copy").join(copies, "doc_id", "left_anti")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

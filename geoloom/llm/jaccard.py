@@ -6,21 +6,25 @@ one list for each (size range, block, content of the block); wherever a set diff
 lists is skipped. A set that shares fewer lists with others than any linked set must is out before its text is fetched.
 
 Answers come from highly similar sets. Equal sets share one node. In every list the set that shares most lists is the pivot; the other sets
-are compared with it once and keep their difference to it. A set linked with its pivot takes over the pivot's
+are compared with it once and keep their difference to it. Linked sets share more lists than they need to meet, so a set
+leaves out the pivots it shares least with. A set linked with its pivot takes over the pivot's
 component. What is left, sets of one list in different components, is decided from the differences to the common pivot
-alone, block by block, and gives only connecting links, never pairs.
+alone, block by block, and gives only connecting links, never pairs. A pivot whose sets are one block is done with where its
+differences are worked out; only those of larger ones are written and dealt to blocks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow import append, emptied_after_tasks, map_batches
+from geoloom.llm.arrow import append, emptied_after_tasks, give_back, map_batches, slices
+from geoloom.llm.marks import with_mark
 from geoloom.llm.shingles import mix, shingle_sets
 from geoloom.llm.workspace import Workspace
 from geoloom.operators.graph import connected_components
@@ -134,31 +138,113 @@ def _wanted_sets(docs: DataFrame, words: int) -> DataFrame:
         flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                                           names=["node", "s"])
-    return map_batches(docs, one, "node long, s array<long>").dropDuplicates(["node"])
+    return map_batches(docs, one, "node long, s array<long>")
 
 
-def _difference(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Per (node, pivot): sizes, what the node lacks of its pivot, what it has beyond it, and whether they are linked."""
-    p = sets.select(F.col("node").alias("pivot"), F.col("s").alias("ps"))
-    both = pairs.join(sets, "node").join(p, "pivot")
+def _sets_of(base: DataFrame, ids: DataFrame, words: int, space: Workspace) -> DataFrame:
+    """The sets of the texts of ``ids``, each once. Only those of ids with several texts can come twice and are shuffled for it."""
+    def of(some: DataFrame) -> DataFrame:
+        return _wanted_sets(with_mark(base, some, "wanted").where("wanted").join(some.select("doc_id"), "doc_id").select("text"), words)
+    several = ids.where("texts > 1")
+    sets = of(ids.where("texts = 1"))
+    return space.cut(sets if several.isEmpty() else sets.unionByName(of(several)).dropDuplicates(["node"]))
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = {c: [] for c in ("n", "pn", "lacks", "extra", "linked")}
-        for s, ps in zip(batch.column("s"), batch.column("ps")):
-            s, ps = s.values.to_numpy(), ps.values.to_numpy()
-            lacks, extra = np.setdiff1d(ps, s, assume_unique=True), np.setdiff1d(s, ps, assume_unique=True)
-            common = len(ps) - len(lacks)
-            out["n"].append(len(s))
-            out["pn"].append(len(ps))
-            out["lacks"].append(lacks)
-            out["extra"].append(extra)
-            out["linked"].append(100 * common >= percent * (len(s) + len(ps) - common))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("node"), batch.column("pivot"), pa.array(out["n"], pa.int64()), pa.array(out["pn"], pa.int64()),
-             pa.array(out["lacks"], pa.list_(pa.int64())), pa.array(out["extra"], pa.list_(pa.int64())), pa.array(out["linked"], pa.bool_())],
-            names=["node", "pivot", *out])
-    return map_batches(both.select("node", "pivot", "s", "ps"), one,
-                       "node long, pivot long, n long, pn long, lacks array<long>, extra array<long>, linked boolean")
+
+def _pairs(kept: DataFrame) -> DataFrame:
+    """``(node, pivot)`` for every pivot that a set has to be compared with, of ``(key, node, need, pivot)``.
+
+    Two linked sets share ``need`` lists at least. If each leaves out pivots that lead fewer than half as many of its lists in all,
+    one list is left whose pivot both keep. The pivots that lead fewest go.
+    """
+    led = kept.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("lists"), F.max("need").alias("need"))
+    fewest = Window.partitionBy("node").orderBy("lists", "pivot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return led.withColumn("so_far", F.sum("lists").over(fewest)).where("2 * so_far >= need").select("node", "pivot")
+
+
+class _Star:
+    """The sets of one pivot as they come, as long as they are one block."""
+
+    def __init__(self, pivot: int, others: int, block: int, percent: int):
+        self.pivot, self.others, self.percent, self.block = pivot, others, percent, block
+        self.rows, self.held, self.large = [], 0, others + 1 > block
+
+    def add(self, node: int, s: np.ndarray, ps: np.ndarray) -> list[tuple]:
+        """Takes in a set; gives the rows to be written at once, which are all of a pivot of more than one block."""
+        lacks, extra = np.setdiff1d(ps, s, assume_unique=True), np.setdiff1d(s, ps, assume_unique=True)
+        common = len(ps) - len(lacks)
+        self.rows.append((node, self.pivot, len(s), len(ps), lacks, extra, 100 * common >= self.percent * (len(s) + len(ps) - common)))
+        self.held += len(lacks) + len(extra)
+        self.large |= self.held > BLOCK_SHINGLES
+        return self._all() if self.large else []
+
+    def _all(self) -> list[tuple]:
+        rows, self.rows = self.rows, []
+        return rows
+
+    def close(self) -> list[tuple]:
+        """Links alone if all sets of the pivot came here, else what came, to be dealt to blocks."""
+        if self.large or len(self.rows) < self.others:
+            return self._all()
+        out = [(r[0], self.pivot, None, None, None, None, True) for r in self.rows if r[6]]
+        if len(out) < len(self.rows) > 1:
+            node, _, n, pn, lacks, extra, linked = zip(*self.rows)
+            side = pa.StructArray.from_arrays(
+                [pa.array(node, pa.int64()), pa.array([self.pivot if x else y for x, y in zip(linked, node)], pa.int64()), pa.array(n, pa.int64()),
+                 pa.array(pn, pa.int64()), pa.array(lacks, pa.list_(pa.int64())), pa.array(extra, pa.list_(pa.int64()))],
+                names=["node", "component", "n", "pn", "lacks", "extra"])
+            out += [(a, b, None, None, None, None, True) for a, b in _forest(connecting_links(side, side, self.percent))]
+        return out
+
+
+def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As many of the links as connect what all of them connect."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+    out = []
+    for a, b in links:
+        if (x := root(a)) != (y := root(b)):
+            up[x] = y
+            out.append((a, b))
+    return out
+
+
+STAR = "node long, pivot long, n long, pn long, lacks array<long>, extra array<long>, linked boolean"
+
+
+def _stars(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Of pivots of one block the links around them, as ``(node, pivot, linked)``. Of others a row per set: sizes, what it lacks of its
+    pivot, what it has beyond it, and whether they are linked."""
+    counted = pairs.join(pairs.groupBy("pivot").agg(F.count("*").alias("others")), "pivot").select("node", "pivot", "others")
+    # neither side is renamed before its shuffle, so one shuffle of the sets does for both; merging brings the sets of a pivot one after the other
+    a, m, p = counted.alias("a"), sets.alias("m"), sets.alias("p")
+    both = a.join(m, F.col("a.node") == F.col("m.node")).join(p.hint("merge"), F.col("a.pivot") == F.col("p.node")).select(
+        "a.node", "a.pivot", "a.others", "m.s", F.col("p.s").alias("ps"))
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["node", "pivot", "n", "pn", "lacks", "extra", "linked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star = None
+        for batch in slices(batches):
+            out = []
+            node, pivot, others = (batch.column(c).to_pylist() for c in ("node", "pivot", "others"))
+            for i, (s, ps) in enumerate(zip(batch.column("s"), batch.column("ps"))):
+                if star is None or star.pivot != pivot[i]:
+                    out += star.close() if star else []
+                    star = _Star(pivot[i], others[i], block, percent)
+                out += star.add(node[i], s.values.to_numpy(), ps.values.to_numpy())
+            if out:
+                yield table(out)
+        if star and (out := star.close()):
+            yield table(out)
+        star = batch = out = s = ps = None
+        give_back()
+    return both.mapInArrow(run, STAR)
 
 
 def _shared(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
@@ -218,21 +304,22 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "a <> z").select("key", "node").distinct())
     space.drop(full)
     needs = known.groupBy("node").agg(F.max("need").alias("need"))
-    enough = several.groupBy("node").agg(F.count("*").alias("shared")).join(needs, "node").where("shared >= need").select("node", "shared")
+    enough = several.groupBy("node").agg(F.count("*").alias("shared")).join(needs, "node").where("shared >= need").select("node", "shared", "need")
     # the set that stands in most lists leads each of its lists, so a set meets few pivots however large its group is
     central = F.min(F.struct((-F.col("shared")).alias("lists"), F.col("node").alias("node"))).over(whole)
-    kept = several.join(enough, "node").select("key", "node", central["node"].alias("pivot"))
-    pairs = space.cut(kept.where("node <> pivot").select("node", "pivot").distinct())
+    kept = several.join(enough, "node").select("key", "node", "need", central["node"].alias("pivot"))
+    pairs = space.cut(_pairs(kept))
     space.drop(several)
     involved = pairs.select("node").union(pairs.select("pivot")).distinct()
     # a set is worked out again from the text of the least id that has it
-    first_ids = space.cut(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(involved, "node").select("doc_id").distinct())
-    sets = space.cut(_wanted_sets(base.join(first_ids, "doc_id").select("text"), words))
-    stars = space.cut(_difference(pairs, sets, percent))
+    firsts = known.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(involved, "node").select("doc_id").distinct()
+    first_ids = space.cut(firsts.join(known.groupBy("doc_id").agg(F.count("*").alias("texts")), "doc_id"))
+    sets = _sets_of(base, first_ids, words, space)
+    stars = space.cut(_stars(pairs, sets, percent, block))
     space.drop(sets)
     links = stars.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     every = space.cut(connected_components(links.unionByName(_same_id(known)), "a", "b"))
-    more = space.cut(_rest(stars, every, percent, block, space))
+    more = space.cut(_rest(stars.where("lacks is not null"), every, percent, block, space))
     if not more.isEmpty():
         ties = every.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
         every = connected_components(more.unionByName(ties), "a", "b")

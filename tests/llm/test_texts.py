@@ -14,9 +14,11 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from geoloom.llm import byte_bpe, jaccard, langid, line_dedup, packing, pii, subword, token_orc
+import corpus_pipeline
+from geoloom.llm import byte_bpe, jaccard, langid, line_dedup, marks, packing, pii, subword, token_orc
 
 RANKS, BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -228,6 +230,79 @@ def test_linked_sets_share_a_list(n, lacks, extra, percent, seed):
         assert len(np.intersect1d(x, y)) >= max(p, q) >= 1
 
 
+@pytest.fixture
+def tables(monkeypatch):
+    """What an operator writes in between, as DataFrames."""
+    out, cut = [], jaccard.Workspace.cut
+    monkeypatch.setattr(jaccard.Workspace, "drop", lambda *_: None)
+    monkeypatch.setattr(jaccard.Workspace, "_remove", lambda *_: None)
+    monkeypatch.setattr(jaccard.Workspace, "cut", lambda self, df: out.append(cut(self, df)) or out[-1])
+    return out
+
+
+@pytest.mark.parametrize("block,large", [(256, False), (8, True)])
+def test_jaccard_writes_differences_of_large_pivots_only(spark, tables, block, large):
+    rows = list(enumerate(t for s in range(12) for t in family(s, 14, 90, 8)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, jaccard.jaccard_components(df, block=block).collect()))
+    want = plain_components(rows, 5, 80)
+    assert got == want and len({c for _, _, c in want}) > 24         # several groups around most pivots
+    assert any(t.where("size(lacks) + size(extra) > 0").count() for t in tables if "lacks" in t.columns) == large
+
+
+def test_jaccard_leaves_out_pivots_shared_by_few_lists(spark, tables):
+    """Texts of a few families with passages of other families: their lists meet many pivots, nearly all for nothing."""
+    rng = np.random.default_rng(3)
+    bases = [[f"b{b}w{i}" for i in range(200)] for b in range(20)]
+    rows = []
+    for d in range(160):
+        t = list(bases[d % 20])
+        for _ in range(4):
+            o, at, n = rng.integers(0, 20), rng.integers(0, 170), rng.integers(8, 22)
+            t[at:at + n] = bases[o][at:at + n]
+        rows.append((d, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, jaccard.jaccard_components(df).collect()))
+    assert got == plain_components(rows, 5, 80)
+    pairs = next(t for t in tables if t.columns == ["node", "pivot"])
+    assert pairs.count() <= 400                                      # 622 if every list counts
+
+
+def test_jaccard_shuffles_sets_once_and_only_marked_texts(spark, docs):
+    ids = docs.where("doc_id % 7 = 3").select("doc_id").distinct()
+    got = Counter(r[0] for r in marks.with_mark(docs, ids, "_mark").where("_mark").select("doc_id").collect())
+    assert got == Counter(r[0] for r in docs.where("doc_id % 7 = 3").select("doc_id").collect())
+    space = jaccard.Workspace(spark, "test")
+    sets = space.cut(spark.range(40).select(F.col("id").alias("node"), F.array(F.col("id"), F.col("id") + 1).alias("s")))
+    pairs = space.cut(spark.range(1, 40).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("pivot")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stars = jaccard._stars(pairs, sets, 80, 256)
+        stars.collect()
+        assert re.search(r"ReusedExchange \[node#\d+L, s#\d+\]", stars._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_near_copies_shuffles_texts_of_copies_only(spark, monkeypatch):
+    """Large tables: no side is small enough to be broadcast by itself."""
+    rows = [(None, "a b c", "en"), (None, "a b c", "en"), *((d, f"x{d % 60} y z", "en") for d in range(100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    groups = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 60).alias("component_id"))
+    monkeypatch.setattr(corpus_pipeline.jaccard, "jaccard_components", lambda *_a, **_k: groups)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_copies(spark, df, "")
+        assert Counter(map(tuple, out.collect())) == Counter(r for r in rows if r[0] is None or r[0] < 60)
+        assert "Union" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "LeftAnti" in plan
+        kept = plan[plan.index("Union"):plan.index("LeftAnti")]                # what no copy is goes past the anti join
+        assert "Join LeftOuter" in kept and "strategy=broadcast" in kept
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_jaccard_empty(no_docs):
     assert jaccard.jaccard_components(no_docs).count() == 0
 
